@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import problem_sql, problems
+
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(problems.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(problem_sql.SQL)
