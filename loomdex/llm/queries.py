@@ -5,9 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe
+from . import bpe, distinctive, frequency, ranking
+from .sql import SQL
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.top_terms(distinctive.score_terms(table(spark, d, "postings"), "tf_idf")).select("doc_id", "term")
+
+
+def p2_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """Adjusted residual of every term of every page."""
+    scored = distinctive.score_terms(table(spark, d, "postings"), "residual")
+    return scored.select("doc_id", "term", "n", F.round("weight", 6).alias("weight"))
+
+
+def p5_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Median and mean rank of every hit."""
+    ranked = ranking.median_ranks(table(spark, d, "query_hits"), ["query_id"], "doc_id", ["tf_idf", "pagerank", "phrase"])
+    return ranked.select("query_id", "doc_id", "median_rank", F.round("mean_rank", 6).alias("mean_rank"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    ranked = ranking.median_ranks(table(spark, d, "query_hits"), ["query_id"], "doc_id", ["tf_idf", "pagerank", "phrase"])
+    return ranking.first_items(ranked, ["query_id"], "doc_id", by="mean_rank")
+
+
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return frequency.term_frequencies({name: table(spark, d, name) for name in ("postings", "category_postings")})
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _frequencies(spark, d).where("mark is not null").select("tbl", "term", "mark")
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and pages of every term."""
+    return _frequencies(spark, d).select("tbl", "term", "occurrences", "records")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -15,9 +51,12 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", "ids")
 
 
+QUERIES = {f.__name__: f for f in (p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p8_ids": p8_ids}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
