@@ -8,10 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, distinctive, frequency, ranking
+from . import bpe, distinctive, frequency, markup, ranking
 from .sql import SQL
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = markup.clean_markup(table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "text"))
+    entries = table(spark, d, "pages").where("id is not null").select(F.col("id").alias("rec_id"), F.explode("categories").alias("text"))
+    # entries without any mark never reach Python; the others are read once per page and entry
+    suspect = entries.where(F.col("text").rlike(markup.SUSPECT)).distinct()
+    pages = markup.clean_markup(suspect, entries=True)
+    marked = F.size("constructs") > 0
+    return docs.where(marked).select(F.lit("documents").alias("tbl"), "rec_id").unionByName(pages.where(marked).select(F.lit("pages").alias("tbl"), "rec_id").distinct())
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every document and the constructs it held."""
+    docs = markup.clean_markup(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "clean_text", F.concat_ws(",", "constructs").alias("constructs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.top_terms(distinctive.score_terms(table(spark, d, "postings"), "tf_idf")).select("doc_id", "term")
 
@@ -51,7 +67,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
