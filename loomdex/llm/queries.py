@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, distinctive, frequency, markup, ranking
+from . import bpe, distinctive, frequency, langid, markup, ranking
 from .sql import SQL
 
 
@@ -67,7 +67,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.relabel(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language of every document, with its confidence."""
+    read = langid.identify(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    each = read.select("doc_id", F.posexplode("language.segments").alias("segment", "s"))
+    return each.select("doc_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids, p10_found, p10_segments)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
