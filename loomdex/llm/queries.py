@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, distinctive, frequency, langid, markup, ranking
+from . import bpe, distinctive, frequency, langid, markup, mixing, ranking
 from .sql import SQL
 
 
@@ -67,6 +67,30 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", "ids")
 
 
+#: The curriculum of the mix: lists and mirrors early, abstracts and the glossary late.
+TILT = {"wiki_lists": -0.8, "mirror_site": -0.8, "scan_archive": -0.4, "abstracts": 0.4, "glossary": 0.48}
+
+
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = mixing.token_table(table(spark, d, "documents").select("doc_id", "source", "text"))
+    plan = mixing.schedules(table(spark, d, "source_targets"), tokens, TILT)
+    return mixing.place(tokens, plan), plan
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_placed(spark, d)).where("short").select("source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every copy of the mix in training order."""
+    return _placed(spark, d)[0].select("doc_id", "source", "pass", "n_tokens", F.round("position", 9).alias("position")).orderBy("position", "source", "doc_id", "pass")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mixing.report(*_placed(spark, d)).select("source", "target_share", "max_passes", "own_tokens", F.round("wanted_tokens", 3).alias("wanted_tokens"), "reached_tokens", "passes_used", "copies", F.round("actual_share", 6).alias("actual_share"), "short")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.relabel(table(spark, d, "documents"))
 
@@ -78,7 +102,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_residuals, p5_found, p5_ranks, p7_found, p7_counts, p8_ids, p9_found, p9_mix, p9_report, p10_found, p10_segments)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
