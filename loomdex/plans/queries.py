@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problem_sql, problems
+from . import problem_sql, problems, search_queries, search_sql
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    """Best documents of the example queries over an index built from the documents."""
+    return search_queries.vsm_topk(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return problems.QUERIES | search_queries.REGISTRY
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problem_sql.SQL)
+    return problem_sql.SQL | search_sql.SQL
