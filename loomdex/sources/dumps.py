@@ -13,7 +13,8 @@ PAGE = T.StructType([
     T.StructField("redirect", T.StructType([T.StructField("_title", T.StringType())])),
     T.StructField("revision", T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])),
 ])
-TEXT = T.StructType([T.StructField("id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+#: Extractors write ids as strings or numbers; both are read.
+TEXT = T.StructType([T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
 
 
 def read_xml_dump(spark: SparkSession, path: str, row_tag: str = "page") -> DataFrame:
@@ -43,7 +44,8 @@ def page_fields(dump: DataFrame, language: str = "en", variants: dict[str, str]
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Text records of JSON lines; ``glob`` chooses files below ``path`` such as ``wiki*``."""
     reader = spark.read.schema(TEXT).option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
+    return rows.withColumn("id", F.expr("try_cast(id as long)"))
 
 
 def write_chunks(df: DataFrame, path: str, rows_per_file: int = 2_000) -> None:
