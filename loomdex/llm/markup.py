@@ -30,6 +30,10 @@ BARE = "alpha|beta|gamma|delta|lambda|mu|pi|sigma|omega|item|maketitle|tableofco
 # Namespace words of categories and files in the languages of the texts.
 NAMESPACES = "Category|Kategorie|Catégorie|Categoría|分类|分類|File|Image|Datei|Fichier|Archivo|文件"
 
+_HAN = "[㐀-鿿]"
+#: A pair of marks of which one has a Chinese character beside it.
+_BY_HAN = rf"(?:(?<={_HAN}){{m}}(?=[^\s*_])|(?<![\w*]){{m}}(?={_HAN})|(?<=\w){{m}}(?={_HAN}))[^*_\n]{{{{1,300}}}}?(?<=[^\s*_]){{m}}(?![*_])|(?<!\*){{m}}(?=[^\s*_])[^*_\n]{{{{1,300}}}}?(?:(?<={_HAN}){{m}}|(?<=[^\s*_]){{m}}(?={_HAN}))"
+
 #: (name, character that must occur, pattern); the first character test is cheap and skips most.
 _CONSTRUCTS = [
     ("html_tag", "<", rf"(?i)</?(?:{NAMES})(?=[\s/>])[^<>]{{0,4000}}>"),
@@ -42,6 +46,9 @@ _CONSTRUCTS = [
     ("md_strong", "*", r"\*\*"),
     ("md_strong", "_", r"(?<!\w)__(?=[^\W_])[^\n]{0,300}?(?<=[^\s_])__(?!\w)"),
     ("md_emphasis", "*", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{0,300}?(?<=[^\s*])\*(?![\w*])"),
+    # inside a word, and next to Chinese characters, which have no blanks around emphasis
+    ("md_emphasis", "*", rf"(?<=[^\W\d_])\*[^\W\d_]{{2,40}}\*(?=[^\W\d_])|{_BY_HAN.format(m=r'\*')}"),
+    ("md_strong", "__", _BY_HAN.format(m="__")),
     ("md_emphasis", "_", r"(?<![\w\\])_(?=[^\s_])[^_\n]{0,300}?(?<=[^\s_])_(?!\w)"),
     ("md_link", "]", r"\]\([^()\s]{0,500}[:/#.][^()\s]{0,500}|!\[[^\]\n]{0,500}\]\(|(?m:^\[[^\]\n]{1,80}\]:\s+\S)"),
     ("md_footnote", "[", r"\[\^[^\]\s]{1,30}\]"),
@@ -219,6 +226,9 @@ _INLINE = [
     ("*", _sub(r"\*\*\*?(?=\S)([^*\n]{1,500}?)(?<=\S)\*\*\*?"), "\\1"),
     ("*", _sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{0,300}?(?<=[^\s*]))\*(?![\w*])"), "\\1"),
     ("__", _sub(r"(?<!\w)__(?=[^\W_])([^\n]{0,300}?(?<=[^\s_]))__(?!\w)"), "\\1"),
+    ("*", _sub(rf"(?<=[^\W\d_])\*([^\W\d_]{{2,40}})\*(?=[^\W\d_])"), "\\1"),
+    ("*", _sub(_BY_HAN.format(m=r"\*")), lambda m: m[0].replace("*", "")),
+    ("__", _sub(_BY_HAN.format(m="__")), lambda m: m[0].replace("__", "")),
     ("_", _sub(r"(?<![\w\\])_(?=[^\s_])([^_\n]{0,300}?(?<=[^\s_]))_(?!\w)"), "\\1"),
     ("~~", _sub(r"~~"), ""),
     ("''", _sub(r"'{2,5}"), ""),
@@ -275,7 +285,7 @@ def _blocks(text: str, links: int = 0) -> list[Node]:
         if first == "\ue000" and _HOLD.fullmatch(line):
             flush()
             out.append(Node("code", line))
-        elif first in "=#\\" and (m := _HEADING.match(line)):
+        elif first in "=#\\" and line.strip("=") and (m := _HEADING.match(line)):
             flush()
             title, _ = _inline(m[2] or m[4] or m[6] or "")
             if title:
@@ -287,14 +297,18 @@ def _blocks(text: str, links: int = 0) -> list[Node]:
             cells = [_inline(c)[0] for c in re.split(r"\|\||!!|(?<!\|)\|(?!\|)", line.strip("|! "))]
             if any(cells):
                 out.append(Node("row", " | ".join(c for c in cells if c)))
-        elif first in "*#-+•:;\\0123456789" and (m := _ITEM.match(line)):
+        elif first in "*#-+•:;\\0123456789" and line.strip("-") and (m := _ITEM.match(line)):
             flush()
             body, link = _inline(m[3])
             if body:
                 out.append(Node("item", body, len(m[1] or " "), link))
         elif first == ">" and line[1:2] in (" ", ""):
             lines.append(line[1:].strip())
-        elif not line.strip("-") and len(line) >= 3 or not line.strip("=") and len(line) >= 3:
+        elif len(line) >= 3 and not line.strip(line[0]) and first in "-=":
+            if len(lines) == 1 and len(lines[0]) <= 200:  # a line underlined is a heading
+                title, _ = _inline(lines.pop())
+                if title:
+                    out.append(Node("heading", title, 1 if first == "=" else 2))
             flush()
         else:
             lines.append(line)
@@ -304,6 +318,8 @@ def _blocks(text: str, links: int = 0) -> list[Node]:
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>")
 _BOXES = {"html", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "center", "blockquote", "table", "tbody", "thead", "tfoot", "ul", "ol", "dl", "figure"}
+#: Boxes nested deeper than this are read as part of the box around them.
+DEEPEST = 64
 _KNOWN = {*BLOCKS, *INLINE}
 _BLOCK_SET = set(BLOCKS)
 
@@ -316,6 +332,7 @@ def _tree(text: str) -> Node:
         return root
     stack, at, run, kind, level = [root], 0, [], "para", 0
     names = ["body"]
+    flat = 0  # boxes opened below the deepest level: their content stays in that level's box
 
     def close_run() -> None:
         nonlocal kind, level
@@ -348,10 +365,14 @@ def _tree(text: str) -> Node:
             close_run()
             if name in _BOXES:
                 if closing:
-                    if name in names[1:]:
+                    if flat:
+                        flat -= 1
+                    elif name in names[1:]:
                         while names.pop() != name:
                             stack.pop()
                         stack.pop()
+                elif len(stack) >= DEEPEST:
+                    flat += 1
                 else:
                     box = Node("box", name)
                     stack[-1].children.append(box)
