@@ -61,9 +61,7 @@ class OrphanLedger:
 
     def advance(self, refs: DataFrame, changes: DataFrame, as_of: int) -> None:
         """Take in the references and parent changes of one period that ends at ``as_of``."""
-        changes = cut(changes, "changes")
         moved = changes.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("begun", "opened", "ended")])
-        moved = cut(moved, "moved")
         merged = self.index.unionByName(moved).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("begun", "opened", "ended")])
         index = cut(merged, "index")
 
@@ -84,7 +82,7 @@ class OrphanLedger:
         self.orphans = cut(now.select("field", "src_id", *KEY, "at", F.when((F.col("reason") == "waiting") & arrived, "late").otherwise(F.col("reason")).alias("reason"), (~there).alias("open")), "orphans")
         self.index = index
         counts = self.orphans.groupBy("field", month_of(F.col("at")).alias("month"), "reason", "open").agg(F.count(F.lit(1)).alias("n"))
-        self.snapshots = self.snapshots.unionByName(cut(counts.select(F.lit(as_of).cast("long").alias("as_of"), "*"), "snapshot"))
+        self.snapshots = self.snapshots.unionByName(counts.select(F.lit(as_of).cast("long").alias("as_of"), "*"))
 
     @staticmethod
     def _place(refs: DataFrame, changes: DataFrame) -> DataFrame:
