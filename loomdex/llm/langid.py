@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,8 +40,11 @@ DOCS_PER_LANGUAGE = 300
 ORDER, DISCOUNT, ALPHABET = 4, 0.75, 30_000
 #: Words longer than this are scored in pieces; so many word scores are kept per worker.
 PIECE, CACHED_WORDS = 12, 500_000
-#: A unit of fewer letters (Chinese characters count threefold) is no sentence.
-LEAST_LETTERS = 15
+#: A unit of fewer letters (Chinese characters count threefold) is no sentence, nor is one without
+#: a closing mark and with fewer than OPEN_LETTERS, such as a heading or a list item.
+LEAST_LETTERS, OPEN_LETTERS = 15, 60
+#: A sentence read with less confidence is rejected.
+LEAST_CONFIDENCE = 0.5
 #: A language counts if so large a share of the sentences is in it.
 LEAST_SHARE = 0.2
 
@@ -56,10 +60,11 @@ def canonical_label(label: Column) -> Column:
 
 _MARKED = re.compile(
     r"```.*?(?:```|\Z)|<(syntaxhighlight|pre|code|math|style|script|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<ref\b[^<>]*>.*?</ref>|<!--.*?-->|\\begin\{(verbatim|equation|lstlisting)\}.*?(?:\\end\{\2\}|\Z)"
-    r"|\{\{(?:Infobox|cite)[^{}]*\}\}|\$\$.*?\$\$|\]\([^()\s]*\)|\\(?:footnote|cite|ref|href|section|subsection|begin|end)\*?\{[^{}\n]*\}|</?[A-Za-z][^<>\n]{0,500}>|&#?\w{1,10};|https?://\S+|\\[A-Za-z]+|\{\{lang\|[a-z]+\||\[\[(?:Category|File):[^\]\n]*\]\]",
+    r"|\{\{(?!lang\|)[^{}]*\}\}|\$\$.*?\$\$|\]\([^()\s]*\)|\\(?:footnote|cite|ref|href|section|subsection|begin|end)\*?\{[^{}\n]*\}|</?[A-Za-z][^<>\n]{0,500}>|&#?\w{1,10};|https?://\S+|\\[A-Za-z]+|\{\{lang\|[a-z]+\||\[\[(?:Category|File):[^\]\n]*\]\]",
     re.S | re.I,
 )
-_UNIT = re.compile(r"[^.!?。！？\n]+(?:\.(?=[^\s\W]|\d)[^.!?。！？\n]*)*[.!?。！？]*[»”\"』」]*")
+_UNIT = re.compile(r"[^.!?。！？\n]+(?:\.(?=[a-z0-9])[^.!?。！？\n]*)*[.!?。！？]*[»”\"』」]*")
+_CLOSED = re.compile(r"[.!?。！？]\W*\Z")
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]")
 _NOT_HAN = re.compile(r"[^㐀-鿿]+|[㐀-鿿]+")
@@ -79,7 +84,7 @@ def blank_markup(text: str) -> str:
 def words(unit: str) -> list[str]:
     """Lower-case words; Chinese and other letters part, long words are cut into pieces."""
     out: list[str] = []
-    for w in _WORD.findall(unit.lower()):
+    for w in _WORD.findall((unit if unit.isascii() else unicodedata.normalize("NFKC", unit)).lower()):
         if len(w) <= PIECE and (w.isascii() or not _HAN.search(w)):
             out.append(w)
             continue
@@ -90,7 +95,7 @@ def words(unit: str) -> list[str]:
 
 
 def _letters(ws: list[str]) -> int:
-    return sum(len(w) * (3 if w[0] >= "㐀" else 1) for w in ws)
+    return sum(len(w) * (3 if "㐀" <= w[0] <= "鿿" else 1) for w in ws)
 
 
 # ---------------------------------------------------------------- models
@@ -237,7 +242,7 @@ class Identifier:
         gap = np.where(np.isfinite(entropy), entropy - np.where(fine, low, 0)[:, None], np.inf)
         share = np.exp(-gap * self.sharpness * np.minimum(letters, 200)[:, None])
         confidence = np.where(fine, 1 / np.maximum(share.sum(axis=1), 1), 0.0)
-        rejected = ~fine | (low > self.limits[best])
+        rejected = ~fine | (low > self.limits[best]) | (confidence < LEAST_CONFIDENCE)
         return np.where(rejected, -1, best), confidence
 
 
@@ -315,7 +320,7 @@ def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[li
     """Languages of a fifth of the sentences or more, their shares, and the stretches of one
     language, of each text. Units too short to be sentences decide only where a text has no
     others; a text without letters has no language."""
-    spans, bags, owner = [], [], []
+    spans, bags, owner, closed = [], [], [], []
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -326,8 +331,10 @@ def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[li
                 spans.append(m.span())
                 bags.append(ws)
                 owner.append(i)
+                closed.append(_CLOSED.search(m[0]) is not None)
     entropy = identifier.score(bags)
     letters = np.array([_letters(b) for b in bags], float)
+    whole = (letters >= LEAST_LETTERS) & (np.array(closed, bool) | (letters >= OPEN_LETTERS))
     lang, sure = identifier.decide(entropy, letters)
     free = entropy.argmin(axis=1) if len(entropy) else lang
     out: list[tuple[list[str], list[float], list[dict]]] = [([], [], []) for _ in texts]
@@ -337,12 +344,14 @@ def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[li
         while end < len(owner) and owner[end] == owner[at]:
             end += 1
         k = slice(at, end)
-        counted = (letters[k] >= LEAST_LETTERS) & (lang[k] >= 0)
+        counted = whole[k] & (lang[k] >= 0)
         read = lang[k]
-        if not counted.any():  # no sentence: all units together, without rejection
+        if not counted.any():  # no sentence: the longer lines
+            counted = (letters[k] >= LEAST_LETTERS) & (lang[k] >= 0)
+        if not counted.any():  # neither: all units together, without rejection
             total = (entropy[k] * letters[k][:, None]).sum(axis=0)
-            whole = int(total.argmin()) if np.isfinite(total).any() else int(free[at])
-            read, counted = np.full(end - at, whole), np.ones(end - at, bool)
+            one = int(total.argmin()) if np.isfinite(total).any() else int(free[at])
+            read, counted = np.full(end - at, one), np.ones(end - at, bool)
         votes = np.bincount(read[counted], minlength=len(LANGUAGES))
         share = votes / votes.sum()
         kept = [j for j in np.argsort(-share, kind="stable") if share[j] >= LEAST_SHARE]
