@@ -38,7 +38,9 @@ class SearchEngine:
         write("pages", pages.where("id is not null"))
         write("texts", texts.where("id is not null"))
         pages, texts = self.catalog.read("pages"), self.catalog.read("texts")
-        resolved = cut(links.resolve_redirects(pages), "resolved")
+        write("resolved", links.resolve_redirects(pages))
+        write("title_keys", pages.where("title is not null").select(F.lower("title").alias("key"), "id", "title"))
+        resolved = self.catalog.read("resolved")
         edges = cut(links.link_edges(pages, resolved), "edges")
         nodes = pages.where(target(F.col("redirect")).isNull()).select(F.col("id").alias("doc_id"))
         write("edges", edges)
@@ -54,10 +56,16 @@ class SearchEngine:
             tokens = tx.tokens_zh(pages, own, self.lexicon, self.stop, lower=False)
         labelled = cut(pages.select("id", tokens.alias("t")).where(F.size("t") > 0), "labelled")
         by_category, _, category_norms = index.build(labelled, F.col("t"), "id", labelled.count())
-        write("category_postings", by_category.join(category_norms, "doc_id"))
+        write("category_postings", by_category)
+        write("category_norms", category_norms)
 
-    def _resolved(self) -> DataFrame:
-        return links.resolve_redirects(self.catalog.read("pages"))
+    def _shown(self, found: list[tuple], columns: str) -> DataFrame:
+        """Documents of a short result list ``(doc_id, ...)``, fetched by id."""
+        wanted = self.spark.createDataFrame(found, columns)
+        ids = [r[0] for r in found]
+        resolved = self.catalog.fetch("resolved", ids)
+        ends = list({r.resolved_id for r in resolved.collect() if r.resolved_id is not None} | set(ids))
+        return lookup.find_documents(wanted, self.catalog.fetch("pages", ends), resolved, self.catalog.fetch("texts", ends), self.language)
 
     # ------------------------------------------------------------ queries
 
@@ -73,26 +81,48 @@ class SearchEngine:
         hits = search.exact_titles(queries, self.catalog.read("pages"))
         return search.promote_titles(top, hits, k).join(search.dropped_terms(analysed), "query_id", "left")
 
+    def _words(self, query: str) -> list[str]:
+        if self.language == "zh":
+            known = frozenset(self.lexicon)
+            return [w.lower() for w in tx.segment_longest(query, known, max(map(len, known), default=1)) if w.strip()]
+        return query.lower().split(" ")
+
     def search(self, query: str, k: int = 6) -> DataFrame:
         """Result documents of one query in order, with dropped terms and the spans to highlight;
-        a query with ``*`` or ``?`` is a wildcard search over titles."""
+        a query with ``*`` or ``?`` is a wildcard search over titles.
+
+        The query's own words are looked up first, so that postings are fetched by term and the
+        texts of the ``k`` results by id: scans read what their keys select.
+        """
         if search.is_wildcard(query):
             return self.wildcard_search(query, k)
-        found = self.search_many(search.query_table(self.spark, [query.lower()]), k).drop("query_id")
-        shown = lookup.find_documents(found, self.catalog.read("pages"), self._resolved(), self.catalog.read("texts"), self.language)
-        patterns = [query, *dict.fromkeys(query.lower().split(" "))]
+        words = self._words(query)
+        idf = {r.term: r.idf for r in self.catalog.fetch("terms", sorted({*words} - {*self.stop})).collect()}
+        kept = [w for w in words if w in idf]
+        dropped = [w for w in words if w not in idf]
+        found: list[int] = []
+        if kept:
+            hits = search.candidates(search.local_vectors(self.spark, kept, idf), self.catalog.fetch("postings", sorted(idf)), local=True)
+            scored = search.score(hits, self.catalog.read("norms"), self.catalog.read("ranks"))
+            found = [r.doc_id for r in scored.orderBy(F.round("score", 9).desc(), "doc_id").limit(k).collect()]
+        title = self.catalog.fetch("title_keys", [query.lower()]).agg(F.min("id")).first()[0]
+        if title is not None:
+            found = [title, *[d for d in found if d != title]][:k]
+        shown = self._shown([(d, i + 1, dropped) for i, d in enumerate(found)], "doc_id long, place int, dropped_terms array<string>")
+        patterns = [query, *dict.fromkeys(words)]
         return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [p for p in patterns if p])).orderBy("place")
 
     def wildcard_search(self, query: str, k: int = 6) -> DataFrame:
-        hits = search.wildcard_titles(self.catalog.read("pages"), query, k).select(F.col("id").alias("doc_id"), "place")
-        shown = lookup.find_documents(hits, self.catalog.read("pages"), self._resolved(), self.catalog.read("texts"), self.language)
+        hits = search.wildcard_titles(self.catalog.read("title_keys"), query, k).orderBy("place").collect()
+        shown = self._shown([(r.id, r.place) for r in hits], "doc_id long, place int")
         return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [search.wildcard_pattern(query.lower())], literal=False)).orderBy("place")
 
     def title_search(self, query: str) -> DataFrame:
-        return search.exact_titles(search.query_table(self.spark, [query]), self.catalog.read("pages")).drop("query_id")
+        hit = self.catalog.fetch("title_keys", [query.lower()])
+        return hit.agg(F.min(F.struct("id", "title")).alias("h")).where("h is not null").select("h.*")
 
     def complete_query(self, query: str, hints: int = 6) -> DataFrame:
-        titles = suggest.title_ranks(self.catalog.read("pages"), self._resolved(), self.catalog.read("ranks"))
+        titles = suggest.title_ranks(self.catalog.read("pages"), self.catalog.read("resolved"), self.catalog.read("ranks"))
         return suggest.complete(titles, query, hints)
 
     def recommend_sim_doc(self, doc_id: int, k: int = 5) -> DataFrame:
@@ -101,13 +131,12 @@ class SearchEngine:
         page = self.catalog.fetch("pages", [doc_id])
         if page.isEmpty():
             raise ValueError(f"no page has id {doc_id}")
-        rows = self.catalog.read("category_postings")
-        norms = rows.select("doc_id", "norm").dropDuplicates(["doc_id"])
-        return recommend.related(page.select(F.col("id").alias("doc_id")), rows.drop("norm"), norms, k, self.stop).drop("doc_id").orderBy("place")
+        rows = self.catalog.read("category_postings").where(F.col("doc_id") == doc_id).select("term", "tf_idf").collect()
+        own = {r.term: r.tf_idf for r in rows if r.term not in {*self.stop}}
+        return recommend.related_to(doc_id, own, self.catalog.fetch("category_postings", sorted(own)), self.catalog.read("category_norms"), k).orderBy("place")
 
     def find_doc(self, doc_id: int) -> DataFrame:
-        page = self.catalog.fetch("pages", [doc_id]).select(F.col("id").alias("doc_id"))
-        return lookup.find_documents(page, self.catalog.read("pages"), self._resolved(), self.catalog.read("texts"), self.language)
+        return self._shown([(doc_id,)], "doc_id long")
 
     def links_of(self, doc_id: int) -> DataFrame:
         return lookup.links_of(self.spark.createDataFrame([(doc_id,)], "id long"), self.catalog.fetch("edges", [doc_id]))

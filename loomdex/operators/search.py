@@ -7,7 +7,9 @@ rank after that, and texts are fetched for the few results alone.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,11 +52,24 @@ def query_vectors(analysed: DataFrame) -> DataFrame:
     return weights.join(lengths, "query_id").join(whole.select("query_id", pairs.alias("bigrams")), "query_id")
 
 
-def candidates(vectors: DataFrame, weighted: DataFrame) -> DataFrame:
+def local_vectors(spark: SparkSession, words: list[str], idf: dict[str, float]) -> DataFrame:
+    """:func:`query_vectors` of one query, from its kept words and their idf, without a job."""
+    counts = Counter(words)
+    weights = {t: (1 + math.log10(c)) * idf[t] for t, c in counts.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    pairs = list(zip(words, words[1:]))
+    return spark.createDataFrame([(0, t, w, length, pairs) for t, w in weights.items()], "query_id long, term string, weight double, length double, bigrams array<struct<a:string,b:string>>")
+
+
+def candidates(vectors: DataFrame, weighted: DataFrame, local: bool = False) -> DataFrame:
     """``(query_id, doc_id, dot, phrase, length)`` of each document with any kept term: the dot
-    product and half a point for each pair of neighbouring positions of neighbouring terms."""
-    vectors = cut(vectors, "vectors")
-    side = F.broadcast if fits_broadcast(vectors) else (lambda x: x)
+    product and half a point for each pair of neighbouring positions of neighbouring terms.
+    ``local`` says that the vectors are those of one query, so nothing need be counted."""
+    if local:
+        side = F.broadcast
+    else:
+        vectors = cut(vectors, "vectors")
+        side = F.broadcast if fits_broadcast(vectors) else (lambda x: x)
     hits = weighted.join(side(vectors.select("query_id", "term", "weight")), "term")
     entries = F.map_from_entries(F.collect_list(F.struct("term", "lc")))  # as many as the query has terms
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("tf_idf")).alias("dot"), entries.alias("at"))

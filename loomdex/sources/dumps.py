@@ -70,18 +70,23 @@ class Catalog:
     """Index tables in one folder: sorted by their lookup key, so that a filter on the key prunes
     row groups by their statistics."""
 
-    KEYS = {"postings": "term", "pure_postings": "term", "category_postings": "term", "terms": "term", "titles": "title", "pages": "id", "texts": "id", "edges": "src", "ranks": "doc_id", "norms": "doc_id"}
+    KEYS = {"postings": "term", "pure_postings": "term", "category_postings": "term", "terms": "term", "titles": "title", "pages": "id", "texts": "id", "edges": "src", "ranks": "doc_id", "norms": "doc_id", "category_norms": "doc_id", "resolved": "id", "title_keys": "key"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
 
     def write(self, name: str, df: DataFrame) -> None:
         """Range-partitioned by key with a bloom filter on it."""
         key = self.KEYS[name]
         df.repartitionByRange(key).sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(f"{self.root}/{name}")
+        self._open.pop(name, None)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """The table; its files are listed once until this catalog writes it again."""
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.root}/{name}")
+        return self._open[name]
 
     def load_or_compute(self, name: str, compute) -> DataFrame:
         """The stored table, or ``compute()`` stored on first use."""
