@@ -110,12 +110,13 @@ def month_starts(first: datetime, last: datetime, months: int) -> list[datetime]
     return out
 
 
-def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24) -> OrphanLedger:
+def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24, times: DataFrame | None = None) -> OrphanLedger:
     """Advance a new ledger over all references in periods of ``months`` months of event time.
-    The result does not depend on the periods; only the snapshots do."""
+    The result does not depend on the periods; only the snapshots do. ``times (at)`` may give the
+    times of the references where reading them alone is cheaper than reading ``refs``."""
     spark = refs.sparkSession
     ledger = OrphanLedger(spark)
-    limits = refs.agg(month_of(F.min("at")), month_of(F.max("at"))).first()
+    limits = (refs if times is None else times).agg(month_of(F.min("at")), month_of(F.max("at"))).first()
     if limits is None or limits[0] is None:
         return ledger
     changes = cut(span_changes(spans), "all-changes")

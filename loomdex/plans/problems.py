@@ -26,7 +26,8 @@ def _ledger(spark: SparkSession, d: str, months: int = 24) -> orphans.OrphanLedg
     begins, ends = orphans.micros(F.col("added_at")).alias("begins"), orphans.micros(F.col("removed_at")).alias("ends")
     spans = titles.select(F.lit("title").alias("space"), F.col("title").alias("key"), begins, ends).unionByName(
         titles.select(F.lit("id").alias("space"), F.col("id").cast("string").alias("key"), begins, ends))
-    return orphans.run_ledger(of_pages.unionByName(of_edges), spans, months)
+    times = table(spark, d, "pages").select(orphans.micros(F.col("edited_at")).alias("at")).unionByName(table(spark, d, "edges").select(orphans.micros(F.col("seen_at")).alias("at")))
+    return orphans.run_ledger(of_pages.unionByName(of_edges), spans, months, times)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
