@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import wikitext
 from ..functions.read import current_pages, target, usable
 from ..operators import index, links, lookup, recommend, search, suggest
-from ..session import cut, shared_dir, table
+from ..session import cut, scratch_path, table
 from ..sources import dumps
 
 #: Queries of the examples: words of the corpus, stop words, repeats, unknown words.
@@ -242,9 +242,7 @@ def wikitext_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Current pages written as a page dump, read again and parsed to field records."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/loomdex/dump-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "dump")
     pages = pages_now(spark, d).select("id", "title", F.coalesce("redirect", F.lit("")).alias("redirect"), F.concat(F.lit("See [["), F.coalesce("title", F.lit("")), F.lit("]]\n[[Category:Pages]]")).alias("text"))
     dumps.write_xml_dump(pages.where("title is not null"), path)
     read = dumps.page_fields(dumps.read_xml_dump(spark, path))
@@ -253,18 +251,14 @@ def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as text lines and read again with their schema."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/loomdex/lines-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "lines")
     table(spark, d, "documents").select(F.col("doc_id").alias("id"), "url", "title", "text").write.json(path)
     return dumps.read_texts(spark, path).select("id", "url", "title", F.length("text").alias("chars"))
 
 
 def posting_fetch(spark: SparkSession, d: str) -> DataFrame:
     """Postings of some terms from a catalog sorted by term; the filter reaches the scan."""
-    import uuid
-
-    catalog = dumps.Catalog(spark, f"{shared_dir(spark)}/loomdex/catalog-{uuid.uuid4().hex}")
+    catalog = dumps.Catalog(spark, scratch_path(spark, "catalog"))
     catalog.write("pure_postings", usable(table(spark, d, "postings")))
     return catalog.fetch("pure_postings", ["the", "located", "village", "nothing"]).select("term", "doc_id", "n")
 

@@ -38,18 +38,29 @@ def _remove_own(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
-def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below a folder of this application."""
+    return f"{shared_dir(spark)}/loomdex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that
-    survives the loss of executors and, unlike ``checkpoint()``, is compressed and prunable."""
+    survives the loss of executors and, unlike ``checkpoint()``, is compressed and prunable.
+    The tables stay until :func:`clear_cuts`, as results may still be read from them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomdex/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove all tables that :func:`cut` wrote for this application; DataFrames that still read
+    them cannot be used afterwards."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomdex/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

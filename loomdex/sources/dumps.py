@@ -72,6 +72,9 @@ class Catalog:
 
     KEYS = {"postings": "term", "pure_postings": "term", "category_postings": "term", "terms": "term", "titles": "title", "pages": "id", "texts": "id", "edges": "src", "ranks": "doc_id", "norms": "doc_id", "category_norms": "doc_id", "resolved": "id", "title_keys": "key"}
 
+    #: What a key held by many rows is cut by, so that its rows are not one task's.
+    SECOND = {"postings": "doc_id", "pure_postings": "doc_id", "category_postings": "doc_id", "edges": "dst", "titles": "id", "title_keys": "id"}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._open: dict[str, DataFrame] = {}
@@ -79,7 +82,8 @@ class Catalog:
     def write(self, name: str, df: DataFrame) -> None:
         """Range-partitioned by key with a bloom filter on it."""
         key = self.KEYS[name]
-        df.repartitionByRange(key).sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(f"{self.root}/{name}")
+        by = [key, *([self.SECOND[name]] if self.SECOND.get(name) in df.columns else [])]
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(f"{self.root}/{name}")
         self._open.pop(name, None)
 
     def read(self, name: str) -> DataFrame:
