@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions import wikitext
 from ..functions.read import current_pages, target, usable
 from ..operators import index, links, lookup, recommend, search, suggest
-from ..session import cut, scratch_path, table
+from ..session import cut, scratch_path, spread, table
 from ..sources import dumps
 
 #: Queries of the examples: words of the corpus, stop words, repeats, unknown words.
@@ -18,7 +18,7 @@ PREFIXES = {"complete_prefix": "list of", "complete_fuzzy": "lisd ov mo", "compl
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
 
 
 def _tokens():
