@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import bpe, distinctive, frequency, langid, markup, mixing, ranking
 from .sql import SQL
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", *columns), "doc_id")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = markup.clean_markup(table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "text"))
+    docs = markup.clean_markup(_documents(spark, d, "text").withColumnRenamed("doc_id", "rec_id"))
     entries = table(spark, d, "pages").where("id is not null").select(F.col("id").alias("rec_id"), F.explode("categories").alias("text"))
     # entries without any mark never reach Python; the others are read once per page and entry
     suspect = entries.where(F.col("text").rlike(markup.SUSPECT)).distinct()
@@ -24,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of every document and the constructs it held."""
-    docs = markup.clean_markup(table(spark, d, "documents").select("doc_id", "text"))
+    docs = markup.clean_markup(_documents(spark, d, "text"))
     return docs.select("doc_id", "clean_text", F.concat_ws(",", "constructs").alias("constructs"))
 
 
@@ -63,8 +67,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return bpe.encode(docs).select("doc_id", "ids")
+    return bpe.encode(_documents(spark, d, "text")).select("doc_id", "ids")
 
 
 #: The curriculum of the mix: lists and mirrors early, abstracts and the glossary late.
@@ -72,7 +75,7 @@ TILT = {"wiki_lists": -0.8, "mirror_site": -0.8, "scan_archive": -0.4, "abstract
 
 
 def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tokens = mixing.token_table(table(spark, d, "documents").select("doc_id", "source", "text"))
+    tokens = mixing.token_table(_documents(spark, d, "source", "text"))
     plan = mixing.schedules(table(spark, d, "source_targets"), tokens, TILT)
     return mixing.place(tokens, plan), plan
 
@@ -91,13 +94,17 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_placed(spark, d)).select("source", "target_share", "max_passes", "own_tokens", F.round("wanted_tokens", 3).alias("wanted_tokens"), "reached_tokens", "passes_used", "copies", F.round("actual_share", 6).alias("actual_share"), "short")
 
 
+def _identifier(spark: SparkSession, d: str) -> langid.Identifier:
+    return langid.fit(langid.sample_texts(table(spark, d, "documents")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.relabel(table(spark, d, "documents"))
+    return langid.relabel(_documents(spark, d, "text", "lang"), identifier=_identifier(spark, d))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every stretch of one language of every document, with its confidence."""
-    read = langid.identify(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    read = langid.identify(_documents(spark, d, "text", "lang"), identifier=_identifier(spark, d))
     each = read.select("doc_id", F.posexplode("language.segments").alias("segment", "s"))
     return each.select("doc_id", "segment", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
