@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.read import target
 from .operators import index, links, lookup, recommend, search, suggest
-from .session import cut
+from .session import cut, timed
 from .sources.dumps import Catalog
 
 
@@ -32,6 +32,7 @@ class SearchEngine:
         lines = tx.lines(F.col("text")) if self.scope == "full" else tx.abstract_slice(F.col("text"), F.col("abstract_end"))
         return tx.tokens_en(lines, self.stop) if self.language == "en" else tx.tokens_zh(docs, lines, self.lexicon, self.stop)
 
+    @timed
     def build(self, pages: DataFrame, texts: DataFrame, rank_iterations: int | None = None, rank_mode: str = "reference") -> None:
         """Compute and store all tables; a text without a page record is not indexed."""
         write = self.catalog.write
@@ -69,6 +70,7 @@ class SearchEngine:
 
     # ------------------------------------------------------------ queries
 
+    @timed
     def search_many(self, queries: DataFrame, k: int = 6) -> DataFrame:
         """Ranked documents of ``(query_id, query)`` with the title hit first: ``query_id,
         doc_id, place, dropped_terms``."""
@@ -87,6 +89,7 @@ class SearchEngine:
             return [w.lower() for w in tx.segment_longest(query, known, max(map(len, known), default=1)) if w.strip()]
         return query.lower().split(" ")
 
+    @timed
     def search(self, query: str, k: int = 6) -> DataFrame:
         """Result documents of one query in order, with dropped terms and the spans to highlight;
         a query with ``*`` or ``?`` is a wildcard search over titles.
@@ -121,10 +124,12 @@ class SearchEngine:
         hit = self.catalog.fetch("title_keys", [query.lower()])
         return hit.agg(F.min(F.struct("id", "title")).alias("h")).where("h is not null").select("h.*")
 
+    @timed
     def complete_query(self, query: str, hints: int = 6) -> DataFrame:
         titles = suggest.title_ranks(self.catalog.read("pages"), self.catalog.read("resolved"), self.catalog.read("ranks"))
         return suggest.complete(titles, query, hints)
 
+    @timed
     def recommend_sim_doc(self, doc_id: int, k: int = 5) -> DataFrame:
         """Related documents; a redirect or a page without categories has none, an unknown id is
         an error before any scoring."""

@@ -73,7 +73,8 @@ def candidates(vectors: DataFrame, weighted: DataFrame, local: bool = False) ->
     hits = weighted.join(side(vectors.select("query_id", "term", "weight")), "term")
     entries = F.map_from_entries(F.collect_list(F.struct("term", "lc")))  # as many as the query has terms
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("tf_idf")).alias("dot"), entries.alias("at"))
-    queries = vectors.select("query_id", "length", "bigrams").dropDuplicates(["query_id"])
+    queries = vectors.select("query_id", "length", "bigrams")
+    queries = queries.limit(1) if local else queries.dropDuplicates(["query_id"])  # its rows agree
     none = F.array().cast("array<int>")
     places = lambda t: F.coalesce(F.try_element_at(F.col("at"), t), none)
     pairs = F.aggregate("bigrams", F.lit(0), lambda acc, b: acc + F.size(F.array_intersect(F.transform(places(b["a"]), lambda p: p + 1), places(b["b"]))))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import logging
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +81,20 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def timed(f):
+    """Log how long a call takes; of a lazy operator that is its planning and its cuts."""
+
+    @functools.wraps(f)
+    def run(*args, **kw):
+        start = time.perf_counter()
+        try:
+            return f(*args, **kw)
+        finally:
+            logging.getLogger("loomdex").info("%s took %.3f s", f.__qualname__, time.perf_counter() - start)
+
+    return run
+
+
 def builder(app: str = "loomdex", cores: int | str = "*") -> SparkSession.Builder:
     """Local session used by tests, bench and the examples."""
     return (

@@ -182,6 +182,8 @@ def test_engine(spark, tmp_path):
     # the title of one edit less comes after the two that begin with the query
     assert [r.title for r in engine.complete_query("alpha").collect()] == ["Alpha Ring", "Alpha-R", "Alfa Ring"]
     assert [r.related_id for r in engine.recommend_sim_doc(1).collect()] == [4] and engine.recommend_sim_doc(5).count() == 0
+    many = engine.search_many(search.query_table(spark, ["green gear", "the lost page", "zz"]), 2).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.doc_id, r.place) for r in many] == [(0, 3, 1), (0, 4, 2)] and many[0].dropped_terms == []
     with pytest.raises(ValueError):
         engine.recommend_sim_doc(99)
     assert engine.find_doc(6).first().id == 1 and engine.links_of(1).first().links == [2, 3]
@@ -205,3 +207,16 @@ def test_segmentation_and_variants(spark):
     assert tx.segment_longest("木灯塔abc属于", frozenset({"木灯塔", "灯塔"}), 3) == ["木灯塔", "abc", "属", "于"]
     df = spark.createDataFrame([("鐵\n路\t",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.to_simplified(F.col("t"), {"鐵": "铁"})).collect()] == ["铁路", None]
+
+
+def test_last_row_of_an_id_stays(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, text string, file int")
+    assert sorted((r.id, r.text) for r in index.last_per_id(df, "id", F.col("file")).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_calls_are_timed(caplog):
+    from loomdex.session import timed
+
+    with caplog.at_level("INFO", "loomdex"):
+        assert timed(lambda x: x + 1)(1) == 2
+    assert "took" in caplog.text
