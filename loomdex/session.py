@@ -64,7 +64,26 @@ def clear_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where neither PYTHONPATH nor the working folder
+    leads to it: Spark sends it along with the tasks, once per application."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or home in [os.path.abspath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]]:
+        return
+    import shutil
+
+    made = tempfile.mkdtemp(prefix="loomdex-ship-")  # on the driver, which serves the archive
+    atexit.register(shutil.rmtree, made, True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(made, "loomdex"), "zip", home, "loomdex"))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
