@@ -41,9 +41,9 @@ walk AS (
   UNION ALL
   SELECT w.root, l.node, w.depth + 1, w.path || '/' || CAST(l.node AS VARCHAR) FROM walk w JOIN link l ON l.parent = w.node),
 pairs AS (
-  SELECT node AS d, parent AS a FROM link WHERE node IN (SELECT node FROM walk)
+  SELECT node AS d, parent AS a, 1 AS distance FROM link WHERE node IN (SELECT node FROM walk)
   UNION ALL
-  SELECT p.d, l.parent FROM pairs p JOIN link l ON l.node = p.a)"""
+  SELECT p.d, l.parent, p.distance + 1 FROM pairs p JOIN link l ON l.node = p.a)"""
 
 SQL = {
     "p3_found": f"""
@@ -71,6 +71,9 @@ FROM placed GROUP BY 1, 2""",
     "p6_found": f"""
 WITH RECURSIVE {_PARENTS}
 SELECT l.node AS page_id, coalesce(w.root, -1) AS root_id, CAST(coalesce(w.depth, -1) AS BIGINT) AS node_depth FROM link l LEFT JOIN walk w ON w.node = l.node""",
+    "p6_descendants": f"""
+WITH RECURSIVE {_PARENTS}
+SELECT a AS page_id, d AS descendant_id, CAST(distance AS BIGINT) AS distance FROM pairs""",
     "p6_paths": f"""
 WITH RECURSIVE {_PARENTS},
 below AS (SELECT a, count(*) AS c FROM pairs GROUP BY a),

@@ -82,4 +82,10 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
                        F.when(F.col("root") == -1, None).otherwise(F.concat_ws("/", F.coalesce("path", F.array("node")))).alias("path"), F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_snapshots, p4_found, p4_quantiles, p6_found, p6_paths)}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every page that has one, with its distance."""
+    solved = cut(hierarchy.resolve(redirect_parents(table(spark, d, "pages")), with_path=True), "paths")
+    return hierarchy.descendants(solved).select(F.col("node").alias("page_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_snapshots, p4_found, p4_quantiles, p6_found, p6_paths, p6_descendants)}
