@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.read import current_pages, target, term
 from ..operators import hierarchy, orphans, quantiles
-from ..session import cut, table
+from ..session import cut, spread, table
 
 
 def page_references(pages: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def page_references(pages: DataFrame) -> DataFrame:
 
 def _ledger(spark: SparkSession, d: str, months: int = 24) -> orphans.OrphanLedger:
     titles = table(spark, d, "titles")
-    of_pages = page_references(table(spark, d, "pages")).select("field", "src_id", F.lit("title").alias("space"), "key", orphans.micros(F.col("edited_at")).alias("at"))
+    of_pages = page_references(spread(table(spark, d, "pages").select("id", "redirect", "links", "edited_at"), "id")).select("field", "src_id", F.lit("title").alias("space"), "key", orphans.micros(F.col("edited_at")).alias("at"))
     of_edges = table(spark, d, "edges").where("dst is not null").select(
         F.lit("edges.dst").alias("field"), F.col("src").alias("src_id"), F.lit("id").alias("space"), F.col("dst").cast("string").alias("key"), orphans.micros(F.col("seen_at")).alias("at"))
     begins, ends = orphans.micros(F.col("added_at")).alias("begins"), orphans.micros(F.col("removed_at")).alias("ends")
@@ -43,7 +43,7 @@ def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
 def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
     """``(key_field, key_value, value)`` of every stored row, link element and edge."""
     postings = table(spark, d, "postings").select(F.lit("postings.term").alias("key_field"), term(F.col("term")).alias("key_value"), F.col("doc_id").alias("value"))
-    links = table(spark, d, "pages").select(F.lit("pages.links").alias("key_field"), F.explode("links").alias("l"), F.col("id").alias("value")).select("key_field", target(F.col("l")).alias("key_value"), "value")
+    links = spread(table(spark, d, "pages").select("id", "links"), "id").select(F.lit("pages.links").alias("key_field"), F.explode("links").alias("l"), F.col("id").alias("value")).select("key_field", target(F.col("l")).alias("key_value"), "value")
     edges = table(spark, d, "edges").select(F.lit("edges.dst").alias("key_field"), F.col("dst").cast("string").alias("key_value"), F.col("src").alias("value"))
     return postings.unionByName(links).unionByName(edges)
 
