@@ -9,8 +9,6 @@ keys have at most ``hot_rows`` rows each and are ordered by a window.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +79,3 @@ def per_key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def rounds(lo: int, hi: int, bins: int = BINS) -> int:
-    """Rounds of refinement that values between ``lo`` and ``hi`` can take."""
-    return max(1, math.ceil(math.log(max(2, hi - lo + 1), bins)))

@@ -1,6 +1,6 @@
 """DuckDB statements equivalent to the queries of :mod:`.search_queries`."""
 
-from ..functions.text import MAX_EN, PUNCTUATION, STOP_WORDS, STOP_WORDS_ZH
+from ..functions.text import MAX_EN, PUNCTUATION, STOP_WORDS
 from .problem_sql import _TARGET
 from .search_queries import PREFIXES, QUERIES, T2S
 
