@@ -74,24 +74,25 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 TILT = {"wiki_lists": -0.8, "mirror_site": -0.8, "scan_archive": -0.4, "abstracts": 0.4, "glossary": 0.48}
 
 
-def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tokens = mixing.token_table(_documents(spark, d, "source", "text"))
-    plan = mixing.schedules(table(spark, d, "source_targets"), tokens, TILT)
-    return mixing.place(tokens, plan), plan
+    return tokens, mixing.schedules(table(spark, d, "source_targets"), tokens, TILT)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(*_placed(spark, d)).where("short").select("source")
+    tokens, plan = _mix_inputs(spark, d)
+    return mixing.report(mixing.place(tokens, plan), plan).where("short").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Every copy of the mix in training order."""
-    return _placed(spark, d)[0].select("doc_id", "source", "pass", "n_tokens", F.round("position", 9).alias("position")).orderBy("position", "source", "doc_id", "pass")
+    return mixing.mix(*_mix_inputs(spark, d)).select("doc_id", "source", "pass", "n_tokens", F.round("position", 9).alias("position"))
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every listed source."""
-    return mixing.report(*_placed(spark, d)).select("source", "target_share", "max_passes", "own_tokens", F.round("wanted_tokens", 3).alias("wanted_tokens"), "reached_tokens", "passes_used", "copies", F.round("actual_share", 6).alias("actual_share"), "short")
+    tokens, plan = _mix_inputs(spark, d)
+    return mixing.report(mixing.place(tokens, plan), plan).select("source", "target_share", "max_passes", "own_tokens", F.round("wanted_tokens", 3).alias("wanted_tokens"), "reached_tokens", "passes_used", "copies", F.round("actual_share", 6).alias("actual_share"), "short")
 
 
 def _identifier(spark: SparkSession, d: str) -> langid.Identifier:
