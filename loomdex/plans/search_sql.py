@@ -63,7 +63,7 @@ r{k} AS (SELECT doc_id, n, 0.85::DOUBLE * (coalesce(flow, 0) + lost / n) + 0.15:
 
 
 _HINTS = f"""{_rank_steps(2, 'rank')},
-hints AS (SELECT c.id, c.title, round(coalesce(k.rank, -1), 12) AS rank FROM cur c LEFT JOIN resolved r ON r.id = c.id LEFT JOIN r2 k ON k.doc_id = r.resolved_id)"""
+hints AS (SELECT c.id, c.title, coalesce(k.rank, -1) AS raw, round(coalesce(k.rank, -1), 12) AS rank FROM cur c LEFT JOIN resolved r ON r.id = c.id LEFT JOIN r2 k ON k.doc_id = r.resolved_id)"""
 
 
 def _complete(q: str) -> str:
@@ -138,7 +138,7 @@ top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER
 first AS (SELECT query_id, max(doc_id) AS id FROM hits GROUP BY 1),
 both_ AS (SELECT query_id, id AS doc_id, 0 AS place FROM first UNION ALL SELECT t.query_id, t.doc_id, t.place FROM top t JOIN first f ON f.query_id = t.query_id WHERE t.doc_id <> f.id)
 SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS INTEGER) AS place FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY both_.place, doc_id) <= 6""",
-    "suggestion_ranks": f"WITH RECURSIVE {_HINTS} SELECT id, round(rank, 10) AS rank FROM hints",
+    "suggestion_ranks": f"WITH RECURSIVE {_HINTS} SELECT id, round(raw, 10) AS rank FROM hints",
     "redirect_resolve": f"WITH RECURSIVE {_RESOLVED} SELECT id, resolved_id FROM resolved",
     "link_edges": f"WITH RECURSIVE {_EDGES} SELECT src, dst FROM graph",
     "out_degree": f"WITH RECURSIVE {_EDGES} SELECT src, out_degree FROM deg",
