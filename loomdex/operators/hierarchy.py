@@ -88,3 +88,27 @@ def descendants(paths: DataFrame) -> DataFrame:
     ancestor of each node. Looping nodes have none."""
     steps = paths.where("path is not null").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "node"))
     return steps.where("at < depth").select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def loop_ways(links: DataFrame, solved: DataFrame) -> DataFrame:
+    """``(node, way)`` of each looping node of :func:`resolve`: its ancestors from its parent on, up
+    to and once round the cycle, each once; a node on the cycle is the last of its own way. Ways
+    are doubled; where one end's way is complete, the ways that lead there are so too. ``links
+    (node, parent)`` are those given to ``resolve``.
+    """
+    edges = links.where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("end"))
+    loops = solved.where("root = -1").select("node")
+    state = cut(edges.join(loops, "node", "left_semi").select("node", "end", F.array("end").alias("way"), (F.col("node") == F.col("end")).alias("done")), "loops")
+    while state.where("not done").count():
+        nxt = state.select(F.col("node").alias("_via"), F.col("end").alias("_end"), F.col("way").alias("_way"), F.col("done").alias("_done"))
+        both = state.where("not done").join(nxt, F.col("end") == F.col("_via")).select("node", F.col("_end").alias("end"), F.concat("way", "_way").alias("way"), "_done")
+        moved = both.select("node", "end", F.array_distinct("way").alias("way"), (F.col("_done") | (F.size(F.array_distinct("way")) < F.size("way"))).alias("done"))
+        state = cut(state.where("done").unionByName(moved), "loops")
+    return state.select("node", "way")
+
+
+def loop_descendants(ways: DataFrame) -> DataFrame:
+    """``(node, descendant, distance)`` from :func:`loop_ways`: one row for each other node that a
+    looping node's way meets, with the steps to the first meeting."""
+    steps = ways.select(F.col("node").alias("descendant"), F.posexplode("way").alias("at", "node"))
+    return steps.where("node != descendant").select("node", "descendant", (F.col("at") + 1).cast("long").alias("distance"))

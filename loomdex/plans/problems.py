@@ -88,4 +88,33 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(solved).select(F.col("node").alias("page_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_snapshots, p4_found, p4_quantiles, p6_found, p6_paths, p6_descendants)}
+def _solved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paths of pages with a parent, ways of looping ones, and all pairs of both, marked."""
+    parents = cut(redirect_parents(table(spark, d, "pages")), "parents")
+    solved = cut(hierarchy.resolve(parents, with_path=True), "paths")
+    ways = hierarchy.loop_ways(parents, solved)
+    pairs = hierarchy.descendants(solved).withColumn("loop", F.lit(False)).unionByName(hierarchy.loop_descendants(ways).withColumn("loop", F.lit(True)))
+    return solved, ways, pairs
+
+
+def p6_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Path (ids joined by ``/``), root, depth and number of descendants of every current page. A
+    page without a parent is its own root. Where the way runs into a loop, root and depth are -1
+    and the path begins at the last page met before one comes again."""
+    solved, ways, pairs = _solved(spark, d)
+    below = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("descendants"))
+    every = table(spark, d, "pages").where("id is not null").select(F.col("id").alias("node")).distinct()
+    full = every.join(solved, "node", "left").join(ways, "node", "left").join(below, "node", "left")
+    looped = F.reverse(F.concat(F.array("node"), F.array_remove("way", F.col("node"))))
+    return full.select(F.col("node").alias("page_id"), F.coalesce("root", "node").alias("root_id"), F.coalesce("depth", F.lit(0)).alias("node_depth"),
+                       F.concat_ws("/", F.coalesce("path", F.when(F.col("way").isNotNull(), looped), F.array("node"))).alias("path"),
+                       F.coalesce("descendants", F.lit(0)).alias("descendants"), F.col("way").isNotNull().alias("loop"))
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every other page above every page with the steps to it, marked where the way runs into a
+    loop; pages of one cycle are descendants of each other."""
+    return _solved(spark, d)[2].select(F.col("node").alias("page_id"), F.col("descendant").alias("descendant_id"), "distance", "loop")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_snapshots, p4_found, p4_quantiles, p6_found, p6_paths, p6_descendants, p6_pages, p6_pairs)}

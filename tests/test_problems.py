@@ -203,3 +203,35 @@ def test_descendants(spark):
     solved = hierarchy.resolve(spark.createDataFrame([(2, 1), (3, 2), (4, 2), (9, 9)], "node long, parent long"), with_path=True)
     assert sorted(map(tuple, hierarchy.descendants(solved).collect())) == [(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)]
     assert hierarchy.resolve(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def brute_ways(links):
+    parent, out = dict(links), {}
+    for x in parent:
+        way, at = [], x
+        while at in parent and parent[at] not in way:
+            at = parent[at]
+            way.append(at)
+        if at in parent:
+            out[x] = way
+    return out
+
+
+def test_every_page_has_a_row_and_loops_have_descendants(spark, tmp_path):
+    # 3 -> 2 -> 1; cycle 10 -> 11 -> 12 -> 10 with the tail 21 -> 20 -> 10; 30 its own; 40 alone
+    links = [(2, 1), (3, 2), (10, 11), (11, 12), (12, 10), (20, 10), (21, 20), (30, 30)]
+    to = dict(links)
+    rows = [(i, f"t{i}", f"t{to[i]}" if i in to else None, "2021-01-01", "2021-01-01") for i in (1, 2, 3, 10, 11, 12, 20, 21, 30, 40)]
+    spark.createDataFrame(rows, "id long, title string, redirect string, edited_at string, loaded_at string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.root_id, r.node_depth, r.path, r.descendants, r.loop) for r in problems.p6_pages(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0, "1", 2, False), 2: (1, 1, "1/2", 1, False), 3: (1, 2, "1/2/3", 0, False), 40: (40, 0, "40", 0, False), 30: (-1, -1, "30", 0, True),
+                   10: (-1, -1, "12/11/10", 4, True), 11: (-1, -1, "10/12/11", 4, True), 12: (-1, -1, "11/10/12", 4, True), 20: (-1, -1, "12/11/10/20", 1, True), 21: (-1, -1, "12/11/10/20/21", 0, True)}
+    pairs = {(r.page_id, r.descendant_id, r.distance) for r in problems.p6_pairs(spark, str(tmp_path)).where("loop").collect()}
+    assert pairs == {(a, x, i + 1) for x, way in brute_ways(links).items() for i, a in enumerate(way) if a != x}
+
+
+def test_loop_ways_match_brute_force(spark):
+    rng = random.Random(7)
+    links = [(i, rng.randrange(60)) for i in range(60)] + [(100 + i, 100 + (i + 1) % 37) for i in range(37)] + [(200 + i, 201 + i) for i in range(50)] + [(250, 103)]
+    df = spark.createDataFrame(links, "node long, parent long")
+    assert {r.node: r.way for r in hierarchy.loop_ways(df, hierarchy.resolve(df)).collect()} == brute_ways(links)
