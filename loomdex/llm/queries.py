@@ -27,9 +27,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Clean text of every document and the constructs it held."""
-    docs = markup.clean_markup(_documents(spark, d, "text"))
-    return docs.select("doc_id", "clean_text", F.concat_ws(",", "constructs").alias("constructs"))
+    """Clean text and constructs of every document (``entry`` null) and of every different category
+    entry of every page id, marked or not, over all rows of pages."""
+    docs = markup.clean_markup(_documents(spark, d, "text").withColumnRenamed("doc_id", "rec_id"))
+    each = table(spark, d, "pages").where("id is not null").select(F.col("id").alias("rec_id"), F.explode("categories").alias("text"))
+    entries = markup.clean_markup(each.where("text is not null").distinct(), entries=True)
+    shown = lambda df, tbl, entry: df.select(F.lit(tbl).alias("tbl"), "rec_id", entry.cast("string").alias("entry"), "clean_text", F.concat_ws(",", "constructs").alias("constructs"))
+    return shown(docs, "documents", F.lit(None)).unionByName(shown(entries, "pages", F.col("text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
