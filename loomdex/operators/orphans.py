@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -57,6 +57,9 @@ class OrphanLedger:
         self.spark = spark
         self.index = spark.createDataFrame([], "space string, key string, begun long, opened long, ended long")
         self.orphans = spark.createDataFrame([], "field string, src_id long, space string, key string, at long, reason string, open boolean")
+        #: All changes and the last month of references, where :func:`run_ledger` filled the ledger.
+        self.changes = spark.createDataFrame([], "space string, key string, at long, begun int, opened int, ended int")
+        self.last_month: str | None = None
         self.snapshots = spark.createDataFrame([], "as_of long, field string, month string, reason string, open boolean, n long")
 
     def advance(self, refs: DataFrame, changes: DataFrame, as_of: int) -> None:
@@ -120,6 +123,7 @@ def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24, times: DataF
     if limits is None or limits[0] is None:
         return ledger
     changes = cut(span_changes(spans), "all-changes")
+    ledger.changes, ledger.last_month = changes, limits[1]
     ends = month_starts(datetime.strptime(limits[0], "%Y-%m"), datetime.strptime(limits[1], "%Y-%m"), months)
     begin = None
     for k, end in enumerate(ends):
@@ -129,3 +133,34 @@ def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24, times: DataF
         ledger.advance(refs.where(within), changes.where(within), at)
         begin = at
     return ledger
+
+
+def month_number(at: Column) -> Column:
+    """Months since year 0 of a time in microseconds; one before all others for always."""
+    day = F.date_from_unix_date(F.floor(at / 86_400_000_000).cast("int"))
+    return F.when(at <= ALWAYS, -1).otherwise(F.year(day) * 12 + F.month(day) - 1)
+
+
+def monthly_snapshots(ledger: OrphanLedger) -> DataFrame:
+    """Snapshots as of the end of every month from the first reference to the last reference or
+    change, whatever periods the ledger was advanced in: ``(as_of, field, month, reason, open, n)``.
+
+    An orphan's state follows from its key: waiting until a span has begun, open while none is.
+    Orphans are counted by key and month, each count meets the few states of its key, and lasts
+    from month to month until the next state.
+    """
+    per = ledger.changes.groupBy(*KEY, month_number(F.col("at")).alias("since")).agg(F.sum("begun").alias("begun"), F.sum("opened").alias("opened"))
+    by_key = Window.partitionBy(*KEY).orderBy("since")
+    upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    states = per.select(*KEY, "since", (F.sum("begun").over(upto) > 0).alias("arrived"), (F.sum("opened").over(upto) > 0).alias("there"), F.lead("since").over(by_key).alias("until"))
+    before = per.groupBy(*KEY).agg(F.min("since").alias("until")).select(*KEY, F.lit(-2).alias("since"), F.lit(False).alias("arrived"), F.lit(False).alias("there"), "until")
+    groups = ledger.orphans.groupBy(*KEY, "field", month_number(F.col("at")).alias("own"), month_of(F.col("at")).alias("month"), (F.col("reason") == "deleted").alias("deleted")).agg(F.count(F.lit(1)).alias("n"))
+    asked = int(ledger.last_month[:4]) * 12 + int(ledger.last_month[5:]) - 1 if ledger.last_month else -1
+    last = max(asked, per.agg(F.max("since")).first()[0] or -1)
+    reason = F.when(F.col("deleted"), "deleted").when(F.col("arrived"), "late").otherwise("waiting")
+    lasting = groups.join(states.unionByName(before), KEY, "left").select(
+        "field", "month", reason.alias("reason"), (~F.coalesce("there", F.lit(False))).alias("open"), F.greatest("own", F.coalesce("since", F.lit(-2))).alias("first"), F.coalesce(F.col("until") - 1, F.lit(last)).alias("last"), "n")
+    held = lasting.where("first <= last").groupBy("field", "month", "reason", "open", "first", "last").agg(F.sum("n").alias("n"))
+    each = held.select("field", "month", "reason", "open", "n", F.explode(F.sequence("first", "last")).alias("at"))
+    ends = F.unix_date(F.make_date(F.floor((F.col("at") + 1) / 12).cast("int"), (F.col("at") + 1) % 12 + 1, F.lit(1))).cast("long") * 86_400_000_000
+    return each.groupBy(ends.alias("as_of"), "field", "month", "reason", "open").agg(F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,36 @@ def test_page_references_skip_what_is_none(spark):
     assert sorted((r.field, r.src_id, r.key) for r in problems.page_references(df).collect()) == [("pages.links", 1, "A b"), ("pages.redirect", 1, "B")]
 
 
+@pytest.mark.parametrize(("seed", "months"), [(4, 24), (5, 5)])
+def test_monthly_snapshots_match_brute_force(spark, seed, months):
+    from collections import Counter
+
+    refs, spans = random_case(seed, 150)
+    refs.append(("a", 99, "t", "brief", START + DAY))  # opens and is resolved inside one period
+    spans.append(("t", "brief", START + 70 * DAY, None))
+    ledger = orphans.run_ledger(spark.createDataFrame(refs, REF), spark.createDataFrame(spans, SPAN), months)
+    month = lambda t: datetime.fromtimestamp(t / 10**6, UTC)
+    own = lambda r: {(b, e) for s, k, b, e in spans if (s, k) == (r[2], r[3])}
+    lost = [r for r in set(refs) if r[3] is not None and r[4] is not None and not any((b is None or b <= r[4]) and (e is None or e > r[4]) for b, e in own(r))]
+    known = [r[4] for r in refs if r[3] is not None and r[4] is not None]
+    final = max(known + [t for s in spans for t in s[2:] if t is not None and s[1] is not None])
+    want, y, m = Counter(), month(min(known)).year, month(min(known)).month
+    while True:
+        y, m = y + m // 12, m % 12 + 1
+        end = int(datetime(y, m, 1, tzinfo=UTC).timestamp()) * 10**6
+        for r in lost:
+            if r[4] < end:
+                seen = [(b, e) for b, e in own(r) if (b is None or b < end) and (b is None or e is None or b < e or e < end)]
+                there = any(e is None or (e >= end and (b is None or b < e)) for b, e in seen)
+                reason = "deleted" if any(e is not None and e <= r[4] for b, e in own(r)) else "late" if any(b is None or e is None or b < e or e < end for b, e in seen) else "waiting"
+                want[end, r[0], f"{month(r[4]):%Y-%m}", reason, not there] += 1
+        if end > final:
+            break
+    got = {tuple(r)[:5]: r.n for r in orphans.monthly_snapshots(ledger).collect()}
+    assert got == dict(want)
+    assert got[int(datetime(2021, 4, 1, tzinfo=UTC).timestamp()) * 10**6, "a", "2021-03", "waiting", True] >= 1
+
+
 # ---------------------------------------------------------------- quantiles
 
 
