@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,10 +72,17 @@ def has_han(text: Column) -> Column:
     return text.rlike("[一-龥]")
 
 
-def to_simplified(text: Column, mapping: dict[str, str]) -> Column:
-    """Traditional to simplified characters by a character map; line breaks and tabs go. The map
-    is the caller's: conversion by phrases is not attempted."""
-    pairs = sorted((a, b) for a, b in mapping.items() if len(a) == len(b) == 1)
+@functools.cache
+def simplified() -> dict[str, str]:
+    """The simplified form of each of 3,074 traditional characters, as ICU gives it."""
+    lines = Path(__file__).with_name("simplified.txt").read_text("utf-8").splitlines()
+    return dict(line.split(" ") for line in lines if not line.startswith("#"))
+
+
+def to_simplified(text: Column, mapping: dict[str, str] | None = None) -> Column:
+    """Traditional to simplified characters by a character map, :func:`simplified` unless the
+    caller gives one; line breaks and tabs go. Conversion by phrases is not attempted."""
+    pairs = sorted((a, b) for a, b in (simplified() if mapping is None else mapping).items() if len(a) == len(b) == 1)
     return F.regexp_replace(F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)), "[\n\t]", "")
 
 

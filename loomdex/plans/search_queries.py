@@ -282,6 +282,12 @@ def simplify(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.length("simple").alias("chars"), F.md5(F.col("simple").cast("binary")).alias("digest"))
 
 
+def simplify_full(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with all traditional characters of the full map made simplified."""
+    made = corpus(spark, d).select("doc_id", tx.to_simplified(F.col("text")).alias("simple"))
+    return made.select("doc_id", F.length("simple").alias("chars"), F.md5(F.col("simple").cast("binary")).alias("digest"))
+
+
 # Some traditional characters and their simplified forms.
 T2S = dict(zip("區當鐵聞屬紡織學開從來關於種說這過並條約稅發現時間書讀語話長門風馬魚鳥龍", "区当铁闻属纺织学开从来关于种说这过并条约税发现时间书读语话长门风马鱼鸟龙"))
 
@@ -299,6 +305,6 @@ def result_page(spark: SparkSession, d: str) -> DataFrame:
 REGISTRY = {f.__name__: f for f in (
     tokenize_en, abstract_slice, postings_build, doc_freq_idf, tfidf_weights, doc_norms, vocab_stats, stopword_case, query_terms, or_candidates, phrase_score, vsm_topk, combined_search,
     exact_title, title_promotion, suggestion_ranks, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
-    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, snippets, result_page)}
+    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page)}
 REGISTRY |= {"wildcard_star": _wildcard("m*riki"), "wildcard_qmark": _wildcard("?alley"), "pagerank_ref_5": _pagerank("reference"), "pagerank_std_5": _pagerank("standard")}
 REGISTRY |= {name: _complete(q) for name, q in PREFIXES.items()}

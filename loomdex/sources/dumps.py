@@ -32,10 +32,10 @@ def write_xml_dump(pages: DataFrame, path: str) -> None:
 
 def page_fields(dump: DataFrame, language: str = "en", variants: dict[str, str] | None = None) -> DataFrame:
     """Field records ``(id, title, redirect, links, abstract_end, categories)`` of dump pages:
-    project namespaces dropped (English), self-redirects dropped after conversion (Chinese)."""
+    project namespaces dropped (English), self-redirects dropped after conversion (Chinese, by ``variants`` or the full character map)."""
     from ..functions.text import to_simplified
 
-    if language == "zh" and variants:
+    if language == "zh":
         dump = dump.withColumns({c: to_simplified(F.col(c), variants) for c in ("title", "redirect")})
     kept = dump.where(wikitext.in_article_space(F.col("title"))) if language == "en" else dump.where(wikitext.no_self_redirect(F.col("title"), F.col("redirect")))
     return wikitext.parse(kept, "text", F.col("redirect"), language).select("id", "title", "redirect", "links", "abstract_end", "categories")

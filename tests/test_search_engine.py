@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.engine import SearchEngine
 from loomdex.functions import text as tx
 from loomdex.operators import index, links, lookup, recommend, search, suggest
+from loomdex.plans import search_queries
 
 STOP = ["the", "and", "near", "again"]
 PAGES = [
@@ -220,3 +221,13 @@ def test_calls_are_timed(caplog):
     with caplog.at_level("INFO", "loomdex"):
         assert timed(lambda x: x + 1)(1) == 2
     assert "took" in caplog.text
+
+
+def test_simplification_by_the_full_map(spark, tmp_path):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "圖畫節記數許們個紙錄東橋鐵\n路 Abc")], "doc_id long, text string")
+    assert df.select(tx.to_simplified(F.col("text"))).first()[0] == "图画节记数许们个纸录东桥铁路 Abc"
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert search_queries.simplify_full(spark, str(tmp_path)).first().digest == hashlib.md5("图画节记数许们个纸录东桥铁路 Abc".encode()).hexdigest()
+    assert len(tx.simplified()) == 3074 and {k: tx.simplified()[k] for k in search_queries.T2S} == search_queries.T2S
