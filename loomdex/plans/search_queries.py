@@ -15,6 +15,8 @@ from ..sources import dumps
 #: Queries of the examples: words of the corpus, stop words, repeats, unknown words.
 QUERIES = ["the stone bridge of the valley", "weekly market weekly", "paper makers council", "first mentioned in zzzz"]
 PREFIXES = {"complete_prefix": "list of", "complete_fuzzy": "lisd ov mo", "complete_gate": "zqxw"}
+#: Converged reference ranks are small, as mass shrinks with each step.
+CONVERGED_DECIMALS = 16
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +98,7 @@ def vsm_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", "doc_id", F.round("vsm", 6).alias("vsm"), "place")
 
 
-def _ranks(spark: SparkSession, d: str, now: DataFrame, iterations: int, mode: str = "reference") -> tuple[DataFrame, DataFrame]:
+def _ranks(spark: SparkSession, d: str, now: DataFrame, iterations: int | None, mode: str = "reference") -> tuple[DataFrame, DataFrame]:
     resolved = cut(links.resolve_redirects(now), "resolved")
     edges = cut(links.link_edges(now, resolved), "edges")
     nodes = now.where(target(F.col("redirect")).isNull()).select(F.col("id").alias("doc_id"))
@@ -105,11 +107,20 @@ def _ranks(spark: SparkSession, d: str, now: DataFrame, iterations: int, mode: s
 
 def combined_search(spark: SparkSession, d: str) -> DataFrame:
     """VSM, phrase and page rank of the document's page together, best 6 of each query."""
-    ranks, _ = _ranks(spark, d, pages_now(spark, d), 3)
+    return _combined(spark, d, 3, 6)
+
+
+def combined_search_converged(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`combined_search`, with the ranks of an iteration that goes on to convergence."""
+    return _combined(spark, d, None, 9)
+
+
+def _combined(spark: SparkSession, d: str, iterations: int | None, decimals: int) -> DataFrame:
+    ranks, _ = _ranks(spark, d, pages_now(spark, d), iterations)
     of_docs = table(spark, d, "documents").where("page_id is not null").select("doc_id", "page_id").join(ranks.withColumnRenamed("doc_id", "page_id"), "page_id").select("doc_id", "rank")
     found, norms = _found(spark, d)
-    top = search.top_k(search.score(found, norms, of_docs), 6, decimals=6)
-    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
+    top = search.top_k(search.score(found, norms, of_docs), 6, decimals=decimals)
+    return top.select("query_id", "doc_id", F.round("score", decimals).alias("score"), "place")
 
 
 def exact_title(spark: SparkSession, d: str) -> DataFrame:
@@ -138,11 +149,11 @@ def _wildcard(query: str):
     return run
 
 
-def _complete(query: str):
+def _complete(query: str, iterations: int | None = 2, decimals: int = 12):
     def run(spark: SparkSession, d: str) -> DataFrame:
         now = pages_now(spark, d)
-        ranks, resolved = _ranks(spark, d, now, 2)
-        titles = suggest.title_ranks(now, resolved, ranks).withColumn("rank", F.round("rank", 12))
+        ranks, resolved = _ranks(spark, d, now, iterations)
+        titles = suggest.title_ranks(now, resolved, ranks).withColumn("rank", F.round("rank", decimals))
         return suggest.complete(titles, query).select("id", "title", "place")
 
     return run
@@ -154,6 +165,12 @@ def suggestion_ranks(spark: SparkSession, d: str) -> DataFrame:
     return suggest.title_ranks(now, resolved, ranks).select("id", F.round("rank", 10).alias("rank"))
 
 
+def suggestion_ranks_converged(spark: SparkSession, d: str) -> DataFrame:
+    now = pages_now(spark, d)
+    ranks, resolved = _ranks(spark, d, now, None)
+    return suggest.title_ranks(now, resolved, ranks).select("id", F.round("rank", CONVERGED_DECIMALS).alias("rank"))
+
+
 def redirect_resolve(spark: SparkSession, d: str) -> DataFrame:
     return links.resolve_redirects(pages_now(spark, d))
 
@@ -167,10 +184,12 @@ def out_degree(spark: SparkSession, d: str) -> DataFrame:
     return links.out_degrees(link_edges(spark, d))
 
 
-def _pagerank(mode: str):
+def _pagerank(mode: str, iterations: int | None = 5, decimals: int = 10):
+    """Page rank of the whole graph; without ``iterations`` until it has converged."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        ranks, _ = _ranks(spark, d, pages_now(spark, d), 5, mode)
-        return ranks.select("doc_id", F.round("rank", 10).alias("rank"))
+        ranks, _ = _ranks(spark, d, pages_now(spark, d), iterations, mode)
+        return ranks.select("doc_id", F.round("rank", decimals).alias("rank"))
 
     return run
 
@@ -304,7 +323,9 @@ def result_page(spark: SparkSession, d: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (
     tokenize_en, abstract_slice, postings_build, doc_freq_idf, tfidf_weights, doc_norms, vocab_stats, stopword_case, query_terms, or_candidates, phrase_score, vsm_topk, combined_search,
-    exact_title, title_promotion, suggestion_ranks, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
+    exact_title, title_promotion, suggestion_ranks, combined_search_converged, suggestion_ranks_converged, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
     highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page)}
 REGISTRY |= {"wildcard_star": _wildcard("m*riki"), "wildcard_qmark": _wildcard("?alley"), "pagerank_ref_5": _pagerank("reference"), "pagerank_std_5": _pagerank("standard")}
 REGISTRY |= {name: _complete(q) for name, q in PREFIXES.items()}
+REGISTRY |= {f"pagerank_{short}_converged": _pagerank(mode, None, CONVERGED_DECIMALS) for short, mode in (("ref", "reference"), ("std", "standard"))}
+REGISTRY |= {f"{name}_converged": _complete(q, None, CONVERGED_DECIMALS) for name, q in PREFIXES.items()}

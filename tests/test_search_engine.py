@@ -231,3 +231,19 @@ def test_simplification_by_the_full_map(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert search_queries.simplify_full(spark, str(tmp_path)).first().digest == hashlib.md5("图画节记数许们个纸录东桥铁路 Abc".encode()).hexdigest()
     assert len(tx.simplified()) == 3074 and {k: tx.simplified()[k] for k in search_queries.T2S} == search_queries.T2S
+
+
+@pytest.mark.parametrize(("name", "reference"), [("pagerank_ref_converged", True), ("pagerank_std_converged", False)])
+def test_registered_rank_converges(spark, tmp_path, name, reference):
+    # a chain of eight pages into a pair that links to each other: depth matters after two steps
+    out = {i: [i + 1] for i in range(1, 9)} | {9: [10, 1], 10: [9]}
+    rows = [(i, f"t{i}", "", [f"t{j}" for j in to], 0, [], "2021-01-01", "2021-01-01") for i, to in out.items()]
+    spark.createDataFrame(rows, f"{PAGE}, edited_at string, loaded_at string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    old, n = dict.fromkeys(out, 1 / len(out)), len(out)
+    for step in range(100):
+        new = {i: 0.85 * sum(old[j] / len(to) for j, to in out.items() if i in to) + 0.15 / n * (old[i] if reference else 1) for i in out}
+        if sum(abs(new[i] - old[i]) for i in out) < 1e-4:
+            break
+        old = new
+    got = {r.doc_id: r.rank for r in search_queries.REGISTRY[name](spark, str(tmp_path)).collect()}
+    assert step > 5 and got == pytest.approx(old, abs=1e-12)
