@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import wikitext
 from ..functions.read import current_pages, target, usable
-from ..operators import index, links, lookup, recommend, search, suggest
+from ..operators import index, links, lookup, recommend, running, search, suggest
 from ..session import cut, scratch_path, spread, table
 from ..sources import dumps
 
@@ -317,14 +317,26 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 
 def result_page(spark: SparkSession, d: str) -> DataFrame:
     """Second page of ten of the hits of query 1 by tf_idf."""
-    hits = search.top_k(usable_hits(spark, d).where("query_id = 1").withColumn("score", F.col("tf_idf")), 1000, decimals=6)
-    return lookup.page_of(hits.select("doc_id", "place"), 2).select("doc_id", "place", F.col("pages").cast("long").alias("pages"))
+    return _paged(usable_hits(spark, d).where("query_id = 1")).where("page = 2").select("doc_id", "place", "pages")
+
+
+def result_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of ten of the hits of every query by tf_idf."""
+    return _paged(usable_hits(spark, d))
+
+
+def _paged(hits: DataFrame, size: int = 10) -> DataFrame:
+    """All hits with their page and place; a hot query's places are summed in ranges."""
+    hits = cut(hits.select("query_id", "doc_id", (-F.round("tf_idf", 6)).alias("down"), F.lit(1).alias("one")), "hits")
+    totals = hits.groupBy("query_id").agg((F.floor(F.count(F.lit(1)) / size) + 1).cast("long").alias("pages"))
+    placed = running.running_sum(hits, ["query_id"], ["down", "doc_id"], {"place": "one"}).join(totals, "query_id")
+    return placed.select("query_id", F.ceil(F.col("place") / size).cast("int").alias("page"), "doc_id", F.col("place").cast("int").alias("place"), "pages")
 
 
 REGISTRY = {f.__name__: f for f in (
     tokenize_en, abstract_slice, postings_build, doc_freq_idf, tfidf_weights, doc_norms, vocab_stats, stopword_case, query_terms, or_candidates, phrase_score, vsm_topk, combined_search,
     exact_title, title_promotion, suggestion_ranks, combined_search_converged, suggestion_ranks_converged, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
-    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page)}
+    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page, result_pages)}
 REGISTRY |= {"wildcard_star": _wildcard("m*riki"), "wildcard_qmark": _wildcard("?alley"), "pagerank_ref_5": _pagerank("reference"), "pagerank_std_5": _pagerank("standard")}
 REGISTRY |= {name: _complete(q) for name, q in PREFIXES.items()}
 REGISTRY |= {f"pagerank_{short}_converged": _pagerank(mode, None, CONVERGED_DECIMALS) for short, mode in (("ref", "reference"), ("std", "standard"))}

@@ -247,3 +247,14 @@ def test_registered_rank_converges(spark, tmp_path, name, reference):
         old = new
     got = {r.doc_id: r.rank for r in search_queries.REGISTRY[name](spark, str(tmp_path)).collect()}
     assert step > 5 and got == pytest.approx(old, abs=1e-12)
+
+
+def test_results_are_paged_for_every_query_to_the_end(spark, tmp_path):
+    rows = [(q, i, float(i % 700)) for q, n in ((1, 1234), (2, 20), (3, 3)) for i in range(n)]
+    spark.createDataFrame([*rows, rows[0], (1, None, 9.0), (None, 1, 9.0)], "query_id long, doc_id long, tf_idf double").write.parquet(f"{tmp_path}/query_hits.parquet")
+    want = set()
+    for q, n in ((1, 1234), (2, 20), (3, 3)):
+        ordered = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        want |= {(q, i // 10 + 1, r[1], i + 1, n // 10 + 1) for i, r in enumerate(ordered)}
+    assert set(map(tuple, search_queries.result_pages(spark, str(tmp_path)).collect())) == want
+    assert {r.pages for r in search_queries.result_page(spark, str(tmp_path)).collect()} == {124}
