@@ -258,3 +258,10 @@ def test_results_are_paged_for_every_query_to_the_end(spark, tmp_path):
         want |= {(q, i // 10 + 1, r[1], i + 1, n // 10 + 1) for i, r in enumerate(ordered)}
     assert set(map(tuple, search_queries.result_pages(spark, str(tmp_path)).collect())) == want
     assert {r.pages for r in search_queries.result_page(spark, str(tmp_path)).collect()} == {124}
+
+
+def test_every_category_word_cuts_chinese_texts(spark, tmp_path):
+    words = spark.range(50_000).select(F.concat(F.lit("一"), F.expr("char(19968 + cast(id / 20000 as int))"), F.expr("char(19968 + cast(id % 20000 as int))")).alias("term"))
+    words.unionByName(spark.createDataFrame([("鿀鿁",), ("龠龡",)], "term string")).write.parquet(f"{tmp_path}/category_postings.parquet")
+    spark.createDataFrame([(1, "龠龡")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert search_queries.zh_tokens(spark, str(tmp_path)).first().tokens == 1
