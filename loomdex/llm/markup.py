@@ -166,7 +166,14 @@ _TICK = [_sub(r"<(?:code|tt|samp|kbd)\b[^<>]*>(.*?)</(?:code|tt|samp|kbd)\s*>",
 _DISPLAY = [_sub(r"\$\$(.+?)\$\$", re.S), _sub(r"\\\[(.+?)\\\]", re.S), _sub(r"\\begin\{(?:equation|align|displaymath|gather)\*?\}(.*?)(?:\\end\{(?:equation|align|displaymath|gather)\*?\}|\Z)", re.S), _sub(r"(?m)^:<math\b[^<>]*>(.*?)</math\s*>", _S)]
 _MATH = [_sub(r"<math\b[^<>]*>(.*?)</math\s*>", _S), _sub(r"\\\((.+?)\\\)", re.S), _sub(r"\$(?=[^\s$])((?:[A-Za-z]{1,2}|[^$\n]{0,300}?[\\^_={}+<>][^$\n]{0,300}?)(?<=[^\s$]))\$(?!\d)")]
 _ANY_TAG = re.compile(rf"(?i)</?(?:{NAMES})(?=[\s/>])[^<>]{{0,4000}}>|</[A-Za-z][A-Za-z0-9]{{0,20}}\s*>")
-_GONE = [_sub(r"<!--.*?(?:-->|\Z)", re.S), _sub(r"<(head|style|script)\b[^<>]*>.*?</\1\s*>", _S), _sub(r"<ref\b[^<>]*/>", re.I), _sub(r"<ref\b[^<>]*>.*?</ref\s*>", _S)]
+# a comment that is never closed loses only its mark, by the last rule of _INLINE
+_COMMENT = _sub(r"<!--.*?-->", re.S)
+_GONE = [_sub(r"<(head|style|script)\b[^<>]*>.*?</\1\s*>", _S), _sub(r"<ref\b[^<>]*/>", re.I), _sub(r"<ref\b[^<>]*>.*?</ref\s*>", _S)]
+
+
+def _no_comments(text: str, by: str) -> str:
+    end = text.rfind("-->") + 3  # nothing is searched for behind the last end
+    return _COMMENT.sub(by, text[:end]) + text[end:] if end > 2 else text
 
 
 def _hold(text: str, keep: _Holder) -> str:
@@ -504,13 +511,13 @@ def _convert(text: str) -> str:
     keep = _Holder()
     text = text.replace("\r\n", "\n").translate({0xE000: None, 0xE001: None, 0xE002: None, 0xE003: None})
     if "<" in text:
-        for p in _GONE[:2]:
-            text = p.sub(" ", text)
+        text = _GONE[0].sub(" ", _no_comments(text, " "))
     text = _hold(text, keep)
     for _ in range(2):  # entities may be escaped twice
         if "&" in text and (_ENTITY.search(text) or _ENTITY_OPEN.search(text)):
             text = html.unescape(_ENTITY.sub(lambda m: m[0] if not m[3] or m[3] + ";" in html5 else m[0].lower(), text))
     if "<" in text:
+        text = _no_comments(text, "")
         for p in _GONE:
             text = p.sub("", text)
     if "\\begin" in text:

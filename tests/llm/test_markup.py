@@ -87,3 +87,12 @@ def test_operator(spark):
     null = markup.clean_markup(df).where("doc_id = 2").first()
     assert null.clean_text is None and null.constructs == []
     assert markup.clean_markup(df.limit(0)).count() == 0 and markup.clean_markup(df.withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "constructs", "extra", "clean_text"]
+
+
+@pytest.mark.parametrize("mark", ["<!--", "&lt;!--", "&amp;lt;!--"])
+def test_a_comment_without_end_takes_no_text(mark):
+    shown, found = markup.clean(f"One {mark} two.\n\nThree <!-- gone --> four, {mark} five.\n\nSix.")
+    assert "html_comment" in found or "html_entity" in found
+    assert "Six." in shown and "five" in shown and "<!--" not in shown
+    shown, _ = markup.clean(f"One.\n\nThree <!-- gone --> four, {mark} five.\n\nSix.")
+    assert shown == "One.\n\nThree four, five.\n\nSix."
