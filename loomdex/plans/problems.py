@@ -49,8 +49,7 @@ def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    held = quantiles.per_key_quantiles(keyed_rows(spark, d), ["key_field", "key_value"], "value", [0.5], ["key_field"], min_share=0.02, hot_rows=20_000)
-    return held.select("key_field", "key_value")
+    return quantiles.hot_keys(keyed_rows(spark, d), ["key_value"], ["key_field"], min_share=0.02).select("key_field", "key_value")
 
 
 def p4_quantiles(spark: SparkSession, d: str) -> DataFrame:

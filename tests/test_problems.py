@@ -266,3 +266,36 @@ def test_loop_ways_match_brute_force(spark):
     links = [(i, rng.randrange(60)) for i in range(60)] + [(100 + i, 100 + (i + 1) % 37) for i in range(37)] + [(200 + i, 201 + i) for i in range(50)] + [(250, 103)]
     df = spark.createDataFrame(links, "node long, parent long")
     assert {r.node: r.way for r in hierarchy.loop_ways(df, hierarchy.resolve(df)).collect()} == brute_ways(links)
+
+
+# ---------------------------------------------------------------- hot keys
+
+
+@pytest.mark.parametrize(("share", "seed"), [(0.02, 1), (0.3, 2), (1.0, 3), (0.0005, 4)])
+def test_hot_keys_match_a_full_count(spark, share, seed):
+    from collections import Counter
+
+    rng = random.Random(seed)
+    rows = [(rng.choice("fg"), rng.choice(["hot"] * 3 + [f"k{rng.randrange(12)}", f"x{rng.randrange(400)}", None])) for _ in range(2_000)] + [("h", "only")] * 2 + [(None, "hot")]
+    df = spark.createDataFrame(rows, "f string, k string").withColumn("n", F.lit("clash")).withColumn("total", F.lit(1))
+    counts = Counter((f, k) for f, k in rows if f is not None and k is not None)
+    totals = Counter(f for f, k in rows if k is not None)
+    want = {(f, k, n, totals[f]) for (f, k), n in counts.items() if n >= share * totals[f]}
+    got = quantiles.hot_keys(df, ["k"], ["f"], share, bins=16).collect()
+    assert {(r.f, r.k, r.n, r.total) for r in got} == want and len(got) == len(want)
+    assert quantiles.hot_keys(df.limit(0), ["k"], ["f"], share).count() == 0
+
+
+def test_quantiles_reject_what_is_not_whole(spark):
+    with pytest.raises(TypeError):
+        quantiles.per_key_quantiles(spark.createDataFrame([("a", 1.5)], "k string, v double"), ["k"], "v", [0.5])
+    extremes = spark.createDataFrame([("a", v) for v in (-(2**63), 2**63 - 1, 0, -1, 5)], "k string, v long")
+    assert [r.q0 for r in quantiles.per_key_quantiles(extremes, ["k"], "v", [0.5], hot_rows=1).collect()] == [0]
+
+
+def test_hot_keys_are_found_by_histograms_alone(spark):
+    from conftest import DATA
+
+    plan = problems.p4_found(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    # only keys at a selected rank are counted: the filter on them stands below the aggregate
+    assert plan.index("HashAggregate") < plan.index("Join") and plan.count("Join") == 1
