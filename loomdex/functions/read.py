@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def target(raw: Column) -> Column:
     """A link target up to the first ``#`` or ``|``, ``_`` as a blank, without outer white
     space; null where nothing is left, so null and empty targets are no reference."""
-    named = F.translate(F.regexp_extract(raw, r"^[^#|]*", 0), "_", " ")
-    bare = F.regexp_replace(named, r"(?U)^\s+|\s+$", "")
+    named = F.translate(F.substring_index(F.substring_index(raw, "#", 1), "|", 1), "_", " ")
+    bare = F.btrim(named, F.lit(WHITE))
     return F.when(bare != "", bare)
 
 
 def term(raw: Column) -> Column:
     """An index term lower-cased without outer blanks; null where nothing is left."""
-    bare = F.lower(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))
+    bare = F.lower(F.btrim(raw, F.lit(WHITE)))
     return F.when(bare != "", bare)
 
 
