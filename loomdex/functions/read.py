@@ -24,14 +24,18 @@ def term(raw: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def usable(postings: DataFrame) -> DataFrame:
-    """``(term, doc_id, n)`` of an index table: rows whose term is not null or blank, whose
-    ``doc_id`` is not null and whose ``lc`` has an element; rows with equal read term and
-    ``doc_id`` count as one, the one with most positions. An empty table gives no rows."""
+def usable_rows(postings: DataFrame) -> DataFrame:
+    """``(term, doc_id, n)`` of an index table's rows whose term is not null or blank, whose
+    ``doc_id`` is not null and whose ``lc`` has an element, repeats included."""
     n = F.size("lc")  # null and empty lists give -1 or 0 (or null): not usable
     rows = postings.select(term(F.col("term")).alias("term"), "doc_id", n.alias("n"))
-    kept = rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    return kept.groupBy("term", "doc_id").agg(F.max("n").alias("n"))
+    return rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull() & (F.col("n") > 0))
+
+
+def usable(postings: DataFrame) -> DataFrame:
+    """:func:`usable_rows` with rows of equal read term and ``doc_id`` as one, the one with most
+    positions. An empty table gives no rows."""
+    return usable_rows(postings).groupBy("term", "doc_id").agg(F.max("n").alias("n"))
 
 
 def current_pages(pages: DataFrame) -> DataFrame:
