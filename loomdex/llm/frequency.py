@@ -1,9 +1,11 @@
 """Problem 7: occurrences and records of every distinct term, with a mark on those too rare or
 too common to be useful.
 
-Method: heavy-light aggregation. Terms found to be heavy are given small numbers and broadcast;
-each task counts them in local arrays and sends one array pair, whatever its number of rows. Only
-rows of the other terms take part in the shuffle by term. Both tables together are exact.
+Method: heavy-light aggregation. Heavy terms are detected by a frequent-items sketch of bounded
+size per task, merged; they are given small numbers and broadcast, and each task counts them in
+local arrays and sends one array pair, whatever its number of rows. Only rows of the other terms
+take part in the shuffle by term, once. The sketch decides where a term is counted, never how
+often: both count tables are exact, and together they hold every term.
 """
 
 from __future__ import annotations
@@ -15,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.read import usable
-from ..session import cut
+from ..functions.read import usable_rows
 
-#: A term is heavy from this share of the rows on, so there are at most 1/share heavy terms.
+#: A term is heavy from this share of its table's rows on, so there are at most 1/share heavy terms.
 HEAVY_SHARE = 0.005
+#: Terms that a task's sketch follows per 1/share; its error is a small part of the share.
+TRACKED = 32
 
 
-def heavy_terms(pairs: DataFrame, share: float = HEAVY_SHARE) -> list[tuple[str, str]]:
-    """``(tbl, term)`` of at least ``share`` of the rows, found by partial counts; at most 1/share."""
-    counted = pairs.groupBy("tbl", "term").agg(F.count(F.lit(1)).alias("c"))
-    total = pairs.count()
-    return [(r.tbl, r.term) for r in counted.where(F.col("c") >= max(2.0, share * total)).select("tbl", "term").collect()]
+def heavy_terms(rows: DataFrame, share: float = HEAVY_SHARE) -> list[tuple[str, str]]:
+    """``(tbl, term)`` of about ``share`` of their table's rows or more, by merged sketches of
+    bounded size; at most 1/share of each table. A term missed or named in error costs time only."""
+    k = max(1, round(1 / share))
+    sketched = rows.groupBy("tbl").agg(F.count(F.lit(1)).alias("total"), F.expr(f"approx_top_k(term, {k}, {TRACKED * k})").alias("top")).collect()  # one row per table
+    return [(r.tbl, t.item) for r in sketched for t in r.top if t["count"] >= max(2.0, share * r.total)]
 
 
 def _local_arrays(size: int):
@@ -43,6 +47,13 @@ def _local_arrays(size: int):
     return count
 
 
+def _light(rows: DataFrame) -> DataFrame:
+    """Counts of terms that are each a small share of the rows: one shuffle by term, after which a
+    term's repeated rows and its records are counted where they lie."""
+    each = rows.repartition("tbl", "term").groupBy("tbl", "term", "doc_id").agg(F.max("n").alias("n"))
+    return each.groupBy("tbl", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
+
+
 def term_frequencies(tables: dict[str, DataFrame], rare_records: int = 2, common_share: float = 0.2, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """``(tbl, term, occurrences, records, mark)`` of each term of each index table.
 
@@ -51,22 +62,21 @@ def term_frequencies(tables: dict[str, DataFrame], rare_records: int = 2, common
     wins), else null. Null, blank and repeated rows count as :func:`..functions.read.usable` says;
     empty tables give no rows; extra columns are ignored.
     """
-    parts = [usable(df).select(F.lit(name).alias("tbl"), "term", "doc_id", F.col("n").cast("long").alias("n")) for name, df in tables.items()]
-    pairs = parts[0]
+    parts = [usable_rows(df).select(F.lit(name).alias("tbl"), "term", "doc_id", F.col("n").cast("long").alias("n")) for name, df in tables.items()]
+    rows = parts[0]
     for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    pairs = cut(pairs, "pairs")
-    spark = pairs.sparkSession
-    heavy = sorted(heavy_terms(pairs, heavy_share))
+        rows = rows.unionByName(p)
+    spark = rows.sparkSession
+    heavy = sorted(heavy_terms(rows, heavy_share))
     numbers = spark.createDataFrame([(t, w, i) for i, (t, w) in enumerate(heavy)], "tbl string, term string, at int")
-    light = pairs.join(F.broadcast(numbers), ["tbl", "term"], "left_anti").groupBy("tbl", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
-    counts = light
+    counts = _light(rows.join(F.broadcast(numbers), ["tbl", "term"], "left_anti"))
     if heavy:
-        numbered = pairs.join(F.broadcast(numbers), ["tbl", "term"]).select("at", "n")
+        # repeated rows of a heavy term meet by record, so no task has all of a term's rows
+        numbered = rows.join(F.broadcast(numbers), ["tbl", "term"]).groupBy("at", "doc_id").agg(F.max("n").alias("n")).select("at", "n")
         arrays = numbered.mapInArrow(_local_arrays(len(heavy)), "records array<long>, occurrences array<long>")
         summed = arrays.select(F.posexplode(F.arrays_zip("records", "occurrences")).alias("at", "c")).groupBy("at").agg(F.sum("c.occurrences").alias("occurrences"), F.sum("c.records").alias("records"))
-        counts = light.unionByName(summed.join(F.broadcast(numbers), "at").select("tbl", "term", "occurrences", "records"))
-    docs = {r.tbl: r.docs for r in pairs.select("tbl", "doc_id").distinct().groupBy("tbl").agg(F.count(F.lit(1)).alias("docs")).collect()}  # one row per table
+        counts = counts.unionByName(summed.join(F.broadcast(numbers), "at").select("tbl", "term", "occurrences", "records"))
+    docs = {r.tbl: r.docs for r in rows.select("tbl", "doc_id").distinct().groupBy("tbl").agg(F.count(F.lit(1)).alias("docs")).collect()}  # one row per table
     enough = F.lit(False)
     for name, n in docs.items():
         enough = enough | ((F.col("tbl") == name) & (F.col("records") >= common_share * n))

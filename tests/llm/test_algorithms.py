@@ -195,3 +195,14 @@ def test_positions_invert_demand(spark):
         t = r.t
         demand = 10 * t * t if t <= 0.5 else 5 - 10 * (1 - t) ** 2
         assert demand == pytest.approx(r.c, abs=1e-9)
+
+
+def test_heavy_terms_are_sketched_and_light_ones_shuffled_once(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.4 else f"t{rng.randrange(3000)}", i, [1]) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "term string, doc_id long, lc array<int>")
+    marked = frequency.usable_rows(df).withColumn("tbl", F.lit("p"))
+    assert ("p", "hot") in frequency.heavy_terms(marked) and len(frequency.heavy_terms(marked)) <= 1 / frequency.HEAVY_SHARE
+    both = marked.unionByName(marked.withColumn("tbl", F.lit("q")))
+    plan = frequency._light(both)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(tbl" in plan
