@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.read import usable_rows
+from ..session import cut
 
 #: A term is heavy from this share of its table's rows on, so there are at most 1/share heavy terms.
 HEAVY_SHARE = 0.005
@@ -66,6 +67,7 @@ def term_frequencies(tables: dict[str, DataFrame], rare_records: int = 2, common
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = cut(rows, "usable")  # read and cleaned once, used by the sketch and by all counts
     spark = rows.sparkSession
     heavy = sorted(heavy_terms(rows, heavy_share))
     numbers = spark.createDataFrame([(t, w, i) for i, (t, w) in enumerate(heavy)], "tbl string, term string, at int")
