@@ -1,14 +1,19 @@
 """References to records that do not exist (problem 3).
 
-Method: a ledger with keyed pending-orphan state, advanced period by period. It holds a parent
-index (per key: how many of its spans have begun, are open, have ended) and the orphans found so
-far. A period's references probe the index as it is at their own time; arriving parents resolve
-waiting orphans, deletions reopen them; after each period the open orphans are counted per
-reference field and month.
-
-Hot keys: references are never grouped by key. They meet the index in a join whose other side has
-one row per key, which AQE can split; only references to keys that change within the period are
-placed among that period's changes, by running sums that cut heavy groups into ranges.
+Method: a ledger with keyed pending-orphan state, advanced by batches of references and changes of
+parents, such as those of a period. It holds a parent index (per key: how many of its spans have
+begun, are open, have ended) and the orphans found so far. New references probe the index as it is
+at their own time; arriving parents resolve the orphans that wait for them; deletions reopen them.
+
+What an advance writes is in proportion to its batch and to the orphans that wait: the index is a
+base table and a short list of deltas that are merged into a new base only when they have grown to
+a part of it, and orphans whose reason is settled are appended, never read again. Whether an orphan
+is open follows from its key's row in the index, so deletions and returns cost one index row.
+
+Hot keys: references are never grouped by key. They meet the index in joins whose other side has
+one row per key, which AQE can split. A key's changes of one batch lie in its index row as a short
+list; keys with more than ``MANY_CHANGES`` of them are placed by running sums that cut heavy groups
+into ranges.
 """
 
 from __future__ import annotations
@@ -18,10 +23,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, fits_broadcast, scratch_path
 from .running import running_sum
 
 KEY = ["space", "key"]
+COUNTS = ["begun", "opened", "ended"]
+#: Changes of one key in one batch that its index row lists; keys with more go by running sums.
+MANY_CHANGES = 500
 ALWAYS = -(2**62)
 
 
@@ -46,61 +54,132 @@ def span_changes(spans: DataFrame) -> DataFrame:
     return s.select(*KEY, F.explode(changes).alias("c")).select(*KEY, "c.*")
 
 
+def _side(df: DataFrame):
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
 class OrphanLedger:
-    """State of the ledger; every advance writes new state tables into the shared folder.
+    """State of the ledger; every advance appends new state tables in the shared folder.
 
     References are ``(field, src_id, space, key, at)`` with ``at`` in microseconds; rows with a
     null key or time are no reference. Repeated references count once.
     """
 
+    ORPHAN = "field string, src_id long, space string, key string, at long"
+
     def __init__(self, spark):
         self.spark = spark
-        self.index = spark.createDataFrame([], "space string, key string, begun long, opened long, ended long")
-        self.orphans = spark.createDataFrame([], "field string, src_id long, space string, key string, at long, reason string, open boolean")
+        #: The parent index: ``(space, key, begun, opened, ended)`` as a base and later deltas.
+        self.base: DataFrame | None = None
+        self.deltas: list[DataFrame] = []
+        self.sizes = [0, 0]  # rows of the base and of the deltas
+        #: Orphans of settled reason (deleted, late), and those that wait for their parent.
+        self.settled: list[DataFrame] = []
+        self.waiting = spark.createDataFrame([], self.ORPHAN)
         #: All changes and the last month of references, where :func:`run_ledger` filled the ledger.
         self.changes = spark.createDataFrame([], "space string, key string, at long, begun int, opened int, ended int")
         self.last_month: str | None = None
         self.snapshots = spark.createDataFrame([], "as_of long, field string, month string, reason string, open boolean, n long")
 
+    # ------------------------------------------------------------ the index
+
+    def index(self) -> DataFrame:
+        """``(space, key, begun, opened, ended)`` of every key that ever changed, as of now."""
+        parts = [*([] if self.base is None else [self.base]), *self.deltas]
+        if not parts:
+            return self.spark.createDataFrame([], "space string, key string, begun long, opened long, ended long")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out if len(parts) == 1 else out.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+    def _append(self, delta: DataFrame, rows: int) -> None:
+        """Add a delta; once the deltas together are a quarter of the base, merge them into it."""
+        self.deltas.append(delta)
+        self.sizes[1] += rows
+        if self.base is None and len(self.deltas) == 1:
+            self.base, self.deltas, self.sizes = delta, [], [rows, 0]
+        elif 4 * self.sizes[1] > self.sizes[0]:
+            self.base, self.deltas = cut(self.index(), "index"), []
+            self.sizes = [sum(self.sizes), 0]
+
+    # ------------------------------------------------------------ one batch
+
     def advance(self, refs: DataFrame, changes: DataFrame, as_of: int) -> None:
         """Take in the references and parent changes of one period that ends at ``as_of``."""
-        moved = changes.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("begun", "opened", "ended")])
-        merged = self.index.unionByName(moved).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("begun", "opened", "ended")])
-        index = cut(merged, "index")
-
-        # probe: the index at the period's beginning, then changes inside the period up to `at`
-        probed = refs.where("key is not null and at is not null").join(
-            self.index.withColumnsRenamed({"begun": "b0", "opened": "o0", "ended": "e0"}), KEY, "left").join(
-            moved.select(*KEY, F.lit(True).alias("changing")), KEY, "left").where("changing or o0 is null or o0 = 0").select(
-            "field", "src_id", *KEY, "at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("b0", "o0", "e0")], F.coalesce("changing", F.lit(False)).alias("changing")).distinct()
-        probed = cut(probed, "probed")
-        still = probed.where("not changing")
-        placed = self._place(probed.where("changing"), changes)
-        new = still.unionByName(placed).where("o0 <= 0").select("field", "src_id", *KEY, "at", F.when(F.col("e0") > 0, "deleted").otherwise("waiting").alias("reason"))
-
-        # all orphans against the new index: arrivals resolve, deletions reopen
-        known = self.orphans.select(*new.columns).unionByName(new)
-        now = known.join(index, KEY, "left")
-        arrived, there = F.coalesce("begun", F.lit(0)) > 0, F.coalesce("opened", F.lit(0)) > 0
-        self.orphans = cut(now.select("field", "src_id", *KEY, "at", F.when((F.col("reason") == "waiting") & arrived, "late").otherwise(F.col("reason")).alias("reason"), (~there).alias("open")), "orphans")
-        self.index = index
-        counts = self.orphans.groupBy("field", month_of(F.col("at")).alias("month"), "reason", "open").agg(F.count(F.lit(1)).alias("n"))
+        many = cut(changes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY_CHANGES).select(*KEY, F.lit(True).alias("_many")), "many")
+        some_many = not many.isEmpty()
+        listed = changes.join(_side(many), KEY, "left") if some_many else changes.withColumn("_many", F.lit(None).cast("boolean"))
+        change = F.when(F.col("_many").isNull(), F.struct("at", *COUNTS))  # nulls are not collected
+        moved = cut(listed.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTS], F.first("_many").alias("many"), F.collect_list(change).alias("steps")), "moved")
+
+        found = self._probe(refs.where("key is not null and at is not null"), moved, changes, some_many)
+        found = cut(found.distinct(), "found")
+
+        # arrivals of this batch resolve what waits, old and new
+        waiting = self.waiting.unionByName(found.where("not deleted").drop("deleted"))
+        arrived = _side(moved.where("begun > 0").select(*KEY))
+        orphan = F.struct(*[f.split(" ")[0] for f in self.ORPHAN.split(", ")])
+        marked = cut(waiting.join(arrived.withColumn("_here", F.lit(True)), KEY, "left").select(orphan.alias("o"), F.col("_here").isNotNull().alias("late")), "waiting")
+        self.waiting = marked.where("not late").select("o.*")
+        self.settled += [found.where("deleted").drop("deleted").withColumn("reason", F.lit("deleted")), marked.where("late").select("o.*", F.lit("late").alias("reason"))]
+        self._append(moved.select(*KEY, *COUNTS), moved.count())
+        counts = self.orphans(True).groupBy("field", month_of(F.col("at")).alias("month"), "reason", "open").agg(F.count(F.lit(1)).alias("n"))
         self.snapshots = self.snapshots.unionByName(counts.select(F.lit(as_of).cast("long").alias("as_of"), "*"))
 
+    def _probe(self, refs: DataFrame, moved: DataFrame, changes: DataFrame, some_many: bool) -> DataFrame:
+        """``(field, src_id, space, key, at, deleted)`` of the references whose parent was not there
+        at their time: the index before this batch and the batch's changes up to that time."""
+        at_first = [F.lit(0).cast("long").alias(c) for c in ("b0", "o0", "e0")]
+        state = refs.select("field", "src_id", *KEY, "at")
+        if self.base is None:
+            state = state.select("*", *at_first)
+        else:
+            before = self.base.select(*KEY, *[F.col(c).alias(f"{c[0]}0") for c in COUNTS])
+            state = state.join(before, KEY, "left").select("field", "src_id", *KEY, "at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("b0", "o0", "e0")])
+        for delta in self.deltas:
+            since = _side(delta.select(*KEY, *[F.col(c).alias(f"_{c}") for c in COUNTS]))
+            state = state.join(since, KEY, "left").select("field", "src_id", *KEY, "at", *[(F.col(f"{c[0]}0") + F.coalesce(f"_{c}", F.lit(0))).alias(f"{c[0]}0") for c in COUNTS])
+        probed = state.join(_side(moved.select(*KEY, "many", "steps")), KEY, "left")
+        upto = lambda c: F.aggregate(F.filter("steps", lambda x: x["at"] <= F.col("at")), F.lit(0).cast("long"), lambda acc, x: acc + x[c])
+        # most keys do not change, or have no more than one change that was always true
+        lasting = (F.size("steps") == 1) & (F.element_at("steps", 1)["at"] == ALWAYS)
+        here = F.when(F.col("steps").isNull(), F.col("o0")).when(lasting, F.col("o0") + F.element_at("steps", 1)["opened"]).otherwise(F.col("o0") + upto("opened"))
+        ended = F.col("e0") + F.when(F.col("steps").isNull(), 0).otherwise(upto("ended"))
+        short = probed.where("many is null").where(here <= 0).select("field", "src_id", *KEY, "at", (ended > 0).alias("deleted"))
+        if not some_many:
+            return short
+        placed = self._place(probed.where("many").drop("many", "steps"), changes.join(_side(moved.where("many").select(*KEY)), KEY, "left_semi"))
+        return short.unionByName(placed.where("o0 <= 0").select("field", "src_id", *KEY, "at", (F.col("e0") > 0).alias("deleted")))
+
     @staticmethod
     def _place(refs: DataFrame, changes: DataFrame) -> DataFrame:
-        """References to changing keys with the changes up to their time added to b0, o0, e0."""
+        """References to keys of very many changes with the changes up to their time added to b0, o0, e0."""
         zero = F.lit(0).cast("long")
-        timeline = refs.select(*KEY, "at", F.lit(1).alias("side"), "field", "src_id", "b0", "o0", "e0", "changing", zero.alias("begun"), zero.alias("opened"), zero.alias("ended")).unionByName(
-            changes.select(*KEY, "at", F.lit(0).alias("side"), *[F.col(c).cast("long") for c in ("begun", "opened", "ended")]), allowMissingColumns=True)
+        refs = refs.distinct()
+        timeline = refs.select(*KEY, "at", F.lit(1).alias("side"), "field", "src_id", "b0", "o0", "e0", zero.alias("begun"), zero.alias("opened"), zero.alias("ended")).unionByName(
+            changes.groupBy(*KEY, "at").agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS]).withColumn("side", F.lit(0)), allowMissingColumns=True)
         sums = {"_b": "begun", "_o": "opened", "_e": "ended"}
         timeline = running_sum(timeline, KEY, ["at", "side", "field", "src_id"], sums).withColumns({"b0": F.col("b0") + F.col("_b"), "o0": F.col("o0") + F.col("_o"), "e0": F.col("e0") + F.col("_e")})
         return timeline.where("side = 1").select(*refs.columns)
 
-    def report(self) -> DataFrame:
-        """``(field, src_id, key, reason, month, open)`` of every orphan; those still waiting are
+    # ------------------------------------------------------------ reports
+
+    def orphans(self, with_open: bool = False) -> DataFrame:
+        """Every orphan found so far with its ``reason`` (deleted, late, waiting) and, if wanted,
+        whether it is ``open``: no span of its key is, as of now."""
+        out = self.waiting.withColumn("reason", F.lit("waiting"))
+        for s in self.settled:
+            out = out.unionByName(s)
+        if not with_open:
+            return out
+        return out.join(self.index().select(*KEY, "opened"), KEY, "left").withColumn("open", F.coalesce("opened", F.lit(0)) <= 0).drop("opened")
+
+    def report(self, with_open: bool = True) -> DataFrame:
+        """``(field, src_id, key, reason, month[, open])`` of every orphan; those still waiting are
         missing. Month is that of the reference."""
-        return self.orphans.select("field", "src_id", "key", F.when(F.col("reason") == "waiting", "missing").otherwise(F.col("reason")).alias("reason"), month_of(F.col("at")).alias("month"), "open").distinct()
+        shown = F.when(F.col("reason") == "waiting", "missing").otherwise(F.col("reason")).alias("reason")
+        return self.orphans(with_open).select("field", "src_id", "key", shown, month_of(F.col("at")).alias("month"), *(["open"] if with_open else [])).distinct()
 
 
 def month_starts(first: datetime, last: datetime, months: int) -> list[datetime]:
@@ -125,16 +204,27 @@ def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24, times: DataF
     changes = cut(span_changes(spans), "all-changes")
     ledger.changes, ledger.last_month = changes, limits[1]
     ends = month_starts(datetime.strptime(limits[0], "%Y-%m"), datetime.strptime(limits[1], "%Y-%m"), months)
-    begin = None
-    for k, end in enumerate(ends):
-        at = int((end - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
-        last = k == len(ends) - 1
-        within = (F.lit(True) if begin is None else F.col("at") >= begin) & (F.lit(True) if last else F.col("at") < at)
-        ledger.advance(refs.where(within), changes.where(within), at)
-        begin = at
+    end_of = [int((end - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for end in ends]
+    # the last period takes what is later too, the first what is earlier
+    period = F.lit(0)
+    for end in end_of[:-1]:
+        period = period + F.when(F.col("at") >= end, 1).otherwise(0)
+    if len(end_of) > 1:  # read and taken apart once, not once per period
+        refs = _by_period(refs.where("key is not null and at is not null"), period, "refs")
+    for k, end in enumerate(end_of):
+        within = refs.where(F.col("_period") == k).drop("_period") if len(end_of) > 1 else refs
+        ledger.advance(within, changes.where(period == k), end)
     return ledger
 
 
+def _by_period(df: DataFrame, period: Column, name: str) -> DataFrame:
+    """``df`` with ``_period`` as a table of one folder per period, of which a filter reads one."""
+    path = scratch_path(df.sparkSession, name)
+    made = df.withColumn("_period", period)
+    made.write.partitionBy("_period").parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
 def month_number(at: Column) -> Column:
     """Months since year 0 of a time in microseconds; one before all others for always."""
     day = F.date_from_unix_date(F.floor(at / 86_400_000_000).cast("int"))
@@ -154,7 +244,7 @@ def monthly_snapshots(ledger: OrphanLedger) -> DataFrame:
     upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
     states = per.select(*KEY, "since", (F.sum("begun").over(upto) > 0).alias("arrived"), (F.sum("opened").over(upto) > 0).alias("there"), F.lead("since").over(by_key).alias("until"))
     before = per.groupBy(*KEY).agg(F.min("since").alias("until")).select(*KEY, F.lit(-2).alias("since"), F.lit(False).alias("arrived"), F.lit(False).alias("there"), "until")
-    groups = ledger.orphans.groupBy(*KEY, "field", month_number(F.col("at")).alias("own"), month_of(F.col("at")).alias("month"), (F.col("reason") == "deleted").alias("deleted")).agg(F.count(F.lit(1)).alias("n"))
+    groups = ledger.orphans().groupBy(*KEY, "field", month_number(F.col("at")).alias("own"), month_of(F.col("at")).alias("month"), (F.col("reason") == "deleted").alias("deleted")).agg(F.count(F.lit(1)).alias("n"))
     asked = int(ledger.last_month[:4]) * 12 + int(ledger.last_month[5:]) - 1 if ledger.last_month else -1
     last = max(asked, per.agg(F.max("since")).first()[0] or -1)
     reason = F.when(F.col("deleted"), "deleted").when(F.col("arrived"), "late").otherwise("waiting")

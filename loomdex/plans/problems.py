@@ -31,7 +31,7 @@ def _ledger(spark: SparkSession, d: str, months: int = 24) -> orphans.OrphanLedg
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _ledger(spark, d).report()
+    found = _ledger(spark, d).report(with_open=False)
     return found.select(F.col("field").alias("ref_field"), "src_id", F.col("key").alias("target_key"), "reason", F.col("month").alias("ref_month")).distinct()
 
 
