@@ -1,19 +1,25 @@
 """Problem 1: markup residue in text documents.
 
 :func:`clean` turns one text that carries HTML, Markdown, wikitext or LaTeX, whole or in remains,
-into clean text with headings (``# x``), lists (``- x``), code blocks (fenced) and formulas
-(``$x$``, ``$$x$$``), and names the constructs it found. Method: the text becomes a tree of
-containers and blocks; paragraphs pass points for length and commas to their ancestors, containers
-are discounted by link density, and the best container is kept together with those siblings that
-carry text. Texts without any construct come back unchanged.
-
-Everything works on whole texts with patterns of bounded look-ahead.
+into clean text with headings (``# x``), lists (``- x``, ``1. x``), tables (``| x |``), code blocks
+(fenced) and formulas (``$x$``, ``$$x$$``), and names the constructs it found.
+
+Method: all four syntaxes become one tree. Its containers are HTML boxes, sections (from headings
+of any syntax), lists, tables and quotes; its leaves are paragraphs, headings, items, rows, code
+and formulas. Paragraphs pass points for length and commas to their ancestors, containers are
+discounted by link density, and the best container is kept together with those siblings that carry
+text. Every node keeps the markup it was made from, so the constructs of a text are those of its
+nodes; a text whose tree has none comes back unchanged.
+
+Whole texts of any length are read, by patterns that look ahead no further than to the next mark of
+their kind; code, formulas, tags and nesting have no greatest size.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 
@@ -25,463 +31,845 @@ from pyspark.sql import functions as F
 BLOCKS = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form gallery h1 h2 h3 h4 h5 h6 header hr html li main nav ol p section summary table tbody td tfoot th thead tr ul".split()
 INLINE = "a abbr b bdi bdo big br cite code col colgroup del dfn em font head i iframe img includeonly input ins kbd label link map mark math meta mfrac mi mn mo mrow msqrt msub msup mtext noinclude nowiki object onlyinclude option poem pre q ref references s samp script select small source span strike strong style sub sup svg syntaxhighlight templatestyles textarea time title tt u var video wbr".split()
 NAMES = "|".join(sorted(BLOCKS + INLINE, key=len, reverse=True))
-# LaTeX commands that occur without an argument.
+# LaTeX commands that occur without an argument, and the signs that some stand for.
 BARE = "alpha|beta|gamma|delta|lambda|mu|pi|sigma|omega|item|maketitle|tableofcontents|frac|sum|prod|int|leq|geq|neq|approx|infty|sqrt|ldots|dots|cdot|times|quad|qquad|hline|toprule|midrule|bottomrule|centering|noindent|newline|newpage|par|tiny|small|large|textit|textbf|emph|cite|ref|section|subsection"
+SIGNS = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "lambda": "λ", "mu": "μ", "pi": "π", "sigma": "σ", "omega": "ω", "sum": "∑", "prod": "∏", "int": "∫", "leq": "≤", "geq": "≥", "neq": "≠", "approx": "≈", "infty": "∞", "sqrt": "√", "ldots": "…", "dots": "…", "cdot": "·", "times": "×", "quad": " ", "qquad": " "}
+# LaTeX commands whose argument is not part of the running text.
+UNSHOWN = set("footnote cite citep citet ref label eqref pageref index includegraphics usepackage documentclass bibliography bibliographystyle vspace hspace input begin end".split())
 # Namespace words of categories and files in the languages of the texts.
 NAMESPACES = "Category|Kategorie|Catégorie|Categoría|分类|分類|File|Image|Datei|Fichier|Archivo|文件"
-
-_HAN = "[㐀-鿿]"
-#: A pair of marks of which one has a Chinese character beside it.
-_BY_HAN = rf"(?:(?<={_HAN}){{m}}(?=[^\s*_])|(?<![\w*]){{m}}(?={_HAN})|(?<=\w){{m}}(?={_HAN}))[^*_\n]{{{{1,300}}}}?(?<=[^\s*_]){{m}}(?![*_])|(?<!\*){{m}}(?=[^\s*_])[^*_\n]{{{{1,300}}}}?(?:(?<={_HAN}){{m}}|(?<=[^\s*_]){{m}}(?={_HAN}))"
-
-#: (name, character that must occur, pattern); the first character test is cheap and skips most.
-_CONSTRUCTS = [
-    ("html_tag", "<", rf"(?i)</?(?:{NAMES})(?=[\s/>])[^<>]{{0,4000}}>"),
-    ("html_tag", "<", r"</[A-Za-z][A-Za-z0-9]{0,20}\s*>|<[A-Za-z][\w-]{0,20}(?:\s+[\w:-]{1,30}\s*=\s*(?:\"[^\"<>]{0,500}\"|'[^'<>]{0,500}'))+\s*/?>"),
-    ("html_broken_tag", "<", rf"(?i)</?(?:{NAMES})(?=[\s/<]|\Z)"),
-    ("html_comment", "-", r"<!--|-->"),
-    ("md_heading", "#", r"(?m)^ {0,3}#{1,6}[ \t]+\S"),
-    ("md_fence", "`", r"```"),
-    ("md_code", "`", r"`[^`\n]+`"),
-    ("md_strong", "*", r"\*\*"),
-    ("md_strong", "_", r"(?<!\w)__(?=[^\W_])[^\n]{0,300}?(?<=[^\s_])__(?!\w)"),
-    ("md_emphasis", "*", r"(?<![\w*\\])\*(?=[^\s*])[^*\n]{0,300}?(?<=[^\s*])\*(?![\w*])"),
-    # inside a word, and next to Chinese characters, which have no blanks around emphasis
-    ("md_emphasis", "*", rf"(?<=[^\W\d_])\*[^\W\d_]{{2,40}}\*(?=[^\W\d_])|{_BY_HAN.format(m=r'\*')}"),
-    ("md_strong", "__", _BY_HAN.format(m="__")),
-    ("md_emphasis", "_", r"(?<![\w\\])_(?=[^\s_])[^_\n]{0,300}?(?<=[^\s_])_(?!\w)"),
-    ("md_link", "]", r"\]\([^()\s]{0,500}[:/#.][^()\s]{0,500}|!\[[^\]\n]{0,500}\]\(|(?m:^\[[^\]\n]{1,80}\]:\s+\S)"),
-    ("md_footnote", "[", r"\[\^[^\]\s]{1,30}\]"),
-    ("md_strike", "~", r"~~"),
-    ("md_table", "-", r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|"),
-    ("md_quote", ">", r"(?m)^> \S"),
-    ("md_list", "- ", r"(?m)^ {0,8}- +\S"),
-    ("md_list", "* ", r"(?m)^ {0,8}\*+ +\S"),
-    ("md_list", "+ ", r"(?m)^ {0,8}\+ +\S"),
-    ("md_list", ". ", r"(?m)^ {0,8}\d{1,3}\. +\S[^\n]*\n {0,8}\d{1,3}\. +\S"),
-    ("md_rule", "---", r"(?m)^-{3,}[ \t]*$"),
-    ("md_heading", "===", r"(?m)^={3,}[ \t]*$"),
-    ("wiki_link", "[[", r"\[\["),
-    ("wiki_link", "]]", r"\]\]"),
-    ("wiki_template", "{{", r"\{\{"),
-    ("wiki_template", "}}", r"\}\}"),
-    ("wiki_quote", "''", r"''"),
-    ("wiki_heading", "==", r"(?m)^={2,6}[^=\n]|[^=\n]={2,6}[ \t]*$"),
-    ("wiki_table", "{|", r"(?m)^ *\{\|"),
-    ("wiki_table", "|", r"(?m)^(?:\|\}|\|-|\|\+|\|[ \t]+\S)|^![ \t]+\S[^\n]*\n\|"),
-    ("wiki_table", "||", r"\S[ \t]*\|\|[ \t]*\S"),
-    ("wiki_list", ":", r"(?m)^[:;]+ +\S"),
-    ("wiki_namespace", ":", rf"(?i)(?<!\w)(?:{NAMESPACES}):\S"),
-    ("wiki_magic", "__", r"__[A-Z]{3,}__"),
-    ("wiki_redirect", "#", r"(?i)#redirect\b"),
-    ("wiki_external", "[", r"(?i)\[(?:https?:)?//[^\]\s]+"),
-    ("latex_command", "\\", r"\\[A-Za-z]+\*?(?=[\[{])"),
-    ("latex_command", "\\", rf"(?<![A-Za-z0-9:\\])\\(?:{BARE})(?![A-Za-z])"),
-    ("latex_environment", "\\", r"\\(?:begin|end)\b"),
-    ("latex_formula", "$$", r"\$\$"),
-    ("latex_formula", "$", r"\$(?=[^\s$])(?:[A-Za-z]{1,2}|[^$\n]{0,300}?[\\^_={}+<>][^$\n]{0,300}?)(?<=[^\s$])\$(?!\d)"),
-    ("latex_formula", "\\", r"\\[()\[\]]"),
-    ("latex_escape", "\\", r"\\[%&_#$~,;]|\\\\[ \t]*$"),
-]
-_COMPILED = [(name, need, re.compile(pattern)) for name, need, pattern in _CONSTRUCTS]
-_ENTITY = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]{1,31}));")
-_ENTITY_OPEN = re.compile(r"(?i)&(?:nbsp|quot|amp|lt|gt)(?![a-z;=])")
-
-#: A text without any of these characters holds no construct.
-SUSPECT = r"[<>&\[\]{}|*_`\\$~#=:]|''|(?m)^ {0,8}(-|\+|\d{1,3}\.) |^---|-->"
+# Beginnings of the names of templates that show no text of their own page.
+SILENT = ("infobox", "cite", "citation", "reflist", "refn", "efn", "sfn", "navbox", "authority control", "main", "see also", "further", "portal", "commons", "short description", "use dmy", "use mdy", "defaultsort")
+
+# ---------------------------------------------------------------- provenance
+
+ORIGINS = ("html_tag", "html_broken_tag", "html_comment", "html_entity", "md_heading", "md_fence", "md_code", "md_strong", "md_emphasis", "md_link", "md_footnote", "md_strike", "md_table", "md_quote", "md_list", "md_rule",
+           "wiki_link", "wiki_template", "wiki_quote", "wiki_heading", "wiki_table", "wiki_list", "wiki_namespace", "wiki_magic", "wiki_redirect", "wiki_external", "wiki_sort_key", "latex_command", "latex_environment", "latex_formula", "latex_escape")
+#: What is consumed before the tree stands leaves one sign of its origin in the text, which the
+#: node that is made of that place takes up.
+_SIGN = {name: chr(0xE100 + i) for i, name in enumerate(ORIGINS)}
+_ORIGIN_OF = {sign: name for name, sign in _SIGN.items()}
+_SIGNS = re.compile("[\ue100-\ue1ff]")
+_HOLD = re.compile("\ue000(\\d+)\ue001")
+_PRIVATE = re.compile("[\ue000-\ue004\ue100-\ue1ff]")
 
 
-def _known_entity(m: re.Match) -> bool:
-    return not m[3] or m[3] + ";" in html5 or m[3].lower() + ";" in html5
+class Node:
+    """A container (``kind`` 'box', ``text`` its name) or a leaf: para, heading, item, row, code.
+    ``made_of`` names the markup it came from."""
 
+    __slots__ = ("kind", "level", "text", "link", "links", "number", "children", "made_of", "score", "size", "gone")
 
-def constructs(text: str) -> list[str]:
-    """Names of the constructs that a text holds, sorted; empty for plain prose."""
-    found = set()
-    for name, need, pattern in _COMPILED:
-        if name not in found and need in text and pattern.search(text):
-            found.add(name)
-    if "&" in text and (any(_known_entity(m) for m in _ENTITY.finditer(text)) or _ENTITY_OPEN.search(text)):
-        found.add("html_entity")
-    return sorted(found)
+    def __init__(self, kind: str, text: str = "", level: int = 0, link: float = 0, links: int = 0, number: int = 0, made_of: set[str] | None = None):
+        self.kind, self.text, self.level, self.link, self.links, self.number = kind, text, level, link, links, number
+        self.children: list[Node] = []
+        self.made_of: set[str] = made_of if made_of is not None else set()
+        self.score, self.size, self.gone = 0.0, len(text) if kind != "box" else 0, False
 
 
-# Names of lines are not constructs in a single entry such as a category.
-_OF_LINES = {"md_list", "md_heading", "md_rule", "md_quote", "wiki_list"}
+def walk(root: Node) -> list[Node]:
+    """All nodes in the order of the text; parents stand before their children."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed(node.children))
+    return out
 
 
-def entry_constructs(entry: str) -> list[str]:
-    """As :func:`constructs` for a short entry, where a pipe is a left-over sort key."""
-    found = {c for c in constructs(entry) if c not in _OF_LINES}
-    if "|" in entry:
-        found.add("wiki_sort_key")
+def origins(root: Node) -> list[str]:
+    """Names of the constructs that the nodes of a tree were made from, sorted."""
+    found: set[str] = set()
+    for node in walk(root):
+        found |= node.made_of
     return sorted(found)
 
 
-# ---------------------------------------------------------------- the tree
+# ---------------------------------------------------------------- code and formulas
+
+_S = re.S | re.I
+_ANY_TAG = re.compile(rf"(?i)</?(?:{NAMES})(?=[\s/>])[^<>]*>|</[A-Za-z][A-Za-z0-9]*\s*>")
+#: (what must occur, pattern, kind, origin, whether tags inside are HTML); an open one ends with the text.
+_CODE = [
+    ("<", re.compile(r"<syntaxhighlight\b[^<>]*>(.*?)(?:</syntaxhighlight\s*>|\Z)", _S), "code", "html_tag", False),
+    ("<", re.compile(r"<source\s+lang[^<>]*>(.*?)(?:</source\s*>|\Z)", _S), "code", "html_tag", False),
+    ("<", re.compile(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", _S), "code", "html_tag", True),
+    ("\\begin", re.compile(r"\\begin\{(?:verbatim|lstlisting)\}(.*?)(?:\\end\{(?:verbatim|lstlisting)\}|\Z)", _S), "code", "latex_environment", False),
+    ("```", re.compile(r"(?m)^```[^\n`]*\n(.*?)(?:^```[ \t]*$|\Z)", re.S), "code", "md_fence", False),
+]
+#: As above, with the mark that must still follow.
+_SPANS = [
+    ("<", re.compile(r"<(?:code|tt|samp|kbd)\b[^<>]*>(.*?)</(?:code|tt|samp|kbd)\s*>", _S), "tick", "html_tag", True, re.compile(r"</(?:code|tt|samp|kbd)\s*>", re.I)),
+    ("`", re.compile(r"(?<!`)`{1,2}([^`\n]+)`{1,2}(?!`)"), "tick", "md_code", False, None),
+    ("$$", re.compile(r"\$\$(.+?)\$\$", re.S), "display", "latex_formula", False, None),
+    ("\\[", re.compile(r"\\\[(.+?)\\\]", re.S), "display", "latex_formula", False, re.compile(r"\\\]")),
+    ("\\begin", re.compile(r"\\begin\{(?:equation|align|displaymath|gather)\*?\}(.*?)(?:\\end\{(?:equation|align|displaymath|gather)\*?\}|\Z)", _S), "display", "latex_environment", False, None),
+    ("<math", re.compile(r"(?m)^:<math\b[^<>]*>(.*?)</math\s*>", _S), "display", "html_tag", True, re.compile(r"</math\s*>", re.I)),
+    ("<math", re.compile(r"<math\b[^<>]*>(.*?)</math\s*>", _S), "math", "html_tag", True, re.compile(r"</math\s*>", re.I)),
+    ("\\(", re.compile(r"\\\((.+?)\\\)", re.S), "math", "latex_formula", False, re.compile(r"\\\)")),
+]
 
 
-class Node:
-    """A container (``kind`` 'box') or a block: para, heading, item, row, code, formula."""
+def _until(pattern: re.Pattern, close: re.Pattern | None, by, text: str) -> str:
+    """Replace, reading no further than the last closing mark."""
+    if close is None:
+        return pattern.sub(by, text)
+    end = max((m.end() for m in close.finditer(text)), default=0)
+    return pattern.sub(by, text[:end]) + text[end:] if end else text
 
-    __slots__ = ("kind", "level", "text", "link", "children", "score")
 
-    def __init__(self, kind: str, text: str = "", level: int = 0, link: int = 0):
-        self.kind, self.text, self.level, self.link, self.children, self.score = kind, text, level, link, [], 0.0
+_FORMULA_SIGN = re.compile(r"[\\^_={}+<>]")
 
 
-_HOLD = re.compile("\ue000(\\d+)\ue001")
+def _dollar_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Places of ``$x$`` on one line: one or two letters or something with a sign of formulas,
+    no blank inside the dollars, no digit behind (so that prices are none)."""
+    at = text.find("$")
+    while at >= 0:
+        end = text.find("$", at + 1)
+        if end < 0:
+            return
+        body = text[at + 1 : end]
+        fits = body and "\n" not in body and not body[0].isspace() and not body[-1].isspace() and not text[end + 1 : end + 2].isdigit()
+        if fits and (_FORMULA_SIGN.search(body) or (len(body) <= 2 and body.isascii() and body.isalpha())):
+            yield at, end + 1
+            at = text.find("$", end + 1)
+        else:
+            at = end
 
 
 class _Holder:
     """Code and formulas, set aside so that no other rule reads them."""
 
     def __init__(self) -> None:
-        self.kept: list[tuple[str, str]] = []
+        self.kept: list[tuple[str, str, str]] = []
 
-    def put(self, kind: str, body: str) -> str:
+    def put(self, kind: str, body: str, origin: str) -> str:
         body = body.strip("\n") if kind == "code" else body.strip()
         if not body.strip():
-            return " "
-        self.kept.append((kind, body))
+            return _SIGN[origin] + " "
+        self.kept.append((kind, body, origin))
         mark = f"\ue000{len(self.kept) - 1}\ue001"
         return f"\n\n{mark}\n\n" if kind in ("code", "display") else mark
 
     def show(self, text: str) -> str:
         def one(m: re.Match) -> str:
-            kind, body = self.kept[int(m[1])]
+            kind, body, _ = self.kept[int(m[1])]
             return {"code": f"```\n{body}\n```", "tick": body, "display": f"$${body}$$", "math": f"${body}$"}[kind]
 
         return _HOLD.sub(one, text) if "\ue000" in text else text
 
+    def origins(self, text: str) -> set[str]:
+        return {self.kept[int(n)][2] for n in _HOLD.findall(text)} if "\ue000" in text else set()
 
-def _sub(pattern: str, flags: int = 0):
-    return re.compile(pattern, flags)
+    def hold(self, text: str) -> str:
+        def put(kind: str, origin: str, tags: bool):
+            return lambda m: self.put(kind, html.unescape(_ANY_TAG.sub("", m[1])) if tags else m[1], origin)
 
+        for need, pattern, kind, origin, tags in _CODE:
+            if need in text:
+                text = pattern.sub(put(kind, origin, tags), text)
+        for need, pattern, kind, origin, tags, close in _SPANS:
+            if need in text:
+                text = _until(pattern, close, put(kind, origin, tags), text)
+        if "$" in text:
+            parts, at = [], 0
+            for a, b in _dollar_spans(text):
+                parts += [text[at:a], self.put("math", text[a + 1 : b - 1], "latex_formula")]
+                at = b
+            text = "".join(parts) + text[at:]
+        return text
 
-_S = re.S | re.I
-_CODE = [_sub(r"<syntaxhighlight\b[^<>]*>(.*?)(?:</syntaxhighlight\s*>|\Z)", _S), _sub(r"<source\s+lang[^<>]*>(.*?)(?:</source\s*>|\Z)", _S), _sub(r"<pre\b[^<>]*>(.*?)(?:</pre\s*>|\Z)", _S),
-         _sub(r"\\begin\{(?:verbatim|lstlisting)\}(.*?)(?:\\end\{(?:verbatim|lstlisting)\}|\Z)", _S), _sub(r"(?m)^```[^\n`]*\n(.*?)(?:^```[ \t]*$|\Z)", re.S)]
-_TICK = [_sub(r"<(?:code|tt|samp|kbd)\b[^<>]*>(.*?)</(?:code|tt|samp|kbd)\s*>", _S), _sub(r"`([^`\n]+)`")]
-_DISPLAY = [_sub(r"\$\$(.+?)\$\$", re.S), _sub(r"\\\[(.+?)\\\]", re.S), _sub(r"\\begin\{(?:equation|align|displaymath|gather)\*?\}(.*?)(?:\\end\{(?:equation|align|displaymath|gather)\*?\}|\Z)", re.S), _sub(r"(?m)^:<math\b[^<>]*>(.*?)</math\s*>", _S)]
-_MATH = [_sub(r"<math\b[^<>]*>(.*?)</math\s*>", _S), _sub(r"\\\((.+?)\\\)", re.S), _sub(r"\$(?=[^\s$])((?:[A-Za-z]{1,2}|[^$\n]{0,300}?[\\^_={}+<>][^$\n]{0,300}?)(?<=[^\s$]))\$(?!\d)")]
-_ANY_TAG = re.compile(rf"(?i)</?(?:{NAMES})(?=[\s/>])[^<>]{{0,4000}}>|</[A-Za-z][A-Za-z0-9]{{0,20}}\s*>")
-# a comment that is never closed loses only its mark, by the last rule of _INLINE
-_COMMENT = _sub(r"<!--.*?-->", re.S)
-_GONE = [_sub(r"<(head|style|script)\b[^<>]*>.*?</\1\s*>", _S), _sub(r"<ref\b[^<>]*/>", re.I), _sub(r"<ref\b[^<>]*>.*?</ref\s*>", _S)]
-
-
-def _no_comments(text: str, by: str) -> str:
-    end = text.rfind("-->") + 3  # nothing is searched for behind the last end
-    return _COMMENT.sub(by, text[:end]) + text[end:] if end > 2 else text
-
-
-def _hold(text: str, keep: _Holder) -> str:
-    strip_tags = lambda s: html.unescape(_ANY_TAG.sub("", s))
-    if "<" in text or "\\begin" in text or "```" in text:
-        for p in _CODE:
-            text = p.sub(lambda m: keep.put("code", strip_tags(m[1])), text)
-    if "`" in text or "<" in text:
-        for p in _TICK:
-            text = p.sub(lambda m: keep.put("tick", strip_tags(m[1])), text)
-    if "$" in text or "\\" in text or "<math" in text:
-        for p in _DISPLAY:
-            text = p.sub(lambda m: keep.put("display", strip_tags(m[1])), text)
-        for p in _MATH:
-            text = p.sub(lambda m: keep.put("math", strip_tags(m[1])), text)
+
+# ---------------------------------------------------------------- before the tree
+
+_ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]+));|(?i:&(nbsp|quot|amp|lt|gt)(?![a-z;=]))")
+
+
+def _unescape(text: str) -> str:
+    """Entities by their characters; the first leaves its sign."""
+    sign = _SIGN["html_entity"]
+
+    def one(m: re.Match) -> str:
+        nonlocal sign
+        if m[3] and m[3] + ";" not in html5 and m[3].lower() + ";" not in html5:
+            return m[0]
+        shown = html.unescape(m[0] if not m[3] or m[3] + ";" in html5 else m[0].lower()) if not m[4] else html.unescape(f"&{m[4].lower()};")
+        shown, sign = sign + shown, ""
+        return shown
+
+    for _ in range(2):  # entities may be escaped twice
+        if "&" not in text:
+            break
+        text = _ENTITY.sub(one, text)
     return text
 
 
-_TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
+# a comment that is never closed loses only its mark, by a rule for remains
+_COMMENT, _COMMENT_END = re.compile(r"<!--.*?-->", re.S), re.compile("-->")
+_UNSEEN = [(re.compile(r"<(head|style|script)\b[^<>]*>.*?</\1\s*>", _S), re.compile(r"</(?:head|style|script)\s*>", re.I)), (re.compile(r"<ref\b[^<>]*/>", re.I), None), (re.compile(r"<ref\b[^<>]*>.*?</ref\s*>", _S), re.compile(r"</ref\s*>", re.I))]
 
 
-def _template(m: re.Match) -> str:
-    """A template gives way to the text it shows: the last plain argument of inline ones."""
-    body = m[1].strip()
-    if "\n" in body or body.lower().startswith(("infobox", "cite", "citation", "reflist", "navbox", "authority", "main", "see also")):
-        return " "
-    name, _, rest = body.partition("|")
-    if not rest:
-        return name.partition(":")[2] if ":" in name else " "
-    plain = [a for a in rest.split("|") if "=" not in a]
-    return plain[-1] if plain and name.lower() in ("lang", "nowrap", "small", "abbr", "transl", "w") else " "
+def _no_unseen(text: str, by: str, rules: list) -> str:
+    if "<!--" in text:
+        text = _until(_COMMENT, _COMMENT_END, _SIGN["html_comment"] + by, text)
+    for pattern, close in rules:
+        if "<" in text:
+            text = _until(pattern, close, _SIGN["html_tag"] + by, text)
+    return text
 
 
-_TABULAR = _sub(r"\\begin\{(tabular|array)\}(?:\{[^{}\n]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
+_TABULAR = re.compile(r"\\begin\{(tabular|array)\}(?:\{[^{}\n]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 
 
 def _tabular(m: re.Match) -> str:
     rows = [row.replace("\\hline", "").strip() for row in m[2].split("\\\\")]
-    return "\n\n" + "\n".join("| " + " | ".join(c.strip() for c in row.split("&")) + " |" for row in rows if row) + "\n\n"
+    return _SIGN["latex_environment"] + "\n\n" + "\n".join("| " + " | ".join(c.strip() for c in row.split("&")) + " |" for row in rows if row) + "\n\n"
 
 
-# linked text stands between \ue003 and \ue002 until its length is known
-_INLINE = [
-    ("[", _sub(rf"\[\[:?(?:{NAMESPACES}):[^\[\]\n]*\]\]", re.I), ""),
-    ("[[", _sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), "\ue003\\1\ue002"),
-    ("](", _sub(r"!\[([^\]\n]{0,500})\]\([^()\s]{0,1000}(?:\s+\"[^\"\n]*\")?\)"), "\\1"),
-    ("](", _sub(r"\[([^\]\n]{0,500})\]\([^()\s]{0,1000}(?:\s+\"[^\"\n]*\")?\)"), "\ue003\\1\ue002"),
-    ("[", _sub(r"\[(?:https?:)?//[^\]\s]+[ \t]*([^\]\n]{0,500})\]", re.I), "\ue003\\1\ue002"),
-    ("[^", _sub(r"\[\^[^\]\s]{1,30}\]:?"), ""),
-    ("\\", _sub(r"~?\\(?:footnote|cite[a-z]*|ref|label|eqref|pageref|index|includegraphics|usepackage|documentclass|bibliography|bibliographystyle|vspace|hspace|input)\*?(?:\[[^\]\n]{0,200}\])?\{[^{}\n]{0,500}\}"), ""),
-    ("\\", _sub(r"\\href\{[^{}\n]{0,500}\}\{([^{}\n]{0,500})\}"), "\ue003\\1\ue002"),
-    ("\\", _sub(r"\\{1,2}(?:textbf|textit|emph|texttt|underline|textsc|text|mbox|title|author|caption)\*?\{([^{}\n]{0,2000})\}"), "\\1"),
-    ("\\", _sub(r"\\{1,2}(?:textbf|textit|emph|texttt|underline|textsc|href|footnote|cite|ref|section|subsection)\*?\{?"), ""),
-    ("\\", _sub(r"\\(?:begin|end)\{[^{}\n]{0,100}\}(?:\{[^{}\n]{0,100}\})?"), "\n\n"),
-    ("\\", _sub(r"(?<![A-Za-z0-9:\\])\\(?:maketitle|tableofcontents|noindent|centering|newpage|hline|toprule|midrule|bottomrule|par|newline|tiny|small|large)(?![A-Za-z])"), ""),
-    ("\\", _sub(r"\\([%&_#$])"), "\\1"),
-    ("*", _sub(r"\*\*\*?(?=\S)([^*\n]{1,500}?)(?<=\S)\*\*\*?"), "\\1"),
-    ("*", _sub(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{0,300}?(?<=[^\s*]))\*(?![\w*])"), "\\1"),
-    ("__", _sub(r"(?<!\w)__(?=[^\W_])([^\n]{0,300}?(?<=[^\s_]))__(?!\w)"), "\\1"),
-    ("*", _sub(rf"(?<=[^\W\d_])\*([^\W\d_]{{2,40}})\*(?=[^\W\d_])"), "\\1"),
-    ("*", _sub(_BY_HAN.format(m=r"\*")), lambda m: m[0].replace("*", "")),
-    ("__", _sub(_BY_HAN.format(m="__")), lambda m: m[0].replace("__", "")),
-    ("_", _sub(r"(?<![\w\\])_(?=[^\s_])([^_\n]{0,300}?(?<=[^\s_]))_(?!\w)"), "\\1"),
-    ("~~", _sub(r"~~"), ""),
-    ("''", _sub(r"'{2,5}"), ""),
-    ("__", _sub(r"__[A-Z]{3,}__"), ""),
-    ("**", _sub(r"\*\*"), ""),
-    ("`", _sub(r"`+"), ""),
-    ("[[", _sub(r"\[\[(?:[^\[\]|\n]*\|)?"), ""), ("]]", _sub(r"\]\]"), ""),
-    ("{{", _sub(r"\{\{(?:Infobox\b|lang\|[a-z]{2,3}\|)?"), ""), ("}}", _sub(r"\}\}"), ""),
-    ("](", _sub(r"\]\([^()\s]*\)?"), ""),
-    ("<", _sub(rf"</?(?:{NAMES})(?=[\s/<>]|\Z)[^<>\n]{{0,100}}=[^<>\n]{{0,200}}>?|</?(?:{NAMES})(?=[\s/<>]|\Z)>?", re.I), ""),
-    ("--", _sub(r"<!--|-->"), ""),
-]
-_BLANKS = re.compile(r"[ \t\u00a0]+")
-_MARKS = re.compile("[\ue002\ue003]")
-_LINK_TEXT = re.compile("\ue003([^\ue002\ue003]*)\ue002")
+_BRACES = re.compile(r"\{\{|\}\}")
+_NAMED = re.compile(r"\s*[^\s=\[<][^=\[\]<\n]*=")
+_NUMBERED = re.compile(r"\s*\d+\s*=")
+_PLAIN_LINK = re.compile(r"\[\[[^\[\]]*\]\]")
 
 
-def _inline(text: str) -> tuple[str, int]:
-    """Clean running text, and the number of its characters that were links."""
-    for need, pattern, by in _INLINE:
-        if need in text:
-            text = pattern.sub(by, text)
-    link = 0
-    if "\ue003" in text:
-        link = sum(len(x) for x in _LINK_TEXT.findall(text))
-        text = _MARKS.sub("", text)
-    return _BLANKS.sub(" ", text).strip(), link
+def _template(body: str) -> str:
+    """A template gives way to the text it shows: its arguments without a name, of a few known
+    ones those that are running text; named ones (boxes, citations) are data about the page."""
+    name, *args = [a.replace("\ue004", "|") for a in _PLAIN_LINK.sub(lambda m: m[0].replace("|", "\ue004"), body).split("|")]
+    name = name.strip()
+    low = name.lower()
+    if low.startswith(SILENT):
+        return " "
+    if not args:
+        word, colon, rest = name.partition(":")
+        return {"lc": rest.lower(), "uc": rest.upper(), "ucfirst": rest[:1].upper() + rest[1:]}.get(word.lower(), rest) if colon else " "
+    plain = [_NUMBERED.sub("", a).strip() for a in args if _NUMBERED.match(a) or not _NAMED.match(a)]
+    plain = [a for a in plain if a]
+    if low in ("plainlist", "flatlist", "ubl", "unbulleted list", "hlist", "bulleted list"):
+        return "\n\n" + "\n".join(a if a.startswith("*") else "* " + a for a in plain) + "\n\n"
+    if low.startswith(("lang", "transl")):
+        plain = plain[-1:]
+    elif low in ("convert", "cvt"):
+        plain = plain[:2]
+    elif low in ("abbr", "tooltip", "w"):
+        plain = plain[:1]
+    return " ".join(plain) or " "
+
+
+def _templates(text: str) -> str:
+    """Templates from the inside out, in one pass over their braces."""
+    stack: list[list[str]] = [[]]
+    at = 0
+    for m in _BRACES.finditer(text):
+        stack[-1].append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "{{":
+            stack.append([])
+        elif len(stack) > 1:
+            stack[-2].append(_SIGN["wiki_template"] + _template("".join(stack.pop())))
+        else:
+            stack[-1].append("}}")
+    stack[-1].append(text[at:])
+    return "{{".join("".join(parts) for parts in stack)
 
 
-_HEADING = re.compile(r"^(?:(={1,6})[ \t]*(.+?)[ \t]*=*|(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?|\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}\n]*)\}?)[ \t]*$")
-_LATEX_LEVEL = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
-_ITEM = re.compile(r"^[ \t]*(?:([*#]+|[-+•])[ \t]+|(\d{1,3})[.)][ \t]+|\\item\b[ \t]*|[:;]+[ \t]*)(\S.*)$")
-_TABLE_LINE = re.compile(r"^[ \t]*(?:\{\||\|\}|\|-|\|\+?|!)")
-
-
-def _blocks(text: str, links: int = 0) -> list[Node]:
-    """Blocks of running text: lines tell headings, items, rows; blank lines part paragraphs."""
-    out: list[Node] = []
-    lines: list[str] = []
-
-    def flush() -> None:
-        if lines:
-            body, link = _inline("\n".join(lines))
-            if body:
-                out.append(Node("para", body, link=link))
-            lines.clear()
-
-    for raw in text.split("\n"):
-        line = raw.strip()
-        if not line:
-            flush()
-            continue
-        first = line[0]
-        if first == "\ue000" and _HOLD.fullmatch(line):
-            flush()
-            out.append(Node("code", line))
-        elif first in "=#\\" and line.strip("=") and (m := _HEADING.match(line)):
-            flush()
-            title, _ = _inline(m[2] or m[4] or m[6] or "")
-            if title:
-                out.append(Node("heading", title, len(m[1] or m[3] or "") or _LATEX_LEVEL.get(m[5], 2)))
-        elif first in "{|!" and _TABLE_LINE.match(line):
-            flush()
-            if line.startswith(("{|", "|}", "|-")) or set(line) <= set("|-: "):
-                continue
-            cells = [_inline(c)[0] for c in re.split(r"\|\||!!|(?<!\|)\|(?!\|)", line.strip("|! "))]
-            if any(cells):
-                out.append(Node("row", " | ".join(c for c in cells if c)))
-        elif first in "*#-+•:;\\0123456789" and line.strip("-") and (m := _ITEM.match(line)):
-            flush()
-            body, link = _inline(m[3])
-            if body:
-                out.append(Node("item", body, len(m[1] or " "), link))
-        elif first == ">" and line[1:2] in (" ", ""):
-            lines.append(line[1:].strip())
-        elif len(line) >= 3 and not line.strip(line[0]) and first in "-=":
-            if len(lines) == 1 and len(lines[0]) <= 200:  # a line underlined is a heading
-                title, _ = _inline(lines.pop())
-                if title:
-                    out.append(Node("heading", title, 1 if first == "=" else 2))
-            flush()
-        else:
-            lines.append(line)
-    flush()
-    return out
+# ---------------------------------------------------------------- running text
 
+_HAN = "[㐀-鿿]"
+#: A pair of marks of which one has a Chinese character beside it.
+_BY_HAN = rf"(?:(?<={_HAN}){{m}}(?=[^\s*_])|(?<![\w*]){{m}}(?={_HAN})|(?<=\w){{m}}(?={_HAN}))[^*_\n]+(?<=[^\s*_]){{m}}(?![*_])|(?<!\*){{m}}(?=[^\s*_])[^*_\n]+(?:(?<={_HAN}){{m}}|(?<=[^\s*_]){{m}}(?={_HAN}))"
+_URL = r"((?:[^()\s]|\([^()\s]*\))*)"
+_TITLE = r"(?:\s+\"[^\"\n]*\")?"
+_IN_URL = re.compile(r"[:/#.]")
+_ATTRIBUTES = r"(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>\n]*\"|'[^'<>\n]*'|[^\s<>]+))*"
 
-_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)/?>")
-_BOXES = {"html", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "center", "blockquote", "table", "tbody", "thead", "tfoot", "ul", "ol", "dl", "figure"}
-#: Boxes nested deeper than this are read as part of the box around them.
-DEEPEST = 64
-_KNOWN = {*BLOCKS, *INLINE}
-_BLOCK_SET = set(BLOCKS)
+# linked text stands between \ue003 (or \ue002 for wikitext's own links) and \ue004 until its length is known
+def _md_link(m: re.Match) -> str:
+    return f"\ue003{m[1]}\ue004" if _IN_URL.search(m[2]) else m[0]
 
 
-def _tree(text: str) -> Node:
-    """The tree of a text; without block tags it is one box of blocks."""
-    root = Node("box", "body")
-    if "<" not in text or not _TAG.search(text):
-        root.children = _blocks(text)
-        return root
-    stack, at, run, kind, level = [root], 0, [], "para", 0
-    names = ["body"]
-    flat = 0  # boxes opened below the deepest level: their content stays in that level's box
-
-    def close_run() -> None:
-        nonlocal kind, level
-        body = "".join(run)
-        run.clear()
-        if body.strip():
-            if kind == "para":
-                stack[-1].children += _blocks(body)
-            else:
-                shown, link = _inline(" ".join(body.split("\n")))
-                if shown:
-                    stack[-1].children.append(Node(kind, shown, level, link))
-        kind, level = "para", 0
-
-    for m in _TAG.finditer(text):
-        name = m[2].lower()
-        if name not in _KNOWN:
-            continue
-        run.append(text[at : m.start()])
+def _md_open_link(m: re.Match) -> str:
+    return "" if _IN_URL.search(m[1]) else m[0]
+
+
+#: (what must occur, pattern, replacement, origin), in order.
+_INLINE = [
+    ("[[", re.compile(rf"\[\[:?(?:{NAMESPACES}):[^\[\]\n]*\]\]", re.I), "", "wiki_link"),
+    ("[[", re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), "\ue002\\1\ue004", "wiki_link"),
+    ("![", re.compile(rf"!\[([^\[\]\n]*)\]\({_URL}{_TITLE}\)"), "\\1", "md_link"),
+    ("![", re.compile(r"!\[([^\[\]\n]*)\]\("), "\\1", "md_link"),
+    ("](", re.compile(rf"\[([^\[\]\n]*)\]\({_URL}{_TITLE}\)"), _md_link, "md_link"),
+    ("](", re.compile(rf"\]\({_URL}\)?"), _md_open_link, "md_link"),
+    ("//", re.compile(r"\[(?:https?:)?//[^\[\]\s]+[ \t]*([^\[\]\n]*)\]", re.I), "\ue003\\1\ue004", "wiki_external"),
+    ("//", re.compile(r"\[(?=(?:https?:)?//[^\]\s])", re.I), "", "wiki_external"),
+    ("[^", re.compile(r"\[\^[^\[\]\s]+\]:?"), "", "md_footnote"),
+    ("\\", None, None, "latex_command"),  # commands with arguments: _commands
+    ("\\", re.compile(r"\\(?:begin|end)\b"), "", "latex_environment"),
+    ("\\", re.compile(rf"(?<![A-Za-z0-9:\\])\\({BARE})(?![A-Za-z])"), lambda m: SIGNS.get(m[1], ""), "latex_command"),
+    ("\\", re.compile(r"\\[()\[\]]"), "", "latex_formula"),
+    ("\\", re.compile(r"\\([%&_#$~,;])"), lambda m: " " if m[1] in ",;" else m[1], "latex_escape"),
+    ("\\\\", re.compile(r"\\\\[ \t]*\Z"), "", "latex_escape"),
+    ("$$", re.compile(r"\$\$"), "", "latex_formula"),
+    ("```", re.compile(r"`{3,}"), "", "md_fence"),
+    ("`", re.compile(r"`([^`\n]+)`"), "\\1", "md_code"),
+    ("*", re.compile(r"\*\*\*?(?=\S)([^*\n]+?)(?<=\S)\*\*\*?"), "\\1", "md_strong"),
+    ("*", re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*(?<=[^\s*]))\*(?![\w*])"), "\\1", "md_emphasis"),
+    ("__", None, None, "md_strong"),  # pairs with the nearest closing mark of the line: _underlined
+    ("*", re.compile(r"(?<=[^\W\d_])\*([^\W\d_]{2,})\*(?=[^\W\d_])"), "\\1", "md_emphasis"),
+    ("*", re.compile(_BY_HAN.format(m=r"\*")), lambda m: m[0].replace("*", ""), "md_emphasis"),
+    ("__", re.compile(_BY_HAN.format(m="__")), lambda m: m[0].replace("__", ""), "md_strong"),
+    ("_", re.compile(r"(?<![\w\\])_(?=[^\s_])([^_\n]*(?<=[^\s_]))_(?!\w)"), "\\1", "md_emphasis"),
+    ("**", re.compile(r"\*\*"), "", "md_strong"),
+    ("~~", re.compile(r"~~"), "", "md_strike"),
+    ("''", re.compile(r"'{2,}"), "", "wiki_quote"),
+    ("__", re.compile(r"__[A-Z]{3,}__"), "", "wiki_magic"),
+    ("#", re.compile(r"#redirect\b", re.I), "", "wiki_redirect"),
+    ("[[", re.compile(r"\[\[(?:[^\[\]|\n]*\|)?"), "", "wiki_link"),
+    ("]]", re.compile(r"\]\]"), "", "wiki_link"),
+    ("{{", re.compile(r"\{\{(?:Infobox\b|lang\|[a-z]{2,3}\|)?"), "", "wiki_template"),
+    ("}}", re.compile(r"\}\}"), "", "wiki_template"),
+    (":", re.compile(rf"(?<!\w)(?:{NAMESPACES}):(?=\S)", re.I), "", "wiki_namespace"),
+    ("<", re.compile(rf"</?(?:{NAMES})(?=[\s/<>]|\Z){_ATTRIBUTES}\s*/?>?", re.I), "", "html_broken_tag"),
+    ("--", re.compile(r"<!--|-->"), "", "html_comment"),
+]
+_COMMAND = re.compile(r"~?\\{1,2}([A-Za-z]+)\*?(?:(\[[^\[\]\n]*\])?(\{)|\[[^\[\]\n]*\]?)|[{}]")
+_OPENED, _CLOSED = re.compile(r"(?<!\w)__(?=[^\W_])"), re.compile(r"(?<=[^\s_])__(?!\w)")
+
+
+def _commands(text: str) -> tuple[str, set[str]]:
+    """LaTeX commands with arguments give way to the text they show, by one pass over the braces;
+    braces that belong to none stay."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    found: set[str] = set()
+    at, linked = 0, -1
+    for m in _COMMAND.finditer(text):
+        stack[-1][1].append(text[at : m.start()])
         at = m.end()
-        closing = bool(m[1])
-        if name == "a":
-            run.append("\ue002" if closing else "\ue003")
-        elif name == "br" or name == "hr":
-            run.append("\n" if kind == "para" else " ")
-        elif name in ("td", "th"):
-            if closing and kind == "row":
-                run.append(" | ")
-        elif name in _BLOCK_SET:
-            close_run()
-            if name in _BOXES:
-                if closing:
-                    if flat:
-                        flat -= 1
-                    elif name in names[1:]:
-                        while names.pop() != name:
-                            stack.pop()
-                        stack.pop()
-                elif len(stack) >= DEEPEST:
-                    flat += 1
-                else:
-                    box = Node("box", name)
-                    stack[-1].children.append(box)
-                    stack.append(box)
-                    names.append(name)
-            elif not closing:
-                if name[0] == "h" and name[1:].isdigit():
-                    kind, level = "heading", int(name[1:])
-                elif name in ("li", "dt", "dd"):
-                    kind, level = "item", 1
-                elif name == "tr":
-                    kind = "row"
-    run.append(text[at:])
-    close_run()
-    return root
-
-
-def _measure(node: Node) -> tuple[int, int]:
-    """Characters and linked characters below a node."""
-    if node.kind != "box":
-        return len(node.text), node.link
-    sums = [_measure(c) for c in node.children]
-    return sum(s[0] for s in sums), sum(s[1] for s in sums)
+        if m[1]:
+            found.add("latex_environment" if m[1] in ("begin", "end") else "latex_command")
+            if m[0][0] == "~" and m[1] not in UNSHOWN:
+                stack[-1][1].append(" ")
+            if m[3]:
+                stack.append((m[1], []))
+        elif m[0] == "{":
+            stack.append(("href text" if linked == m.start() else "{", []))
+        elif len(stack) > 1:
+            name, parts = stack.pop()
+            body = "".join(parts)
+            if name == "{":
+                body = "{" + body + "}"
+            elif name == "href":
+                linked, body = m.end(), ""
+            elif name == "href text":
+                body = f"\ue003{body}\ue004"
+            elif name in UNSHOWN:
+                body = ""
+            stack[-1][1].append(body)
+        else:
+            stack[-1][1].append("}")
+    stack[-1][1].append(text[at:])
+    return "".join(("{" if name == "{" else "") + "".join(parts) for name, parts in stack), found
 
 
-_COMMAS = re.compile("[,，、;；]")
+def _underlined(text: str) -> tuple[str, bool]:
+    """``__x__`` without its marks: each opening one with the nearest closing one of its line."""
+    closed = [m.start() for m in _CLOSED.finditer(text)]
+    out, at, k = [], 0, 0
+    for m in _OPENED.finditer(text):
+        if m.start() < at:
+            continue
+        while k < len(closed) and closed[k] < m.end() + 1:
+            k += 1
+        if k == len(closed):
+            break
+        if "\n" not in text[m.end() : closed[k]]:
+            out += [text[at : m.start()], text[m.end() : closed[k]]]
+            at = closed[k] + 2
+    return "".join(out) + text[at:], bool(out)
+
+
+_BLANKS = re.compile(r"[ \t\u00a0]+")
+_LINKED = re.compile("([\ue002\ue003])([^\ue002-\ue004]*)\ue004")
+_LINK_MARKS = re.compile("[\ue002-\ue004]")
 
 
-def _pass_points(node: Node, ancestors: list[Node], boxes: list[tuple[Node, list[Node]]]) -> None:
-    if node.kind == "box":
-        boxes.append((node, ancestors))
-        for c in node.children:
-            _pass_points(c, [*ancestors, node], boxes)
-    elif node.kind in ("para", "item") and len(node.text) >= 25:
-        points = 1 + len(_COMMAS.findall(node.text)) + min(len(node.text) // 100, 3)
-        for far, up in enumerate(reversed(ancestors[-3:])):
-            up.score += points / (1, 2, 4)[far]
+class _Parser:
+    """Builds the tree of one text."""
 
+    def __init__(self) -> None:
+        self.keep = _Holder()
+        #: Origins of markup that left nothing to show; the next container takes them up.
+        self.left: set[str] = set()
+
+    def leaf(self, kind: str, text: str, level: int = 0, number: int = 0, made_of: set[str] = frozenset()) -> Node | None:
+        """A leaf of clean running text; none, and its origins in ``self.left``, where nothing is
+        left to show. Links of wikitext stand in sentences and name what these speak of: they
+        count half."""
+        found = set(made_of)
+        if _SIGNS.search(text):
+            found |= {_ORIGIN_OF[s] for s in set(_SIGNS.findall(text)) if s in _ORIGIN_OF}
+            text = _SIGNS.sub("", text)
+        for need, pattern, by, origin in _INLINE:
+            if need not in text:
+                continue
+            if pattern is not None:
+                shown = pattern.sub(by, text)
+                if shown != text:
+                    found.add(origin)
+                    text = shown
+            elif need == "\\":
+                text, named = _commands(text)
+                found |= named
+            else:
+                text, hit = _underlined(text)
+                if hit:
+                    found.add(origin)
+        link, links = 0.0, 0
+        if _LINK_MARKS.search(text):
+            for mark, linked in _LINKED.findall(text):
+                link += len(linked) * (0.5 if mark == "\ue002" else 1.0)
+                links += 1
+            text = _LINK_MARKS.sub("", text)
+        found |= self.keep.origins(text)
+        text = _BLANKS.sub(" ", text).strip()
+        if not text:
+            self.left |= found
+            return None
+        return Node(kind, text, level, link, links, number, found)
+
+    def row(self, cells: list[str], origin: str) -> Node | None:
+        shown = [c for c in (self.leaf("para", c, made_of={origin}) for c in cells) if c]
+        if not shown:
+            self.left.add(origin)
+            return None
+        return Node("row", " | ".join(c.text for c in shown), 0, sum(c.link for c in shown), sum(c.links for c in shown), 0, set().union(*(c.made_of for c in shown)))
+
+    # ------------------------------------------------------------ lines
+
+    def blocks(self, text: str) -> list[Node]:
+        """Blocks of running text: lines tell headings, items, rows; blank lines part paragraphs;
+        neighbouring items are one list, neighbouring rows one table."""
+        out: list[Node] = []
+        lines: list[str] = []
+        of_lines: set[str] = set()
+        in_table = md_table = False
+        environments: list[str] = []
+        counters: dict[int, int] = {}
+
+        def add(node: Node | None) -> None:
+            if node is None:
+                return
+            name = {"item": "list", "row": "table"}.get(node.kind)
+            if not name:
+                out.append(node)
+                return
+            if not (out and out[-1].kind == "box" and out[-1].text == name):
+                out.append(Node("box", name))
+            out[-1].children.append(node)
+
+        def flush() -> None:
+            nonlocal of_lines
+            if lines:
+                add(self.leaf("para", "\n".join(lines), made_of=of_lines))
+                lines.clear()
+            else:
+                self.left |= of_lines
+            of_lines = set()
+
+        raws = text.split("\n")
+        for i, raw in enumerate(raws):
+            signs: set[str] = set()
+            if _SIGNS.search(raw):
+                signs = {_ORIGIN_OF[s] for s in set(_SIGNS.findall(raw)) if s in _ORIGIN_OF}
+                raw = _SIGNS.sub("", raw)
+                raws[i] = raw
+            line = raw.strip()
+            if not line:
+                self.left |= signs
+                flush()
+                md_table = False
+                continue
+            first = line[0]
+            if first == "\ue000" and (m := _HOLD.fullmatch(line)):
+                flush()
+                out.append(Node("code", line, made_of=signs | self.keep.origins(line)))
+                continue
+            if first == "\\":
+                if m := _ENVIRONMENT.match(line):
+                    flush()
+                    self.left |= signs | {"latex_environment"}
+                    if m[1] == "begin":
+                        environments.append(m[2])
+                        counters.pop(100 + len(environments), None)
+                    elif environments:
+                        environments.pop()
+                    continue
+                if m := _LATEX_HEADING.match(line):
+                    flush()
+                    add(self.leaf("heading", m[2], _LATEX_LEVEL[m[1]], made_of=signs | {"latex_command"}))
+                    continue
+                if m := _LATEX_ITEM.match(line):
+                    flush()
+                    depth, number = max(1, len(environments)), 0
+                    if environments and environments[-1] == "enumerate":
+                        number = counters[100 + depth] = counters.get(100 + depth, 0) + 1
+                    add(self.leaf("item", m[1], depth, number, signs | {"latex_command"}))
+                    continue
+            elif first == "#" and (m := _MD_HEADING.match(raw)):
+                flush()
+                beside = [raws[j] for j in (i - 1, i + 1) if 0 <= j < len(raws)]
+                if len(m[1]) == 1 and any(b.startswith("# ") for b in beside):  # an ordered list of wikitext
+                    counters[1] = counters.get(1, 0) + 1 if i and raws[i - 1].startswith("# ") else 1
+                    add(self.leaf("item", m[2], 1, counters[1], signs | {"wiki_list"}))
+                else:
+                    add(self.leaf("heading", re.sub(r"[ \t]+#+$", "", m[2]), len(m[1]), made_of=signs | {"md_heading"}))
+                continue
+            elif first == "=":
+                if _EQUALS.match(raw):
+                    signs.add("md_heading")
+                    if len(lines) == 1:  # a line underlined is a heading
+                        add(self.leaf("heading", lines.pop(), 1, made_of=signs | of_lines))
+                        of_lines = set()
+                    else:
+                        of_lines |= signs
+                    flush()
+                    continue
+                if m := _WIKI_HEADING.match(raw):
+                    flush()
+                    add(self.leaf("heading", m[2], len(m[1]), made_of=signs | {"wiki_heading"}))
+                    continue
+            if first in "{|!" and (first != "!" or in_table or (_BANG_ROW.match(raw) and i + 1 < len(raws) and _SIGNS.sub("", raws[i + 1]).startswith("|"))):
+                if first == "{" and line.startswith("{|") and raw.lstrip(" ").startswith("{|"):
+                    flush()
+                    in_table = True
+                    self.left |= signs | {"wiki_table"}
+                    continue
+                if first == "!" or (first == "|" and (in_table or _PIPE_ROW.match(raw))) and not _MD_RULE_ROW.match(raw):
+                    flush()
+                    if line.startswith(("|}", "|-")):
+                        in_table = in_table and not line.startswith("|}")
+                        self.left |= signs | {"wiki_table"}
+                    elif line.startswith("|+"):
+                        add(self.leaf("para", line[2:], made_of=signs | {"wiki_table"}))
+                    else:
+                        add(self._row_of(line, signs, md_table))
+                    continue
+            if _MD_RULE_ROW.match(raw):
+                signs.add("md_table")
+                if lines and "|" in lines[-1]:
+                    head = lines.pop()
+                    flush()
+                    add(self.row(_CELL.split(head), "md_table"))
+                else:
+                    flush()
+                md_table = True
+                self.left |= signs
+                continue
+            if md_table and "|" in line:
+                flush()
+                add(self._row_of(line, signs, True))
+                continue
+            if first == "-" and _DASHES.match(raw):
+                signs.add("md_rule")
+                if len(lines) == 1:
+                    add(self.leaf("heading", lines.pop(), 2, made_of=signs | of_lines))
+                    of_lines = set()
+                else:
+                    of_lines |= signs
+                flush()
+                continue
+            if first in _ITEM_FIRST and (item := self._item(raw, line, raws, i, counters)):
+                flush()
+                add(self.leaf("item", item[0], item[1], item[2], signs | item[3]))
+                continue
+            if first == ">" and (line == ">" or line[1] == " "):
+                if raw.startswith("> ") and len(line) > 1:
+                    signs.add("md_quote")
+                line = line[1:].strip()
+            elif first == "[" and _MD_DEFINITION.match(raw) and line[1] != "^":
+                self.left |= signs | {"md_link"}
+                continue
+            if "||" in line and _DOUBLE_PIPE.search(line):
+                flush()
+                add(self.row(line.split("||"), "wiki_table"))
+                self.left |= signs
+                continue
+            if line.endswith("==") and (m := _WIKI_HEADING_END.search(line)):
+                signs.add("wiki_heading")
+                line = line[: m.start() + 1].strip()
+            of_lines |= signs
+            lines.append(line)
+        flush()
+        return out
+
+    def _row_of(self, line: str, signs: set[str], md: bool) -> Node | None:
+        self.left |= signs
+        return self.row(_CELL.split(line.strip("|! ")), "md_table" if md else "wiki_table")
+
+    @staticmethod
+    def _item(raw: str, line: str, raws: list[str], i: int, counters: dict[int, int]) -> tuple[str, int, int, set[str]] | None:
+        """``(text, level, number, origins)`` of a line that is an item of a list."""
+        if m := _MD_ITEM.match(raw):
+            return m[3], max(len(m[2]) if m[2][0] == "*" else 1, 1 + len(m[1]) // 2), 0, {"md_list"}
+        if m := _WIKI_ITEM.match(line):
+            level = len(m[1])
+            number = 0
+            if m[1][-1] == "#":
+                number = counters[level] = counters.get(level, 0) + 1 if i and raws[i - 1].lstrip().startswith(m[1]) else 1
+            return m[2], level, number, set()
+        if m := _NUMBER_ITEM.match(line):
+            beside = [x for j in (i - 1, i + 1) if 0 <= j < len(raws) and (x := _NUMBER_ITEM.match(raws[j].strip()))]
+            if not beside:
+                return None
+            listed = m[2] == "." and any(x[2] == "." for x in beside)
+            return m[3], 1 + (len(raw) - len(raw.lstrip())) // 3, int(m[1]), {"md_list"} if listed else set()
+        if m := _TERM_ITEM.match(line):
+            return m[2], len(m[1]), 0, {"wiki_list"} if _TERM_BLANK.match(raw) else set()
+        if m := _BULLET.match(line):
+            return m[1], 1, 0, set()
+        return None
+
+    # ------------------------------------------------------------ tags
+
+    def tree(self, text: str) -> Node:
+        """The tree of a text: boxes of HTML with the blocks of the text between their tags."""
+        root = Node("box", "body")
+        stack = [root]
+        run: list[str] = []
+        kind, level, number = "para", 0, 0
+        of_run: set[str] = set()
+        names: Counter[str] = Counter()  # open boxes by name
+        lists: list[tuple[int, Node]] = []  # open lists and their places in the stack
+
+        def close_run() -> None:
+            nonlocal kind, level, number, of_run
+            body = "".join(run)
+            run.clear()
+            before, made = len(stack[-1].children), []
+            if body.strip():
+                if kind == "para":
+                    made = self.blocks(body)
+                elif kind == "row":
+                    made = [n for n in [self.row(body.replace("\n", " ").split("\ue001\ue001"), "html_tag")] if n]
+                else:
+                    made = [n for n in [self.leaf(kind, " ".join(body.split("\n")), level, number)] if n]
+                stack[-1].children += made
+            elif _SIGNS.search(body):
+                self.left |= {_ORIGIN_OF[s] for s in set(_SIGNS.findall(body)) if s in _ORIGIN_OF}
+            (stack[-1].children[before] if made else stack[-1]).made_of |= of_run
+            stack[-1].made_of |= self.left
+            self.left, of_run = set(), set()
+            kind, level, number = "para", 0, 0
+
+        at = 0
+        for m in _TAG.finditer(text) if "<" in text else ():
+            name = m[2].lower()
+            if name not in _KNOWN:
+                if not (m[1] and not m[3].strip() and m[2].isalnum()) and not _GIVEN.fullmatch(m[3]):
+                    continue
+                run.append(text[at : m.start()])
+                at = m.end()
+                of_run.add("html_tag")
+                continue
+            run.append(text[at : m.start()])
+            at = m.end()
+            closing = bool(m[1])
+            if name in _BLOCK_SET and name not in ("td", "th", "hr"):
+                close_run()
+                if name not in _BOXES or (closing and not names[name]):
+                    of_run.add("html_tag")
+                if name in _BOXES:
+                    if closing:
+                        while names[name]:
+                            names[stack[-1].text] -= 1
+                            if stack.pop().text == name:
+                                break
+                        while lists and lists[-1][0] >= len(stack):
+                            lists.pop()
+                    else:
+                        box = Node("box", name, made_of={"html_tag"})
+                        stack[-1].children.append(box)
+                        if name in _LISTS:
+                            lists.append((len(stack), box))
+                        stack.append(box)
+                        names[name] += 1
+                elif not closing:
+                    if name[0] == "h" and name[1:].isdigit():
+                        kind, level = "heading", int(name[1:])
+                    elif name in ("li", "dt", "dd"):
+                        kind, level = "item", max(1, len(lists))
+                        if lists and lists[-1][1].text == "ol":
+                            lists[-1][1].level += 1
+                            number = lists[-1][1].level
+                    elif name == "tr":
+                        kind = "row"
+                continue
+            of_run.add("html_tag")
+            if name == "a":
+                run.append("\ue004" if closing else "\ue003")
+            elif name in ("br", "hr"):
+                run.append("\n" if kind == "para" else " ")
+            elif name in ("td", "th"):
+                if closing and kind == "row":
+                    run.append("\ue001\ue001")
+        run.append(text[at:])
+        close_run()
+        return root
 
-def _density(node: Node) -> float:
-    size, link = _measure(node)
-    return link / size if size else 0.0
 
+_MD_HEADING = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*$")
+_WIKI_HEADING = re.compile(r"(={2,6})[ \t]*([^=\s](?:.*?[^=\s])?)[ \t]*=*[ \t]*$")
+_WIKI_HEADING_END = re.compile(r"[^=]={2,6}$")
+_LATEX_HEADING = re.compile(r"\\(chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}?[ \t]*$")
+_LATEX_LEVEL = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+_LATEX_ITEM = re.compile(r"\\item\b(?:\[[^\[\]]*\])?[ \t]*(\S.*)$")
+_ENVIRONMENT = re.compile(r"\\(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\[\]]*\])?[ \t]*$")
+_EQUALS, _DASHES = re.compile(r"={3,}[ \t]*$"), re.compile(r"-{3,}[ \t]*$")
+_ITEM_FIRST = set("*#-+•:;0123456789")
+_MD_ITEM = re.compile(r"( *)(-|\*+|\+) +(\S.*)$")
+_WIKI_ITEM = re.compile(r"([*#]*[*#])(?:(?<=#)[ \t]+|(?=\[\[))[ \t]*(\S.*)$")
+_NUMBER_ITEM = re.compile(r"(\d{1,3})([.)])[ \t]+(\S.*)$")
+_TERM_ITEM, _TERM_BLANK = re.compile(r"([:;]+)[ \t]*(\S.*)$"), re.compile(r"[:;]+ +\S")
+_BULLET = re.compile(r"•[ \t]+(\S.*)$")
+_BANG_ROW, _PIPE_ROW = re.compile(r"![ \t]+\S"), re.compile(r"\|(?:\}|-|\+|[ \t]+\S)")
+_MD_RULE_ROW = re.compile(r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|")
+_MD_DEFINITION = re.compile(r"\[[^\]]+\]:\s+\S")
+_DOUBLE_PIPE = re.compile(r"\S[ \t]*\|\|[ \t]*\S")
+_CELL = re.compile(r"\|\||!!|(?<!\|)\|(?!\|)")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)(?=[\s/>])([^<>]*)>")
+_GIVEN = re.compile(r"(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'))+\s*/?")
+_BOXES = {"html", "body", "div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "center", "blockquote", "table", "tbody", "thead", "tfoot", "ul", "ol", "dl", "figure"}
+_LISTS = {"ul", "ol", "dl"}
+_KNOWN = {*BLOCKS, *INLINE}
+_BLOCK_SET = set(BLOCKS)
 
-_LIKE_TEXT = {"ul", "ol", "dl", "table", "tbody", "thead", "blockquote", "figure"}
 
+def _nest_sections(root: Node) -> None:
+    """Make what follows a heading, up to the next of its level or above, a section with it."""
+    for box in walk(root):
+        if box.kind != "box" or all(c.kind != "heading" for c in box.children):
+            continue
+        outer: list[Node] = []
+        open_: list[Node] = []
+        for c in box.children:
+            if c.kind == "heading":
+                while open_ and open_[-1].level >= c.level:
+                    open_.pop()
+                section = Node("box", "part", c.level)
+                (open_[-1].children if open_ else outer).append(section)
+                open_.append(section)
+            (open_[-1].children if open_ else outer).append(c)
+        box.children = outer
+
+
+def parse(text: str) -> tuple[Node, _Holder]:
+    """The tree of a text of any of the four syntaxes, and the code and formulas set aside."""
+    parser = _Parser()
+    text = _PRIVATE.sub("", text.replace("\r\n", "\n"))
+    if "<" in text:
+        text = _no_unseen(text, " ", _UNSEEN[:1])
+    text = parser.keep.hold(text)
+    if "&" in text:
+        text = _unescape(text)
+    if "<" in text:
+        text = _no_unseen(text, "", _UNSEEN)
+    if "\\begin" in text:
+        text = _TABULAR.sub(_tabular, text)
+    if "{{" in text:
+        text = _templates(text)
+    root = parser.tree(text)
+    _nest_sections(root)
+    return root, parser.keep
 
-def _main_content(root: Node) -> list[Node]:
-    """The best container and those of its siblings that carry text."""
-    boxes: list[tuple[Node, list[Node]]] = []
-    _pass_points(root, [], boxes)
-    if len(boxes) == 1:
-        return root.children
-    marks = [(b.score * (1 - _density(b)), b, up) for b, up in boxes]
-    best_mark, best, up = max(marks, key=lambda x: x[0])
-    # a list or table is not a place of its own: the container around it is
-    while up and best.text in _LIKE_TEXT:
-        best, up = up[-1], up[:-1]
-    if not up:
-        return _kept(best.children)
-    score_of = {id(b): s for s, b, _ in marks}
-    # siblings at every height up to the root, so that no text beside the best place is lost
-    out = _kept(best.children)
-    for parent, inner in zip(reversed(up), reversed([*up[1:], best])):
-        at = next(i for i, c in enumerate(parent.children) if c is inner)
-        sides = [_sibling(c, score_of, best_mark) for c in parent.children]
-        sides[at] = out
-        out = [n for side in sides for n in side]
-    return out
 
+# ---------------------------------------------------------------- main content
 
-def _sibling(node: Node, score_of: dict[int, float], best: float) -> list[Node]:
-    if node.kind != "box":
-        dense = node.link > 0.5 * len(node.text) and node.kind in ("para", "item")
-        return [] if dense else [node]
-    size, link = _measure(node)
-    if score_of[id(node)] >= 0.2 * best or link <= 0.25 * size:
-        return _kept(node.children)
-    return []
+_COMMAS = re.compile("[,，、;；]")
+#: Containers that are no place of their own: the one around them is.
+_LIKE_TEXT = {"ul", "ol", "dl", "table", "tbody", "thead", "blockquote", "figure", "list"}
+#: Points reach so many ancestors, by these shares.
+_REACH = (1, 0.5, 0.25)
+
+
+def _score(root: Node) -> dict[int, Node]:
+    """Points, sizes and linked characters of all nodes; gives the parent of each."""
+    nodes = walk(root)
+    parent = {id(c): n for n in nodes for c in n.children}
+    for n in reversed(nodes):
+        if n.kind in ("para", "item") and len(n.text) >= 25:
+            points = 1 + len(_COMMAS.findall(n.text)) + min(len(n.text) // 100, 3)
+            up = n
+            for share in _REACH:
+                up = parent.get(id(up))
+                if up is None:
+                    break
+                up.score += points * share
+        up = parent.get(id(n))
+        if up is not None:
+            up.size += n.size
+            up.link += n.link
+            up.links += n.links
+    return parent
+
+
+def _is_links(n: Node) -> bool:
+    return n.kind in ("para", "item") and n.links > 0 and n.link > 0.8 * n.size
 
 
-def _kept(children: list[Node]) -> list[Node]:
-    """Blocks of a kept container; inner lists and boxes that are mostly links go."""
-    out: list[Node] = []
-    for c in children:
-        if c.kind != "box":
-            out.append(c)
+def _main_content(root: Node) -> list[Node]:
+    """The leaves of the best container and of those of its siblings that carry text, at every
+    height up to the root, so that no text beside the best place is lost. Without any paragraph
+    worth a point all leaves stay."""
+    parent = _score(root)
+    nodes = walk(root)
+    boxes = [n for n in nodes if n.kind == "box"]
+    value = lambda b: b.score * (1 - (b.link / b.size if b.size else 0.0))
+    best = max(boxes, key=value)
+    if value(best) > 0:
+        top = value(best)
+        while best.text in _LIKE_TEXT and id(best) in parent:
+            best = parent[id(best)]
+        # lists and boxes made of links, and neighbouring paragraphs of links, are menus
+        for b in boxes:
+            dense = [_is_links(c) for c in b.children]
+            for i, c in enumerate(b.children):
+                if c.kind == "box":
+                    c.gone = c.link > 0.5 * c.size and len(c.children) > 1
+                elif b.text not in _LIKE_TEXT:
+                    c.gone = dense[i] and (c.links > 1 or (i > 0 and dense[i - 1]) or (i + 1 < len(dense) and dense[i + 1]))
+        inner: Node = best
+        while id(inner) in parent:
+            for c in parent[id(inner)].children:
+                if c is not inner and c.kind == "box" and not (value(c) >= 0.2 * top or c.link <= 0.5 * c.size):
+                    c.gone = True
+            inner = parent[id(inner)]
+            inner.gone = False
+        best.gone = False
+        # a heading whose part is gone goes with it
+        for b in reversed(boxes):
+            if b.text == "part" and len(b.children) > 1 and all(c.gone for c in b.children[1:]):
+                b.gone = True
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.gone:
             continue
-        size, link = _measure(c)
-        if not (link > 0.5 * size and len(c.children) > 1):
-            out += _kept(c.children)
+        if n.kind == "box":
+            stack.extend(reversed(n.children))
+        else:
+            out.append(n)
     return out
 
 
-def _render(blocks: list[Node], keep: _Holder) -> str:
+def _render(leaves: list[Node], keep: _Holder) -> str:
     parts, last = [], ""
-    for b in blocks:
+    for b in leaves:
         text = b.text
         if b.kind == "heading":
             text = "#" * max(1, min(6, b.level)) + " " + text
         elif b.kind == "item":
-            text = "  " * max(0, b.level - 1) + "- " + text
+            text = "  " * max(0, b.level - 1) + (f"{b.number}. " if b.number else "- ") + text
         elif b.kind == "row":
             text = "| " + text.strip(" |") + " |"
         together = b.kind == last and b.kind in ("item", "row")
@@ -491,46 +879,47 @@ def _render(blocks: list[Node], keep: _Holder) -> str:
 
 
 def clean(text: str) -> tuple[str, list[str]]:
-    """Clean text and constructs of one text; a text without constructs comes back unchanged."""
-    found = constructs(text)
-    return (_convert(text), found) if found else (text, found)
+    """Clean text and constructs of one text; a text whose tree has none comes back unchanged."""
+    root, keep = parse(text)
+    found = origins(root)
+    return (_render(_main_content(root), keep), found) if found else (text, found)
 
 
-def clean_entry(entry: str) -> tuple[str, list[str]]:
-    """As :func:`clean` for a short entry: one line, without namespace and sort key."""
-    found = entry_constructs(entry)
-    if not found:
-        return entry, found
-    bare = re.sub(rf"(?i)\[\[:?(?:{NAMESPACES}):([^\[\]|]*)(?:\|[^\[\]]*)?\]\]", r"\1", entry)
-    bare = re.sub(rf"(?i)^\s*:?(?:{NAMESPACES}):", "", re.sub(r"\{\{lc:([^{}]*)\}\}", lambda m: m[1].lower(), bare))
-    bare = _convert(re.sub(r"\|[^|\]}]*$", "", bare))
-    return " ".join(bare.lstrip("-# ").split()), found
+#: Marks that begin a line mean nothing in an entry.
+_OF_LINES = {"md_list", "md_heading", "md_rule", "md_quote", "wiki_list"}
+_ENTRY_LINK = re.compile(rf"\[\[:?(?:{NAMESPACES}):([^\[\]|]*)(?:\|[^\[\]]*)?\]\]", re.I)
+_ENTRY_NAMESPACE = re.compile(rf"^\s*:?(?:{NAMESPACES}):", re.I)
+_SORT_KEY = re.compile(r"\|[^|\]}]*$")
 
 
-def _convert(text: str) -> str:
-    keep = _Holder()
-    text = text.replace("\r\n", "\n").translate({0xE000: None, 0xE001: None, 0xE002: None, 0xE003: None})
-    if "<" in text:
-        text = _GONE[0].sub(" ", _no_comments(text, " "))
-    text = _hold(text, keep)
-    for _ in range(2):  # entities may be escaped twice
-        if "&" in text and (_ENTITY.search(text) or _ENTITY_OPEN.search(text)):
-            text = html.unescape(_ENTITY.sub(lambda m: m[0] if not m[3] or m[3] + ";" in html5 else m[0].lower(), text))
+def clean_entry(entry: str) -> tuple[str, list[str]]:
+    """As :func:`clean` for a short entry such as a category: one line without namespace and sort
+    key, in which marks that begin a line mean nothing."""
+    found = {"wiki_sort_key"} if "|" in entry else set()
+    text = _PRIVATE.sub("", entry)
+    for pattern, by, origin in ((_ENTRY_LINK, r"\1", "wiki_link"), (_ENTRY_NAMESPACE, "", "wiki_namespace"), (_SORT_KEY, "", "wiki_sort_key")):
+        bare = pattern.sub(by, text)
+        if bare != text:
+            found.add(origin)
+            text = bare
+    parser = _Parser()
     if "<" in text:
-        text = _no_comments(text, "")
-        for p in _GONE:
-            text = p.sub("", text)
-    if "\\begin" in text:
-        text = _TABULAR.sub(_tabular, text)
-    while "{{" in text:
-        text, n = _TEMPLATE.subn(_template, text)
-        if not n:
-            break
-    return _render(_main_content(_tree(text)), keep)
+        text = _no_unseen(text, " ", _UNSEEN[:1])
+    text = parser.keep.hold(text)
+    text = _templates(_no_unseen(_unescape(text), "", _UNSEEN)) if "{{" in text or "<" in text or "&" in text else text
+    root = parser.tree(" ".join(text.split()))
+    found |= set(origins(root)) - _OF_LINES
+    if not found:
+        return entry, []
+    leaves = [n for n in walk(root) if n.kind != "box"]
+    return " ".join(_render(leaves, parser.keep).lstrip("-# ").split()), sorted(found)
 
 
 # ---------------------------------------------------------------- the operator
 
+#: A text without any of these characters holds no construct.
+SUSPECT = r"[<>&\[\]{}|*_`\\$~#=:]|''|(?m)^ *(-|\+|\d{1,3}\.) |^---|-->"
+
 RESULT = "clean string, constructs array<string>"
 
 

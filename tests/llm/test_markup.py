@@ -43,7 +43,7 @@ def test_structure_is_kept():
     tex, _ = markup.clean("\\documentclass{article}\n\\begin{document}\n\\section{H}\nA \\emph{b}\\footnote{p.~3} c~\\cite{k}.\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}\n\\begin{equation}\nE\n\\end{equation}\n\\begin{tabular}{ll}\na & 1 \\\\\nb & 2\n\\end{tabular}\n\\end{document}")
     assert tex == "## H\n\nA b c.\n\n- one\n- two\n\n$$E$$\n\n| a | 1 |\n| b | 2 |"
     md, _ = markup.clean("# T\n\nx **b** [l](http://a.b) ~~s~~[^1]\n\n1. a\n2. b\n\n```py\n# no heading\n```\n\nHead\n----\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n$$\ny\n$$")
-    assert md == "# T\n\nx b l s\n\n- a\n- b\n\n```\n# no heading\n```\n\n## Head\n\n| a | b |\n| 1 | 2 |\n\n$$y$$"
+    assert md == "# T\n\nx b l s\n\n1. a\n2. b\n\n```\n# no heading\n```\n\n## Head\n\n| a | b |\n| 1 | 2 |\n\n$$y$$"
 
 
 def test_link_dense_boxes_go_and_text_beside_the_best_box_stays():
@@ -73,7 +73,7 @@ def test_random_remains_never_fail():
 def test_long_texts_take_time_in_proportion():
     import time
 
-    for unit in ("[[a", "{{a", "<p ", "**a", "`a", "$a", "<div>", "\\emph{", "_a", "字*字", "&a", "[a](", "''", "| a "):
+    for unit in ("[[a", "{{a", "<p ", "**a", "`a", "$a", "<div>", "\\emph{", "_a", "字*字", "&a", "[a](", "''", "| a ", "__a ", "<code>", "<!--", "[//a", "![", "\\(", "<ref>", "{{a|b", "<ul><li>a", "<math>", "a|b\n"):
         start = time.perf_counter()
         markup.clean(unit * 20_000)
         assert time.perf_counter() - start < 20, unit
@@ -96,3 +96,62 @@ def test_a_comment_without_end_takes_no_text(mark):
     assert "Six." in shown and "five" in shown and "<!--" not in shown
     shown, _ = markup.clean(f"One.\n\nThree <!-- gone --> four, {mark} five.\n\nSix.")
     assert shown == "One.\n\nThree four, five.\n\nSix."
+
+
+PARA = "A long paragraph, with commas, that tells the reader something about the place, and goes on for a while."
+
+
+@pytest.mark.parametrize("size", [881, 50_000])
+def test_formulas_code_and_links_of_any_length(size):
+    body = "x + " * (size // 4) + "1"
+    assert markup.clean(f"Let ${body}$ be.") == (f"Let ${body}$ be.", ["latex_formula"])
+    assert markup.clean(f"a *{body.replace('+', 'y')}* b")[1] == ["md_emphasis"]
+    assert markup.clean(f"a __{body.replace('+', 'y')}__ b")[1] == ["md_strong"]
+    assert markup.clean(f"[a](http://b.c/{'d' * size})")[0] == "a" and markup.clean(f"<b title='{'e' * size}'>f</b>")[0] == "f"
+
+
+def test_boxes_of_any_depth():
+    shown, found = markup.clean("<div>" * 3_000 + f"<p>{PARA}</p>" + "</div>" * 3_000)
+    assert shown == PARA and found == ["html_tag"]
+
+
+def test_constructs_are_those_of_the_nodes():
+    root, _ = markup.parse(f"# T\n\n{PARA} **b**\n\n- [[x]]\n\n<div>{PARA} {{{{lang|fr|mot}}}}</div>\n\n\\section{{S}}\n\n$x^2$ &amp; y")
+    made = {(n.kind, tuple(sorted(n.made_of))) for n in markup.walk(root) if n.made_of}
+    assert ("heading", ("md_heading",)) in made and ("heading", ("latex_command",)) in made and ("item", ("md_list", "wiki_link")) in made
+    assert any(kind == "para" and "wiki_template" in of for kind, of in made) and any("html_entity" in of and "latex_formula" in of for _, of in made)
+    assert markup.origins(root) == sorted({o for n in markup.walk(root) for o in n.made_of})
+    assert markup.origins(markup.parse(PARA)[0]) == []
+
+
+def test_sections_lists_and_tables_of_all_syntaxes_are_containers():
+    for text in (f"# A\n\n{PARA}\n\n## B\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |", f"== A ==\n{PARA}\n=== B ===\n* one\n* two\n{{|\n| a || b\n|-\n| 1 || 2\n|}}",
+                 f"\\section{{A}}\n{PARA}\n\\subsection{{B}}\n\\begin{{itemize}}\n\\item one\n\\item two\n\\end{{itemize}}\n\\begin{{tabular}}{{ll}}\na & b \\\\\n1 & 2\n\\end{{tabular}}"):
+        root, _ = markup.parse(text)
+        outer = next(c for c in root.children if c.text == "part")
+        inner = next(c for c in outer.children if c.text == "part")
+        assert [c.text for c in outer.children[:1]] == ["A"] and [c.text for c in inner.children] == ["B", "list", "table"], text
+        assert [n.text for n in inner.children[2].children] == ["a | b", "1 | 2"]
+
+
+@pytest.mark.parametrize("menu", ["[Home](/)\n[About](/about)\n[News](/news)\n[Shop](/shop)\n[Log in](/login)", "- [Home](/)\n- [About](/about)\n- [News](/news)", "[Home](/)\n\n[About us](/about)\n\n[News](/news)", "<ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul>"])
+def test_menus_of_any_syntax_go(menu):
+    shown, _ = markup.clean(f"{menu}\n\n# T\n\n{PARA} See [the site](http://a.b).\n\n{PARA}")
+    assert shown == f"# T\n\n{PARA} See the site.\n\n{PARA}"
+
+
+def test_lists_of_wikitext_links_stay_and_emptied_parts_go():
+    shown, _ = markup.clean(f"'''A''' {PARA}\n\n== See also ==\n* [[Foo]]\n* [[Bar baz]]\n\n== External links ==\n* [http://a.b site]\n* [http://c.d other site]")
+    assert shown == f"A {PARA}\n\n## See also\n\n- Foo\n- Bar baz"
+
+
+def test_templates_show_their_text():
+    for raw, want in [("{{convert|10|km|mi}} of road", "10 km of road"), ("{{quote|He said this.|Bob}}", "He said this. Bob"), ("{{plainlist|\n* one\n* two\n}}", "- one\n- two"), ("{{lang|fr|mot}} {{nowrap|5 km}}", "mot 5 km"), ("x {{a|{{b|c}}|[[d|e]]}}", "x c e"),
+                      ("x {{cite book|title=T|year=1}}{{Infobox a\n| b = c\n}}", "x"), ("{{uc:abc}} {{abbr|km|kilometre}}", "ABC km"), ("{{open|a", "open|a")]:
+        assert markup.clean(raw)[0] == want
+
+
+def test_ordered_lists_keep_their_numbers():
+    for text in ("1. a\n2. b\n   1. c", "<ol><li>a</li><li>b<ol><li>c</li></ol></li></ol>", "\\begin{enumerate}\n\\item a\n\\item b\n\\begin{enumerate}\n\\item c\n\\end{enumerate}\n\\end{enumerate}"):
+        assert markup.clean(text)[0] == "1. a\n2. b\n  1. c", text
+    assert markup.clean("# a\n# b\n\n'''c'''")[0] == "1. a\n2. b\n\nc"
