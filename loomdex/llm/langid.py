@@ -1,8 +1,10 @@
 """Problem 10: missing or wrong language labels and texts of several languages.
 
 Method: one interpolated Kneser-Ney model of characters per language, stored as sorted arrays of
-n-gram hashes; the language of lowest length-normalised cross-entropy wins, and a calibrated limit
-on that cross-entropy rejects what is in none of them (code, numbers, signs).
+n-gram hashes; the language of lowest length-normalised cross-entropy wins. Held-out sentences
+calibrate how sure that is and set, for short and for long units, the cross-entropy beyond which a
+unit is in none of the languages (another language, code, noise): such units are ``und``. Rejection
+holds at every step, also for texts without a whole sentence.
 
 A model scores words (runs of letters, Chinese runs in pieces) with their boundaries, so a word
 scored once is a table row from then on. Models are fitted on the driver on a bounded sample:
@@ -43,8 +45,17 @@ PIECE, CACHED_WORDS = 12, 500_000
 #: A unit of fewer letters (Chinese characters count threefold) is no sentence, nor is one without
 #: a closing mark and with fewer than OPEN_LETTERS, such as a heading or a list item.
 LEAST_LETTERS, OPEN_LETTERS = 15, 60
-#: A sentence read with less confidence is rejected.
-LEAST_CONFIDENCE = 0.5
+#: A unit read with less (calibrated) confidence is rejected: names alone fit several languages.
+LEAST_CONFIDENCE = 0.9
+#: The limit of rejection lies beyond the cross-entropy of all but 1 % of the held-out sentences by
+#: so many times the distance from their median; units of fewer letters have a limit of their own.
+TAIL, SHORT = 1.5, 40
+#: A rejected unit is read again without words of unknown signs, of at most this share of its letters.
+DAMAGE = 0.15
+#: The confidence is calibrated on so many words of held-out sentences at a time.
+PIECE_WORDS = 3
+#: What is in none of the languages.
+UNKNOWN = "und"
 #: A language counts if so large a share of the sentences is in it.
 LEAST_SHARE = 0.2
 
@@ -200,12 +211,15 @@ class KneserNey:
 
 
 class Identifier:
-    """Models of all languages with the scores of the words seen so far."""
+    """Models of all languages with the scores of the words seen so far. ``limits`` holds the limit
+    of rejection of each language, for short units and for long ones."""
 
     def __init__(self, models: list[KneserNey], limits: np.ndarray, sharpness: float):
         self.models, self.limits, self.sharpness = models, limits, sharpness
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(models) + 1))
+        #: Measured on the held-out sentences by :func:`fit`.
+        self.calibration: dict[str, float] = {}
 
     def _learn(self, new: list[str]) -> None:
         owner, _, grams, contexts = _grams(new, ORDER)
@@ -234,16 +248,29 @@ class Identifier:
             out[full] = sums[:, :-1] / sums[:, -1:]
         return out
 
+    def without_damage(self, ws: list[str]) -> np.ndarray:
+        """As :meth:`score` for one unit just scored, without the words of signs the best language
+        does not know, up to ``DAMAGE`` of its letters: stray signs inside a sentence."""
+        scores = self.table[[self.rows[w] for w in ws]]
+        best = scores[:, :-1].sum(axis=0).argmin()
+        each = scores[:, best] / scores[:, -1]
+        order = np.argsort(-each)
+        lost = np.cumsum(scores[order, -1]) <= DAMAGE * scores[:, -1].sum()
+        kept = order[~(lost & (each[order] > 0.5 * math.log(ALPHABET)))]
+        return scores[kept, :-1].sum(axis=0) / scores[kept, -1].sum()
+
     def decide(self, entropy: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language (-1: rejected) and confidence of each unit."""
+        """Language (-1: rejected) of each unit, and the confidence of that language (0 if
+        rejected)."""
         best = entropy.argmin(axis=1) if len(entropy) else np.zeros(0, int)
         low = entropy[np.arange(len(best)), best]
         fine = np.isfinite(low)
         gap = np.where(np.isfinite(entropy), entropy - np.where(fine, low, 0)[:, None], np.inf)
         share = np.exp(-gap * self.sharpness * np.minimum(letters, 200)[:, None])
         confidence = np.where(fine, 1 / np.maximum(share.sum(axis=1), 1), 0.0)
-        rejected = ~fine | (low > self.limits[best]) | (confidence < LEAST_CONFIDENCE)
-        return np.where(rejected, -1, best), confidence
+        limit = self.limits[(letters >= SHORT).astype(int), best]
+        rejected = ~fine | (low > limit) | (confidence < LEAST_CONFIDENCE)
+        return np.where(rejected, -1, best), np.where(rejected, 0.0, confidence)
 
 
 def fit(samples: dict[str, list[str]]) -> Identifier:
@@ -260,7 +287,7 @@ def fit(samples: dict[str, list[str]]) -> Identifier:
                     sentences.append((k, ws))
     labels = np.array([k for k, _ in sentences], int)
     bags = [ws for _, ws in sentences]
-    none = np.full(len(LANGUAGES), np.inf)
+    none = np.full((2, len(LANGUAGES)), np.inf)
 
     def train(which: np.ndarray) -> list[KneserNey]:
         counts = [Counter() for _ in LANGUAGES]
@@ -277,21 +304,40 @@ def fit(samples: dict[str, list[str]]) -> Identifier:
     final = Identifier(train(np.where(held, -1, labels)), none, 1.0)
     test = final.score([b for b, h in zip(bags, held) if h])
     truth = labels[held]
-    limits = np.full(len(LANGUAGES), math.log(ALPHABET))
-    for k in range(len(LANGUAGES)):
-        mine = test[truth == k, k]
-        if len(mine) >= 20:
-            limits[k] = np.quantile(mine, 0.99) + 4 * mine.std() + 0.5
     letters = np.array([_letters(b) for b, h in zip(bags, held) if h], float)
-    sharpness, least = 1.0, np.inf
-    for s in (0.05, 0.1, 0.2, 0.5, 1.0):
-        if len(truth):
-            z = -test * s * np.minimum(letters, 200)[:, None]
+    limits = np.full((2, len(LANGUAGES)), math.log(ALPHABET))
+    for k in range(len(LANGUAGES)):
+        for long_ in (1, 0):
+            mine = test[(truth == k) & ((letters >= SHORT) == bool(long_)), k]
+            if len(mine) >= 20:
+                high = np.quantile(mine, 0.99)
+                limits[long_, k] = high + TAIL * (high - np.median(mine))
+            elif not long_ and len(test):  # too few to tell: a unit more than long ones
+                limits[0, k] = limits[1, k] + 1
+        limits[0, k] = max(limits[0, k], limits[1, k])
+    final.limits = limits
+    # whole sentences are easy: how far a small lead can be trusted shows on pieces of them
+    parts = [(k, b[i : i + PIECE_WORDS]) for k, b in zip(truth, [b for b, h in zip(bags, held) if h]) for i in range(0, len(b), PIECE_WORDS)]
+    if parts:
+        truths = np.array([k for k, _ in parts])
+        pieces = final.score([p for _, p in parts])
+        sizes = np.array([_letters(p) for _, p in parts], float)
+    least = np.inf
+    for s in np.geomspace(0.002, 1.0, 19):
+        if parts:
+            z = -pieces * s * np.minimum(sizes, 200)[:, None]
             z = z - z.max(axis=1, keepdims=True)
-            loss = float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
+            loss = float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truths]).mean())
             if loss < least - 1e-9:
-                sharpness, least = s, loss
-    return Identifier(final.models, limits, sharpness)
+                final.sharpness, least = float(s), loss
+    if len(truth):
+        read, sure = final.decide(test, letters)
+        kept = read >= 0
+        right = (read == truth)[kept]
+        which = np.minimum((sure[kept] * 10).astype(int), 9)
+        gaps = [abs(right[which == j].mean() - sure[kept][which == j].mean()) * (which == j).sum() for j in set(which.tolist())]
+        final.calibration = {"sentences": len(truth), "log_loss": least, "rejected": float(1 - kept.mean()), "accuracy": float(right.mean()) if len(right) else 0.0, "calibration_error": float(sum(gaps) / max(1, kept.sum()))}
+    return final
 
 
 def sample_texts(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> dict[str, list[str]]:
@@ -318,8 +364,9 @@ RESULT = "langs array<string>, shares array<double>, segments array<struct<start
 
 def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[list[str], list[float], list[dict]]]:
     """Languages of a fifth of the sentences or more, their shares, and the stretches of one
-    language, of each text. Units too short to be sentences decide only where a text has no
-    others; a text without letters has no language."""
+    language, of each text; stretches in none of the languages are ``und`` with confidence 0, and
+    a text of which no fifth is in one of them has no language. Units too short to be sentences
+    decide only where a text has no others; a text without letters has no language."""
     spans, bags, owner, closed = [], [], [], []
     for i, text in enumerate(texts):
         if not text:
@@ -336,7 +383,9 @@ def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[li
     letters = np.array([_letters(b) for b in bags], float)
     whole = (letters >= LEAST_LETTERS) & (np.array(closed, bool) | (letters >= OPEN_LETTERS))
     lang, sure = identifier.decide(entropy, letters)
-    free = entropy.argmin(axis=1) if len(entropy) else lang
+    again = np.flatnonzero((lang < 0) & (letters >= LEAST_LETTERS))
+    if len(again):
+        lang[again], sure[again] = identifier.decide(np.stack([identifier.without_damage(bags[j]) for j in again]), letters[again])
     out: list[tuple[list[str], list[float], list[dict]]] = [([], [], []) for _ in texts]
     at = 0
     while at < len(owner):
@@ -344,22 +393,22 @@ def read_texts(identifier: Identifier, texts: list[str | None]) -> list[tuple[li
         while end < len(owner) and owner[end] == owner[at]:
             end += 1
         k = slice(at, end)
-        counted = whole[k] & (lang[k] >= 0)
-        read = lang[k]
+        read, trust = lang[k], sure[k]
+        counted = whole[k]
         if not counted.any():  # no sentence: the longer lines
-            counted = (letters[k] >= LEAST_LETTERS) & (lang[k] >= 0)
-        if not counted.any():  # neither: all units together, without rejection
-            total = (entropy[k] * letters[k][:, None]).sum(axis=0)
-            one = int(total.argmin()) if np.isfinite(total).any() else int(free[at])
-            read, counted = np.full(end - at, one), np.ones(end - at, bool)
-        votes = np.bincount(read[counted], minlength=len(LANGUAGES))
-        share = votes / votes.sum()
+            counted = letters[k] >= LEAST_LETTERS
+        if not counted.any():  # neither: all units together, as one
+            size = letters[k].sum()
+            one, trust_in = identifier.decide(((entropy[k] * letters[k][:, None]).sum(axis=0) / max(size, 1.0))[None, :], np.array([size]))
+            read, trust, counted = np.full(end - at, one[0]), np.full(end - at, trust_in[0]), np.ones(end - at, bool)
+        votes = np.bincount(read[counted] + 1, minlength=len(LANGUAGES) + 1)
+        share = votes[1:] / votes.sum()
         kept = [j for j in np.argsort(-share, kind="stable") if share[j] >= LEAST_SHARE]
         segments: list[dict] = []
         weight = 0.0
         for j in np.flatnonzero(counted):
             a, b = spans[at + j]
-            name, c, w = LANGUAGES[read[j]], float(sure[at + j]), float(letters[at + j])
+            name, c, w = LANGUAGES[read[j]] if read[j] >= 0 else UNKNOWN, float(trust[j]), float(letters[at + j])
             if segments and segments[-1]["lang"] == name:
                 last = segments[-1]
                 last["confidence"] = (last["confidence"] * weight + c * w) / max(weight + w, 1e-9)

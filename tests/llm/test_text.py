@@ -150,3 +150,53 @@ def test_relabel(spark, identifier):
     assert sorted(map(tuple, langid.relabel(df, identifier=identifier).collect())) == [(2, "en"), (3, "fr"), (4, "de"), (4, "es"), (7, "zh")]
     assert langid.relabel(df.limit(0)).count() == 0
     assert {k: len(v) for k, v in langid.sample_texts(df, 1).items()} == {"de": 1, "en": 1, "es": 0, "fr": 0, "zh": 0}
+
+
+FOREIGN = {
+    "it": ["Il vecchio ponte di pietra è stato ricostruito dopo l'alluvione del secolo scorso.", "Nessuno sa chi abbia pagato la torre rotonda, ma il consiglio del villaggio la possiede ancora."],
+    "ru": ["Старый каменный мост был восстановлен после наводнения.", "Большинство посетителей приезжает летом на рынок."],
+    "nl": ["De oude stenen brug werd na de overstroming herbouwd en de meeste bezoekers komen in de zomer."],
+    "code": ["def toll(weight, distance):\n    return weight * distance // 86", "for i in range(10): print(i); x = [j for j in y if j > 3]"],
+    "noise": ["qzx wvk jjq", "asdkfj aslkdjf qwoieu zxmcnb qpwoe."],
+}
+
+
+@pytest.fixture(scope="module")
+def on_documents():
+    """Models fitted on the test documents, as the queries do."""
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    names = {name: code for code, spelled in langid.SPELLINGS.items() for name in spelled}
+    out = {lang: [] for lang in langid.LANGUAGES}
+    for text, label in zip(docs.text, docs.lang):
+        code = names.get((label or "").strip().lower())
+        if code and text:
+            out[code].append(text)
+    return langid.fit(out)
+
+
+@pytest.mark.parametrize("kind", sorted(FOREIGN))
+def test_what_is_in_none_of_the_languages_is_rejected(on_documents, kind):
+    for text in [*FOREIGN[kind], " ".join(FOREIGN[kind])]:
+        langs, shares, segments = langid.read_texts(on_documents, [text])[0]
+        assert langs == [] and shares == [] and {(s["lang"], s["confidence"]) for s in segments} == {("und", 0.0)}
+
+
+def test_mixed_with_a_foreign_language(on_documents):
+    english = "The old stone bridge was built by stone masons in 1745. The climate is mild and the wettest month brings rain. "
+    text = english + FOREIGN["it"][0] + "\n" + FOREIGN["it"][1]
+    langs, shares, segments = langid.read_texts(on_documents, [text])[0]
+    assert langs == ["en"] and shares == [0.5] and [s["lang"] for s in segments] == ["en", "und"]
+    # one English sentence among six is below a fifth: the text has no language of ours
+    assert langid.read_texts(on_documents, ["\n".join(FOREIGN["it"] * 3) + "\n" + english.split(". ")[0] + "."])[0][0] == []
+
+
+def test_confidence_is_calibrated_on_held_out_sentences(on_documents):
+    c = on_documents.calibration
+    assert c["sentences"] > 100 and c["accuracy"] > 0.99 and c["calibration_error"] < 0.02 and c["rejected"] < 0.02
+
+
+def test_stray_signs_do_not_reject_a_sentence(on_documents):
+    text = "The climate is mild, and the wettest month brings aroun‫שלום‬d 82 millimetres of rain."
+    assert langid.read_texts(on_documents, [text])[0][0] == ["en"]
