@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -14,6 +15,12 @@ from .session import cut, timed
 from .sources.dumps import Catalog
 
 
+def _together(*tasks: Callable) -> list:
+    """Results of some tasks run at the same time, each on a thread that submits its own jobs."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
 class SearchEngine:
     """``language`` is ``en`` or ``zh``. Build the catalog once from pages ``(id, title, redirect,
     links, abstract_end, categories)`` and texts ``(id, url, title, text)``; each method gives a
@@ -33,40 +40,64 @@ class SearchEngine:
         return tx.tokens_en(lines, self.stop) if self.language == "en" else tx.tokens_zh(docs, lines, self.lexicon, self.stop)
 
     @timed
-    def build(self, pages: DataFrame, texts: DataFrame, rank_iterations: int | None = None, rank_mode: str = "reference") -> None:
-        """Compute and store all tables; a text without a page record is not indexed."""
-        write = self.catalog.write
-        write("pages", pages.where("id is not null"))
-        write("texts", texts.where("id is not null"))
-        pages, texts = self.catalog.read("pages"), self.catalog.read("texts")
-        write("resolved", links.resolve_redirects(pages))
-        write("title_keys", pages.where("title is not null").select(F.lower("title").alias("key"), "id", "title"))
-        resolved = self.catalog.read("resolved")
-        edges = cut(links.link_edges(pages, resolved), "edges")
-        nodes = pages.where(target(F.col("redirect")).isNull()).select(F.col("id").alias("doc_id"))
-        write("edges", edges)
-        write("ranks", links.page_rank(nodes, edges, rank_iterations, rank_mode))
-        docs = texts.join(pages.select("id", "abstract_end"), "id").where("text is not null")
-        weighted, vocabulary, norms = index.build(docs, self._word_tokens(docs), "id")
-        write("postings", weighted)
-        write("terms", vocabulary)
-        write("norms", norms)
-        tokens = tx.tokens_category(F.col("categories"), self.stop)
-        if self.language == "zh":
-            own = F.transform(F.filter(F.coalesce("categories", F.array().cast("array<string>")), tx.has_han), F.trim)
-            tokens = tx.tokens_zh(pages, own, self.lexicon, self.stop, lower=False)
-        labelled = cut(pages.select("id", tokens.alias("t")).where(F.size("t") > 0), "labelled")
-        by_category, _, category_norms = index.build(labelled, F.col("t"), "id", labelled.count())
-        write("category_postings", by_category)
-        write("category_norms", category_norms)
+    def build(self, pages: DataFrame, texts: DataFrame, rank_iterations: int | None = None, rank_mode: str = "reference", text_order: Column | None = None, page_order: Column | None = None) -> None:
+        """Compute and store all tables; a text without a page record is not indexed.
+
+        Of several rows of one id the last counts, as a later file replaces an earlier: the
+        greatest in ``text_order`` or ``page_order``, by default in a column ``file`` if there is
+        one, then in all columns. Tables that do not need each other are built at the same time.
+        """
+        write, read = self.catalog.write, self.catalog.read
+        order = lambda df: F.struct(*(["file"] if "file" in df.columns else []), *[c for c in df.columns if c not in ("id", "file")])
+        PAGE, TEXT = ["id", "title", "redirect", "links", "abstract_end", "categories"], ["id", "url", "title", "text"]
+        last_page, last_text = page_order if page_order is not None else order(pages), text_order if text_order is not None else order(texts)
+        extra = lambda df, columns: [c for c in df.columns if c not in columns]
+        _together(lambda: write("pages", pages.where("id is not null").select(*PAGE, *extra(pages, PAGE)), last_page), lambda: write("texts", texts.where("id is not null").select(*TEXT, *extra(texts, TEXT)), last_text))
+        pages, texts = read("pages"), read("texts")
+
+        def links_() -> None:
+            write("resolved", links.resolve_redirects(pages))
+            resolved = read("resolved")
+            edges = cut(links.link_edges(pages, resolved), "edges")
+            nodes = pages.where(target(F.col("redirect")).isNull()).select(F.col("id").alias("doc_id"))
+            write("edges", edges)
+            write("ranks", links.page_rank(nodes, edges, rank_iterations, rank_mode))
+            ends = pages.select(F.col("id").alias("resolved_id"), F.col("title").alias("page_title"))
+            write("shown", pages.select("id", F.col("title").alias("asked_title"), target(F.col("redirect")).isNotNull().alias("is_redirect")).join(resolved, "id").join(ends, "resolved_id", "left"))
+            write("suggestions", suggest.stored(suggest.title_ranks(pages, resolved, read("ranks"))))
+
+        def words() -> tuple[DataFrame, DataFrame]:
+            docs = texts.join(pages.select("id", "abstract_end"), "id").where("text is not null")
+            weighted, vocabulary, norms = index.build(docs, self._word_tokens(docs), "id")
+            write("terms", vocabulary)
+            write("norms", norms)
+            return weighted, norms
+
+        def categories() -> None:
+            tokens = tx.tokens_category(F.col("categories"), self.stop)
+            if self.language == "zh":
+                own = F.transform(F.filter(F.coalesce("categories", F.array().cast("array<string>")), tx.has_han), F.trim)
+                tokens = tx.tokens_zh(pages, own, self.lexicon, self.stop, lower=False)
+            labelled = cut(pages.select("id", tokens.alias("t")).where(F.size("t") > 0), "labelled")
+            weighted, _, norms = index.build(labelled, F.col("t"), "id", labelled.count())
+            write("category_postings", weighted.join(norms, "doc_id"))
+            write("category_norms", norms)
+            write("category_vectors", weighted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf_idf"))).alias("weights")))
+
+        titles = lambda: write("title_keys", pages.where("title is not null").select(F.lower("title").alias("key"), "id", "title"))
+        _, (weighted, norms), _, _ = _together(links_, words, categories, titles)
+        # norm and rank stand beside each posting, so that a search joins nothing
+        write("postings", weighted.join(norms, "doc_id").join(read("ranks"), "doc_id", "left"))
 
     def _shown(self, found: list[tuple], columns: str) -> DataFrame:
         """Documents of a short result list ``(doc_id, ...)``, fetched by id."""
-        wanted = self.spark.createDataFrame(found, columns)
-        ids = [r[0] for r in found]
-        resolved = self.catalog.fetch("resolved", ids)
-        ends = list({r.resolved_id for r in resolved.collect() if r.resolved_id is not None} | set(ids))
-        return lookup.find_documents(wanted, self.catalog.fetch("pages", ends), resolved, self.catalog.fetch("texts", ends), self.language)
+        about = {r.id: r for r in self.catalog.fetch("shown", [r[0] for r in found]).collect()} if found else {}
+        rows = [(*r, a.resolved_id, a.asked_title, a.is_redirect, a.page_title) for r in found if (a := about.get(r[0]))]
+        wanted = self.spark.createDataFrame(rows, f"{columns}, resolved_id long, asked_title string, is_redirect boolean, page_title string")
+        ends = sorted({r[-4] for r in rows if r[-4] is not None})
+        body = self.catalog.fetch("texts", ends).select(F.col("id").alias("resolved_id"), F.col("url").alias("text_url"), F.col("title").alias("text_title"), tx.strip_title_header(F.col("text")).alias("body"))
+        names = [c.strip().split(" ")[0] for c in columns.split(", ")]
+        return lookup.result_documents(wanted.join(F.broadcast(body), "resolved_id", "left"), names, self.language)  # one text a result
 
     # ------------------------------------------------------------ queries
 
@@ -78,7 +109,7 @@ class SearchEngine:
         if self.language == "zh":
             words = tx.tokens_zh(queries, F.array("query"), self.lexicon, ())
         analysed = cut(search.analyse(queries, self.catalog.read("terms"), self.stop, words), "analysed")
-        found = search.candidates(search.query_vectors(analysed), self.catalog.read("postings"))
+        found = search.candidates(search.query_vectors(analysed), self.catalog.read("postings").drop("norm", "rank"))
         top = search.top_k(search.score(found, self.catalog.read("norms"), self.catalog.read("ranks")), k)
         hits = search.exact_titles(queries, self.catalog.read("pages"))
         return search.promote_titles(top, hits, k).join(search.dropped_terms(analysed), "query_id", "left")
@@ -100,15 +131,14 @@ class SearchEngine:
         if search.is_wildcard(query):
             return self.wildcard_search(query, k)
         words = self._words(query)
-        idf = {r.term: r.idf for r in self.catalog.fetch("terms", sorted({*words} - {*self.stop})).collect()}
+        asked = self.catalog.fetch("terms", sorted({*words} - {*self.stop})).select("term", "idf", F.lit(None).cast("long").alias("id"))
+        titled = self.catalog.fetch("title_keys", [query.lower()]).select(F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("idf"), "id")
+        known = asked.unionByName(titled.orderBy("id").limit(1)).collect()  # a row for each word, and the title
+        idf = {r.term: r.idf for r in known if r.term is not None}
         kept = [w for w in words if w in idf]
         dropped = [w for w in words if w not in idf]
-        found: list[int] = []
-        if kept:
-            hits = search.candidates(search.local_vectors(self.spark, kept, idf), self.catalog.fetch("postings", sorted(idf)), local=True)
-            scored = search.score(hits, self.catalog.read("norms"), self.catalog.read("ranks"))
-            found = [r.doc_id for r in scored.orderBy(F.round("score", 9).desc(), "doc_id").limit(k).collect()]
-        title = self.catalog.fetch("title_keys", [query.lower()]).agg(F.min("id")).first()[0]
+        found = [r.doc_id for r in search.best_of_query(self.catalog.fetch("postings", sorted(idf)), kept, idf, k).collect()] if kept else []
+        title = next((r.id for r in known if r.id is not None), None)
         if title is not None:
             found = [title, *[d for d in found if d != title]][:k]
         shown = self._shown([(d, i + 1, dropped) for i, d in enumerate(found)], "doc_id long, place int, dropped_terms array<string>")
@@ -126,8 +156,7 @@ class SearchEngine:
 
     @timed
     def complete_query(self, query: str, hints: int = 6) -> DataFrame:
-        titles = suggest.title_ranks(self.catalog.read("pages"), self.catalog.read("resolved"), self.catalog.read("ranks"))
-        return suggest.complete(titles, query, hints)
+        return suggest.complete(self.catalog.read("suggestions"), query, hints)
 
     @timed
     def recommend_sim_doc(self, doc_id: int, k: int = 5) -> DataFrame:
@@ -136,9 +165,9 @@ class SearchEngine:
         page = self.catalog.fetch("pages", [doc_id])
         if page.isEmpty():
             raise ValueError(f"no page has id {doc_id}")
-        rows = self.catalog.read("category_postings").where(F.col("doc_id") == doc_id).select("term", "tf_idf").collect()
-        own = {r.term: r.tf_idf for r in rows if r.term not in {*self.stop}}
-        return recommend.related_to(doc_id, own, self.catalog.fetch("category_postings", sorted(own)), self.catalog.read("category_norms"), k).orderBy("place")
+        row = self.catalog.fetch("category_vectors", [doc_id]).first()
+        own = {w.term: w.tf_idf for w in (row.weights if row else []) if w.term not in {*self.stop}}
+        return recommend.related_to(doc_id, own, self.catalog.fetch("category_postings", sorted(own)), k).orderBy("place")
 
     def find_doc(self, doc_id: int) -> DataFrame:
         return self._shown([(doc_id,)], "doc_id long")

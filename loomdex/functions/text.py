@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast
+
 # Function words that carry no topic; a longer list is read by read_stop_words().
 STOP_WORDS = (
     "a about after all also although an and any are as at be because been before between both but by can could did do does during each few for from had has have he her here him his how i if in "
@@ -21,12 +23,19 @@ STOP_WORDS_ZH = "的 了 和 是 在 与 及 而 也 就 都 不 有 这 那 于
 # Fixed value: the 32 ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAX_EN, MAX_ZH = 30, 15
+MOST_STOP_WORDS = 100_000
+#: A lexicon of more words is not broadcast: texts meet it in a join.
+LEXICON_WORDS = 1_000_000
 
 
 def read_stop_words(spark: SparkSession, path: str) -> list[str]:
-    """Stop words of a file, one per line, without outer white space; a list of bounded size."""
+    """Stop words of a file, one per line, without outer white space. Each becomes part of an
+    expression, so a file of more than ``MOST_STOP_WORDS`` is refused, not cut."""
     rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"[\r\n]", "")).alias("w")).where("w <> ''").distinct()
-    return sorted(r.w for r in rows.limit(100_000).collect())
+    words = sorted(r.w for r in rows.limit(MOST_STOP_WORDS + 1).collect())
+    if len(words) > MOST_STOP_WORDS:
+        raise ValueError(f"{path} has more than {MOST_STOP_WORDS} words; it is no stop list")
+    return words
 
 
 def _in(word: Column, stop: Iterable[str]) -> Column:
@@ -103,10 +112,14 @@ def segment_longest(text: str, lexicon: frozenset[str], longest: int) -> list[st
     return out
 
 
+def _kept_zh(words: list[str], dropped: frozenset[str], lower: bool) -> list[str]:
+    return [w.lower() if lower else w for w in words if w not in dropped and len(w) <= MAX_ZH]
+
+
 def tokens_zh(df: DataFrame, line_array: Column, lexicon: Iterable[str], stop: Iterable[str] = STOP_WORDS_ZH, lower: bool = True) -> Column:
     """Chinese tokens of lines: joined without a gap, only letters, digits and Chinese characters,
-    cut by a dictionary (bounded, broadcast by the caller's choice of lexicon), stop words and
-    words over 15 characters dropped, lower-cased unless told otherwise."""
+    cut by a dictionary, stop words and words over 15 characters dropped, lower-cased unless told
+    otherwise. The lexicon is broadcast; :func:`with_tokens_zh` takes one of any size."""
     words = frozenset(w for w in lexicon if 1 < len(w) <= MAX_ZH)
     longest = max(map(len, words), default=1)
     shared = df.sparkSession.sparkContext.broadcast((words, longest, frozenset(stop)))
@@ -115,12 +128,34 @@ def tokens_zh(df: DataFrame, line_array: Column, lexicon: Iterable[str], stop: I
     def cut_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, size, dropped = shared.value
         for texts in batches:
-            cut = [None if t is None else [w.lower() if lower else w for w in segment_longest(t, known, size) if w not in dropped and len(w) <= MAX_ZH] for t in texts]
-            yield pd.Series(cut, dtype=object)
+            yield pd.Series([None if t is None else _kept_zh(segment_longest(t, known, size), dropped, lower) for t in texts], dtype=object)
 
     return cut_words(han_only(F.array_join(line_array, "")))
 
 
+def with_tokens_zh(df: DataFrame, id_col: str, line_array: Column, lexicon: DataFrame, out: str = "t", stop: Iterable[str] = STOP_WORDS_ZH, lower: bool = True, most: int = LEXICON_WORDS) -> DataFrame:
+    """``df`` with the tokens of :func:`tokens_zh` in ``out``; ``lexicon`` is ``(w)``, ids are unique.
+
+    Up to ``most`` words (counted) the lexicon is broadcast. A larger one is joined: each text's
+    pieces of 2 to 15 Chinese characters meet it by shuffle, and the text is cut by those found,
+    which are all that could cut it."""
+    known = lexicon.where(F.length("w").between(2, MAX_ZH)).select("w").distinct()
+    if fits_broadcast(known, most):
+        return df.withColumn(out, tokens_zh(df, line_array, [r.w for r in known.collect()], stop, lower))
+    text = df.select(F.col(id_col).alias("_id"), F.explode(F.split(han_only(F.array_join(line_array, "")), "[^一-龥]+")).alias("_run")).where(F.length("_run") > 1)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.length("_run"), F.lit(MAX_ZH))), lambda n: F.transform(F.sequence(F.lit(1), F.length("_run") - n + 1), lambda i: F.substring("_run", i, n))))
+    found = text.select("_id", F.explode(pieces).alias("w")).distinct().join(known, "w").groupBy("_id").agg(F.collect_set("w").alias("_known"))
+    dropped = frozenset(stop)
+
+    @F.pandas_udf("array<string>")
+    def cut_words(texts: pd.Series, lexicons: pd.Series) -> pd.Series:
+        each = ((t, frozenset(() if ws is None else ws)) for t, ws in zip(texts, lexicons))
+        return pd.Series([None if t is None else _kept_zh(segment_longest(t, ws, max(map(len, ws), default=1)), dropped, lower) for t, ws in each], dtype=object)
+
+    joined = df.join(found, F.col(id_col) == F.col("_id"), "left")
+    return joined.withColumn(out, cut_words(han_only(F.array_join(line_array, "")), F.col("_known"))).drop("_id", "_known")
+
+
 def strip_title_header(text: Column) -> Column:
     """The text without its leading title line and the blank line after it."""
     return F.regexp_replace(text, r"(?s)^.*?\b[^\n]*\n\n", "")

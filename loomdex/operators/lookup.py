@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.read import target
@@ -24,9 +24,15 @@ def find_documents(wanted: DataFrame, pages: DataFrame, resolved: DataFrame, tex
     shown = pages.select(F.col("id").alias("resolved_id"), F.col("title").alias("page_title"))
     body = texts.select(F.col("id").alias("resolved_id"), F.col("url").alias("text_url"), F.col("title").alias("text_title"), strip_title_header(F.col("text")).alias("body"))
     joined = wanted.join(asked, "doc_id").join(shown, "resolved_id", "left").join(body, "resolved_id", "left")
+    return result_documents(joined, wanted.columns, language)
+
+
+def result_documents(joined: DataFrame, columns: list[str], language: str = "en") -> DataFrame:
+    """The fields of result documents from ``resolved_id, asked_title, is_redirect, page_title,
+    text_url, text_title, body``."""
     exists, empty = F.col("resolved_id").isNotNull(), F.lit("")
     return joined.select(
-        *wanted.columns, F.col("resolved_id").alias("id"),
+        *columns, F.col("resolved_id").alias("id"),
         F.when(exists, F.coalesce("text_title", "page_title")).otherwise(empty).alias("title"),
         F.when(exists, F.coalesce("text_url", F.concat(F.lit(PAGE_URL.format(language=language)), F.col("resolved_id").cast("string")))).otherwise(empty).alias("url"),
         F.coalesce("body", empty).alias("text"), F.when(F.col("is_redirect"), F.col("asked_title")).otherwise(empty).alias("redirect_from"), exists.alias("page_exist"))
@@ -48,6 +54,19 @@ def links_of(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.select("id").join(edges.where("dst is not null").select(F.col("src").alias("id"), "dst"), "id").groupBy("id").agg(F.sort_array(F.collect_set("dst")).alias("links"))
 
 
+def find_articles_by_title(wanted: DataFrame, titles: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """:func:`find_articles` of ``wanted (title)``, with case, by the map ``titles (title, id)``;
+    adds ``asked``, the title asked for. Unknown titles give no row."""
+    asked = title_ids(wanted.where("title is not null").distinct(), titles).withColumnRenamed("title", "asked")
+    return asked.join(find_articles(asked.select("id").distinct(), texts, pages), "id")
+
+
+def links_of_titles(wanted: DataFrame, titles: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`links_of` of ``wanted (title)``, with case: ``(title, id, links)``."""
+    asked = title_ids(wanted.where("title is not null").distinct(), titles)
+    return asked.join(links_of(asked.select("id").distinct(), edges), "id").select("title", "id", "links")
+
+
 def highlight(text: Column, patterns: Iterable[str], literal: bool = True) -> Column:
     """All matches of each pattern in turn as ``array<struct<start, end>>``: literal words at word
     boundaries, whatever their case, or regular expressions as they are. Null text gives null."""
@@ -63,7 +82,7 @@ def highlight(text: Column, patterns: Iterable[str], literal: bool = True) -> Co
 
 
 def page_of(results: DataFrame, page: int, size: int = 10, order: str = "place") -> DataFrame:
-    """One page (from 1) of ordered results, with the number of pages, int(n / size) + 1."""
+    """One page (from 1) of ordered results, with the number of pages, int(n / size) + 1. The sort
+    keeps no more rows than the pages up to this one hold."""
     n = results.count()
-    w = Window.orderBy(order)  # a result list, bounded by its search
-    return results.withColumn("_row", F.row_number().over(w)).where((F.col("_row") > (page - 1) * size) & (F.col("_row") <= page * size)).drop("_row").withColumn("pages", F.lit(n // size + 1))
+    return results.orderBy(order).offset((page - 1) * size).limit(size).withColumn("pages", F.lit(n // size + 1))

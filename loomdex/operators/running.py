@@ -1,9 +1,9 @@
 """Running sums and ranks inside groups of any size.
 
-A plain window sends each group to one task. Here groups over ``heavy_rows`` are cut into value
-ranges that are summed apart; the sums of earlier ranges are then added as offsets. Ranges come
-from quantiles of the heavy groups' order values, computed once and written, so that a recomputed
-task sees the same ranges.
+A plain window sends each group to one task. Here the rows of groups over ``heavy_rows`` are cut
+into ranges of their whole order, so that many rows with one time part too; the ranges are summed
+apart and the sums of earlier ranges are added as offsets. The ranged rows are written once, so
+that a recomputed task sees the same ranges.
 """
 
 from __future__ import annotations
@@ -26,31 +26,31 @@ def _null_safe(left: str, right: str, cols: list[str]):
 def running_sum(df: DataFrame, group: list[str], order: list[str], sums: dict[str, str],
                 heavy_rows: int = HEAVY_ROWS, ranges: int = 64) -> DataFrame:
     """Add each ``out`` of ``sums = {out: value column}``: the sum of the value over the rows of
-    the group up to and including this one in the order of ``order``. Null values count as 0. The first order column is numeric; the
+    the group up to and including this one in the order of ``order``. Null values count as 0. The
     order columns together should be unique inside a group (else ties share no defined order).
     Groups may be null. An empty input gives an empty output."""
-    first = order[0]
     amounts = {out: F.coalesce(F.col(value), F.lit(0)) for out, value in sums.items()}
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    heavy = cut(sizes.select(*group, "_n"), "heavy")
+    heavy = cut(sizes.select(*group), "heavy")
     if heavy.isEmpty():
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(a).over(w) for out, a in amounts.items()})
     side = F.broadcast if fits_broadcast(heavy) else (lambda x: x)
-    shares = F.lit([k / ranges for k in range(1, ranges)])
-    marked = df.alias("d").join(side(heavy.withColumn("_heavy", F.lit(True)).drop("_n")).alias("h"), _null_safe("d", "h", group), "left").select("d.*", F.coalesce("h._heavy", F.lit(False)).alias("_heavy"))
-    bounds = cut(marked.where("_heavy").groupBy(*group).agg(F.percentile_approx(first, shares, F.lit(10_000)).alias("_bounds")), "bounds")
-    ranged = marked.alias("d").join(side(bounds).alias("b"), _null_safe("d", "b", group), "left").select(
-        "d.*", F.when(F.col("b._bounds").isNull(), 0).otherwise(F.size(F.filter(F.col("b._bounds"), lambda x: x < F.col(f"d.{first}")))).alias("_range"))
-    w = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({f"_to_{out}": F.sum(a).over(w) for out, a in amounts.items()})
-    per_range = ranged.where("_heavy").groupBy(*group, "_range").agg(*[F.sum(a).alias(f"_in_{out}") for out, a in amounts.items()])
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    on = _null_safe("d", "h", group)
+    light = df.alias("d").join(side(heavy).alias("h"), on, "left_anti")
+    mine = df.alias("d").join(side(heavy).alias("h"), on, "left_semi")
+    ranged = cut(mine.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    local = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(a).alias(f"_in_{out}") for out, a in amounts.items()])
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
     offsets = cut(per_range.select(*group, "_range", *[F.coalesce(F.sum(f"_in_{out}").over(before), F.lit(0)).alias(f"_before_{out}") for out in sums]), "offsets")
-    side = F.broadcast if fits_broadcast(offsets) else (lambda x: x)
-    joined = local.alias("d").join(side(offsets).alias("o"), _null_safe("d", "o", [*group, "_range"]), "left")
+    small = F.broadcast if fits_broadcast(offsets) else (lambda x: x)
+    summed = ranged.withColumns({f"_to_{out}": F.sum(a).over(local) for out, a in amounts.items()})
+    joined = summed.alias("d").join(small(offsets).alias("o"), _null_safe("d", "o", [*group, "_range"]))
     keep = [F.col(f"d.{c}") for c in df.columns if c not in sums]
-    return joined.select(*keep, *[(F.col(f"d._to_{out}") + F.coalesce(F.col(f"o._before_{out}"), F.lit(0))).alias(out) for out in sums])
+    whole = joined.select(*keep, *[(F.col(f"d._to_{out}") + F.col(f"o._before_{out}")).alias(out) for out in sums])
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return light.withColumns({out: F.sum(a).over(w) for out, a in amounts.items()}).select(*whole.columns).unionByName(whole)
 
 
 def mean_ranks(df: DataFrame, group: list[str], value: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

@@ -52,29 +52,33 @@ def query_vectors(analysed: DataFrame) -> DataFrame:
     return weights.join(lengths, "query_id").join(whole.select("query_id", pairs.alias("bigrams")), "query_id")
 
 
-def local_vectors(spark: SparkSession, words: list[str], idf: dict[str, float]) -> DataFrame:
-    """:func:`query_vectors` of one query, from its kept words and their idf, without a job."""
+def best_of_query(postings: DataFrame, words: list[str], idf: dict[str, float], k: int, rank_weight: float = 10_000.0) -> DataFrame:
+    """``(doc_id, score)`` of the ``k`` best documents for one query's kept words, as :func:`score`
+    has them. ``postings`` are those of the words, each with its document's ``norm`` and ``rank``
+    beside it, so they are read, summed by document and ordered without any join."""
     counts = Counter(words)
     weights = {t: (1 + math.log10(c)) * idf[t] for t, c in counts.items()}
     length = math.sqrt(sum(w * w for w in weights.values()))
-    pairs = list(zip(words, words[1:]))
-    return spark.createDataFrame([(0, t, w, length, pairs) for t, w in weights.items()], "query_id long, term string, weight double, length double, bigrams array<struct<a:string,b:string>>")
-
-
-def candidates(vectors: DataFrame, weighted: DataFrame, local: bool = False) -> DataFrame:
+    weight = F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, w)])[F.col("term")]
+    pairs = [(a, b) for a, b in zip(words, words[1:])]
+    entries = [F.map_from_entries(F.collect_list(F.struct("term", "lc"))).alias("at")] if pairs else []  # as many as the query has terms
+    per_doc = postings.groupBy("doc_id").agg(F.sum(weight * F.col("tf_idf")).alias("dot"), F.first("norm").alias("norm"), F.first("rank").alias("rank"), *entries)
+    places = lambda t: F.coalesce(F.try_element_at(F.col("at"), F.lit(t)), F.array().cast("array<int>"))
+    phrase = sum((0.5 * F.size(F.array_intersect(F.transform(places(a), lambda p: p + 1), places(b))) for a, b in pairs), F.lit(0.0))
+    vsm = F.coalesce(F.try_divide(F.col("dot") * F.col("dot"), F.lit(length) * F.col("norm")), F.lit(0.0))
+    scored = per_doc.select("doc_id", (vsm + rank_weight * F.coalesce("rank", F.lit(0.0)) + phrase).alias("score"))
+    return scored.orderBy(F.round("score", 9).desc(), "doc_id").limit(k)
+
+
+def candidates(vectors: DataFrame, weighted: DataFrame) -> DataFrame:
     """``(query_id, doc_id, dot, phrase, length)`` of each document with any kept term: the dot
-    product and half a point for each pair of neighbouring positions of neighbouring terms.
-    ``local`` says that the vectors are those of one query, so nothing need be counted."""
-    if local:
-        side = F.broadcast
-    else:
-        vectors = cut(vectors, "vectors")
-        side = F.broadcast if fits_broadcast(vectors) else (lambda x: x)
+    product and half a point for each pair of neighbouring positions of neighbouring terms."""
+    vectors = cut(vectors, "vectors")
+    side = F.broadcast if fits_broadcast(vectors) else (lambda x: x)
     hits = weighted.join(side(vectors.select("query_id", "term", "weight")), "term")
     entries = F.map_from_entries(F.collect_list(F.struct("term", "lc")))  # as many as the query has terms
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("tf_idf")).alias("dot"), entries.alias("at"))
-    queries = vectors.select("query_id", "length", "bigrams")
-    queries = queries.limit(1) if local else queries.dropDuplicates(["query_id"])  # its rows agree
+    queries = vectors.select("query_id", "length", "bigrams").dropDuplicates(["query_id"])  # its rows agree
     none = F.array().cast("array<int>")
     places = lambda t: F.coalesce(F.try_element_at(F.col("at"), t), none)
     pairs = F.aggregate("bigrams", F.lit(0), lambda acc, b: acc + F.size(F.array_intersect(F.transform(places(b["a"]), lambda p: p + 1), places(b["b"]))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,26 +12,36 @@ def title_ranks(pages: DataFrame, resolved: DataFrame, ranks: DataFrame) -> Data
     return joined.select("id", "title", F.coalesce("rank", F.lit(-1.0)).alias("rank"))
 
 
+def stored(ranked: DataFrame) -> DataFrame:
+    """:func:`title_ranks` with the lower-case title as ``key``, as a catalog sorts them."""
+    return ranked.where("title is not null").select(F.lower("title").alias("key"), "id", "title", "rank")
+
+
 def complete(titles: DataFrame, query: str, hints: int = 6) -> DataFrame:
-    """``(id, title, rank, place)`` of at most ``hints`` suggestions.
+    """``(id, title, rank, place)`` of at most ``hints`` suggestions from ``(id, title, rank)``.
 
     First the titles that begin with the query (the title is lower-cased, the query is not), the
     whole title first, then by rank. What room is left goes to the titles whose beginning of the
     query's length is nearest in edit distance, by rank, unless that distance is 80 % of the
-    query's length or more. Shorter titles are never suggested; ties go to the smaller id. One
-    scan serves both: the least distance is an aggregate of one row.
+    query's length or more. Shorter titles are never suggested; ties go to the smaller id.
+
+    With a ``key`` column (:func:`stored`) the search by prefix reaches the scan and reads only
+    where such titles lie; only if they leave room are all titles compared. Each step gives no
+    more than ``hints`` rows to the driver.
     """
     n = len(query)
     head = F.lower(F.substring("title", 1, n))
-    long_enough = titles.where(F.length("title") >= n).select("id", "title", "rank", (head == query).alias("prefix"), F.levenshtein(head, F.lit(query)).alias("distance"), (F.length("title") == n).alias("whole"))
-    fuzzy = long_enough.where("not prefix")
-    least = fuzzy.agg(F.min("distance")).first()[0]
-    tier = F.when(F.col("prefix"), F.when(F.col("whole"), 0).otherwise(1)).otherwise(2)
-    wanted = F.col("prefix")
-    if least is not None and min(least, n) < int(0.8 * n):
-        wanted = wanted | (F.col("distance") == least)
-    best = long_enough.where(wanted).withColumn("tier", tier).orderBy("tier", F.desc("rank"), "id").limit(hints)
-    return best.select("id", "title", "rank", F.row_number().over(Window.orderBy("tier", F.desc("rank"), "id")).alias("place"))
+    long_enough = titles.where(F.length("title") >= n)
+    begun = long_enough.where(F.col("key").startswith(query)) if "key" in titles.columns else long_enough
+    shown = [F.col("id"), F.col("title"), F.col("rank")]
+    found = begun.where(head == query).orderBy((F.length("title") != n), F.desc("rank"), "id").limit(hints).select(*shown).collect()
+    room, near = hints - len(found), int(0.8 * n) - 1  # the greatest distance that counts
+    if room > 0 and near >= 0:
+        distance = F.levenshtein(head, F.lit(query), near)  # -1 beyond it
+        apart = long_enough.where(head != query).select(*shown, distance.alias("distance")).where("distance >= 0")
+        nearest = apart.orderBy("distance", F.desc("rank"), "id").limit(room).collect()
+        found += [r for r in nearest if r.distance == nearest[0].distance]
+    return titles.sparkSession.createDataFrame([(r["id"], r.title, r.rank, i + 1) for i, r in enumerate(found)], "id long, title string, rank double, place int")
 
 
 def with_history(suggestions: DataFrame, history: DataFrame, typed: str) -> DataFrame:

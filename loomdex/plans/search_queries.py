@@ -289,10 +289,9 @@ def namespace_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def zh_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Chinese tokens of every document, cut by the category words of the stored index."""
-    words = table(spark, d, "category_postings").select(F.trim("term").alias("w")).where(tx.has_han(F.col("w"))).distinct()
-    docs = corpus(spark, d)
-    t = docs.select("doc_id", tx.tokens_zh(docs, tx.lines(F.col("text")), [r.w for r in words.collect()]).alias("t"))
-    return t.select("doc_id", F.size("t").alias("tokens"))
+    words = table(spark, d, "category_postings").select(F.trim("term").alias("w")).where(tx.has_han(F.col("w")))
+    t = tx.with_tokens_zh(corpus(spark, d), "doc_id", tx.lines(F.col("text")), words)
+    return t.select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 def simplify(spark: SparkSession, d: str) -> DataFrame:

@@ -87,12 +87,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str, below: int = 256 << 20) -> DataFrame:
-    """Rows over all cores where a small input lies in fewer files than there are cores (a small
-    file is one task, however costly its rows are); larger inputs are left as they are read."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where a scan has fewer tasks than there are cores (its rows are costly in
+    Python, however few bytes they are); a scan of as many tasks or more is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < below and len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -114,12 +113,17 @@ def timed(f):
     return run
 
 
-def builder(app: str = "loomdex", cores: int | str = "*") -> SparkSession.Builder:
-    """Local session used by tests, bench and the examples."""
+def builder(app: str = "loomdex", cores: int | str = "*", checkpoint_dir: str | None = None) -> SparkSession.Builder:
+    """Local session used by tests, bench and the examples. ``checkpoint_dir`` becomes
+    ``spark.checkpoint.dir``; without it a new folder of this machine does, which goes at exit."""
+    if checkpoint_dir is None:
+        checkpoint_dir = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+        atexit.register(_remove_own, checkpoint_dir)
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", checkpoint_dir)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import wikitext
+from ..operators.index import last_per_id
 
 PAGE = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
@@ -25,8 +26,10 @@ def read_xml_dump(spark: SparkSession, path: str, row_tag: str = "page") -> Data
 
 
 def write_xml_dump(pages: DataFrame, path: str) -> None:
-    """The inverse of :func:`read_xml_dump`; null redirects have no element."""
-    shaped = pages.select("id", "title", F.when(F.col("redirect") != "", F.struct(F.col("redirect").alias("_title"))).alias("redirect"), F.struct(F.col("id").alias("id"), F.col("text").alias("text")).alias("revision"))
+    """The inverse of :func:`read_xml_dump`; null redirects have no element. ``revision_id`` is
+    that of the page's text, the page's own where there is no such column."""
+    revision = F.col("revision_id" if "revision_id" in pages.columns else "id").alias("id")
+    shaped = pages.select("id", "title", F.when(F.col("redirect") != "", F.struct(F.col("redirect").alias("_title"))).alias("redirect"), F.struct(revision, F.col("text").alias("text")).alias("revision"))
     shaped.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").mode("overwrite").save(path)
 
 
@@ -60,6 +63,11 @@ def title_shard(title: Column, language: str = "en") -> Column:
     return F.when(first.rlike("^[A-Z]$"), first).otherwise("other")
 
 
+def write_title_shards(titles: DataFrame, path: str, language: str = "en") -> None:
+    """``(title, id)`` in one folder per :func:`title_shard`, of which a lookup reads one."""
+    titles.select("title", "id", title_shard(F.col("title"), language).alias("shard")).repartition("shard", "title").write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
 def title_map(pages: DataFrame) -> DataFrame:
     """``(title, id)``, case-sensitive; of several pages of a title the one loaded last counts."""
     order = F.struct("edited_at", "loaded_at", "id") if {"edited_at", "loaded_at"} <= set(pages.columns) else F.struct("id")
@@ -70,20 +78,24 @@ class Catalog:
     """Index tables in one folder: sorted by their lookup key, so that a filter on the key prunes
     row groups by their statistics."""
 
-    KEYS = {"postings": "term", "pure_postings": "term", "category_postings": "term", "terms": "term", "titles": "title", "pages": "id", "texts": "id", "edges": "src", "ranks": "doc_id", "norms": "doc_id", "category_norms": "doc_id", "resolved": "id", "title_keys": "key"}
+    KEYS = {"postings": "term", "pure_postings": "term", "category_postings": "term", "terms": "term", "titles": "title", "pages": "id", "texts": "id", "edges": "src", "ranks": "doc_id", "norms": "doc_id", "category_norms": "doc_id", "resolved": "id", "title_keys": "key", "shown": "id", "suggestions": "key", "category_vectors": "doc_id"}
 
     #: What a key held by many rows is cut by, so that its rows are not one task's.
-    SECOND = {"postings": "doc_id", "pure_postings": "doc_id", "category_postings": "doc_id", "edges": "dst", "titles": "id", "title_keys": "id"}
+    SECOND = {"postings": "doc_id", "pure_postings": "doc_id", "category_postings": "doc_id", "edges": "dst", "titles": "id", "title_keys": "id", "suggestions": "id"}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._open: dict[str, DataFrame] = {}
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Range-partitioned by key with a bloom filter on it."""
+    def write(self, name: str, df: DataFrame, last: Column | None = None) -> None:
+        """Range-partitioned by key with a bloom filter on it. With ``last`` one row of each key
+        stays, the greatest in that order; rows of a key meet in the same exchange."""
         key = self.KEYS[name]
-        by = [key, *([self.SECOND[name]] if self.SECOND.get(name) in df.columns else [])]
-        df.repartitionByRange(*by).sortWithinPartitions(*by).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(f"{self.root}/{name}")
+        by = [key, *([self.SECOND[name]] if self.SECOND.get(name) in df.columns and last is None else [])]
+        ranged = df.repartitionByRange(*by)
+        if last is not None:
+            ranged = last_per_id(ranged, key, last).select(*df.columns)
+        ranged.sortWithinPartitions(*by).write.option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(f"{self.root}/{name}")
         self._open.pop(name, None)
 
     def read(self, name: str) -> DataFrame:

@@ -35,9 +35,15 @@ def test_postings_shuffle_once_by_term_and_document(spark):
 
 def test_query_terms_are_broadcast_against_postings(spark):
     weighted = spark.createDataFrame([("a", 1, [0], 1.0, 0.5)], "term string, doc_id long, lc array<int>, tf double, tf_idf double")
-    found = search.candidates(search.local_vectors(spark, ["a", "b"], {"a": 1.0, "b": 1.0}), weighted, local=True)
-    shown = plan(found)
-    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and shown.count("Exchange hashpartitioning") == 1
+    vectors = spark.createDataFrame([(0, "a", 1.0, 1.0, [("a", "b")])], "query_id long, term string, weight double, length double, bigrams array<struct<a:string,b:string>>")
+    shown = plan(search.candidates(vectors, weighted))
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and shown.count("Exchange hashpartitioning") <= 2
+
+
+def test_one_search_joins_nothing(spark):
+    stored = spark.createDataFrame([("a", 1, [0], 0.5, 1.0, 0.1)], "term string, doc_id long, lc array<int>, tf_idf double, norm double, rank double")
+    shown = plan(search.best_of_query(stored, ["a", "b"], {"a": 1.0, "b": 1.0}, 5))
+    assert "Join" not in shown and shown.count("Exchange hashpartitioning") == 1 and "TakeOrderedAndProject" in shown
 
 
 @pytest.mark.parametrize("k", [3])
