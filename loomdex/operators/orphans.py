@@ -79,6 +79,8 @@ class OrphanLedger:
         #: All changes and the last month of references, where :func:`run_ledger` filled the ledger.
         self.changes = spark.createDataFrame([], "space string, key string, at long, begun int, opened int, ended int")
         self.last_month: str | None = None
+        #: What the last advance changed, for :meth:`save`.
+        self.news: dict[str, DataFrame] = {}
         self.snapshots = spark.createDataFrame([], "as_of long, field string, month string, reason string, open boolean, n long")
 
     # ------------------------------------------------------------ the index
@@ -124,8 +126,40 @@ class OrphanLedger:
         self.waiting = marked.where("not late").select("o.*")
         self.settled += [found.where("deleted").drop("deleted").withColumn("reason", F.lit("deleted")), marked.where("late").select("o.*", F.lit("late").alias("reason"))]
         self._append(moved.select(*KEY, *COUNTS), moved.count())
+        self.news = {"deltas": moved.select(*KEY, *COUNTS), "waiting": self.waiting, "settled": self.settled[-2].unionByName(self.settled[-1])}
         counts = self.orphans(True).groupBy("field", month_of(F.col("at")).alias("month"), "reason", "open").agg(F.count(F.lit(1)).alias("n"))
-        self.snapshots = self.snapshots.unionByName(counts.select(F.lit(as_of).cast("long").alias("as_of"), "*"))
+        latest = counts.select(F.lit(as_of).cast("long").alias("as_of"), "*")
+        self.news["snapshots"] = latest
+        self.snapshots = self.snapshots.unionByName(latest)
+
+    # ------------------------------------------------------------ kept state
+
+    def save(self, root: str, number: int) -> None:
+        """Store what the last advance changed as batch ``number`` below ``root``: the changes of
+        the index, the orphans settled and the counts are added, those waiting written anew. The
+        batch counts once its mark is there; a batch saved again replaces itself."""
+        for name, df in self.news.items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        self.spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{root}/done/batch={number}")
+
+    @classmethod
+    def load(cls, spark, root: str) -> tuple[OrphanLedger, int]:
+        """The ledger as of the last whole batch below ``root`` and that batch's number, -1 if
+        there is none. What a batch left unfinished is not read."""
+        ledger, root = cls(spark), root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/done")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(path) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))] if files.exists(path) else []
+        if not done:
+            return ledger, -1
+        last = max(done)
+        schema = {"deltas": "space string, key string, begun long, opened long, ended long", "settled": f"{cls.ORPHAN}, reason string", "snapshots": "as_of long, field string, month string, reason string, open boolean, n long"}
+        stored = {name: spark.read.schema(f"{columns}, batch int").option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").where(F.col("batch") <= last).drop("batch") for name, columns in schema.items()}
+        ledger.base = cut(stored["deltas"].groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTS]), "index")
+        ledger.sizes = [ledger.base.count(), 0]
+        ledger.settled, ledger.snapshots = [stored["settled"]], stored["snapshots"]
+        ledger.waiting = spark.read.schema(cls.ORPHAN).parquet(f"{root}/waiting/batch={last}")
+        return ledger, last
 
     def _probe(self, refs: DataFrame, moved: DataFrame, changes: DataFrame, some_many: bool) -> DataFrame:
         """``(field, src_id, space, key, at, deleted)`` of the references whose parent was not there

@@ -56,6 +56,25 @@ probed AS (
 SELECT DISTINCT ref_field, src_id, target_key, CASE WHEN n = 0 THEN 'missing' WHEN ended = 1 THEN 'deleted' ELSE 'late' END AS reason,
        strftime(make_timestamp(tm), '%Y-%m') AS ref_month
 FROM probed WHERE there = 0""",
+    "p3_snapshots": f"""
+WITH {_REFS},
+eff AS (SELECT space, k, b, e, e <= b AS empty FROM spans),
+probed AS (
+  SELECT r.ref_field, r.src_id, r.target_key, r.tm AS tm, CASE WHEN r.ref_field = 'edges.dst' THEN 'i' ELSE 't' END AS space,
+         coalesce(max(CASE WHEN s.b <= r.tm AND s.e > r.tm THEN 1 ELSE 0 END), 0) AS there, coalesce(max(CASE WHEN s.k IS NOT NULL AND s.e <= r.tm THEN 1 ELSE 0 END), 0) AS ended
+  FROM refs r LEFT JOIN spans s ON s.k = r.target_key AND s.space = CASE WHEN r.ref_field = 'edges.dst' THEN 'i' ELSE 't' END
+  GROUP BY ALL),
+lost AS (SELECT *, date_trunc('month', make_timestamp(tm)) AS own FROM probed WHERE there = 0),
+last_ AS (SELECT greatest((SELECT max(make_timestamp(epoch_us(t))) FROM (SELECT edited_at AS t FROM pages UNION ALL SELECT seen_at FROM edges)),
+                          coalesce((SELECT max(make_timestamp(CAST(x AS BIGINT))) FROM (SELECT b AS x FROM eff UNION ALL SELECT e FROM eff) WHERE abs(x) < 8e18), TIMESTAMP '1970-01-01')) AS t),
+ends AS (SELECT unnest(generate_series((SELECT min(own) FROM lost) + INTERVAL 1 MONTH, (SELECT date_trunc('month', t) FROM last_) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m),
+stood AS (
+  SELECT l.*, m, coalesce(max(CASE WHEN (CASE WHEN s.empty THEN s.e ELSE s.b END) < epoch_us(m) THEN 1 ELSE 0 END), 0) AS arrived,
+         coalesce(max(CASE WHEN NOT s.empty AND s.b < epoch_us(m) AND s.e >= epoch_us(m) THEN 1 ELSE 0 END), 0) AS now_there
+  FROM lost l JOIN ends ON m > own LEFT JOIN eff s ON s.space = l.space AND s.k = l.target_key GROUP BY ALL)
+SELECT strftime(m, '%Y-%m-%d') AS as_of, ref_field AS field, strftime(own, '%Y-%m') AS month, CASE WHEN ended = 1 THEN 'deleted' WHEN arrived = 1 THEN 'late' ELSE 'waiting' END AS reason,
+       now_there = 0 AS open, count(*) AS n
+FROM stood GROUP BY ALL""",
     "p4_found": f"""
 WITH {_ROWS}
 SELECT key_field, key_value FROM (SELECT key_field, key_value, count(*) AS n, sum(count(*)) OVER (PARTITION BY key_field) AS total FROM kept GROUP BY 1, 2)

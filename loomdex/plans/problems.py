@@ -37,7 +37,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per field and month of the reference as they stood at the end of each month."""
-    return orphans.monthly_snapshots(_ledger(spark, d)).select(F.timestamp_micros("as_of").alias("as_of"), "field", "month", "reason", "open", "n")
+    day = F.date_from_unix_date((F.col("as_of") / 86_400_000_000).cast("int")).cast("string")
+    return orphans.monthly_snapshots(_ledger(spark, d)).select(day.alias("as_of"), "field", "month", "reason", "open", "n")
 
 
 def keyed_rows(spark: SparkSession, d: str) -> DataFrame:

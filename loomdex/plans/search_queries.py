@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import SearchEngine
 from ..functions import text as tx
 from ..functions import wikitext
 from ..functions.read import current_pages, target, usable
@@ -131,11 +132,13 @@ def exact_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_promotion(spark: SparkSession, d: str) -> DataFrame:
-    """Results of the stored queries by tf_idf with a title hit put first."""
-    hits = usable_hits(spark, d)
+    """Results of the stored queries by tf_idf with a title hit put first: each query asks, in
+    capitals, for the title of the greatest page id among its hits."""
+    hits, now = usable_hits(spark, d), pages_now(spark, d)
     top = search.top_k(hits.withColumn("score", F.col("tf_idf")), 6, decimals=6)
-    first = hits.groupBy("query_id").agg(F.max("doc_id").alias("id"))
-    return search.promote_titles(top, first, 6).select("query_id", "doc_id", "place")
+    titled = now.where("title is not null").select(F.col("id").alias("doc_id"), "title")
+    asked = hits.join(titled, "doc_id").groupBy("query_id").agg(F.upper(F.max_by("title", "doc_id")).alias("query"))
+    return search.promote_titles(top, search.exact_titles(asked, now), 6).select("query_id", "doc_id", "place")
 
 
 def usable_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +156,7 @@ def _complete(query: str, iterations: int | None = 2, decimals: int = 12):
     def run(spark: SparkSession, d: str) -> DataFrame:
         now = pages_now(spark, d)
         ranks, resolved = _ranks(spark, d, now, iterations)
-        titles = suggest.title_ranks(now, resolved, ranks).withColumn("rank", F.round("rank", decimals))
+        titles = cut(suggest.title_ranks(now, resolved, ranks).withColumn("rank", F.round("rank", decimals)), "titles")
         return suggest.complete(titles, query).select("id", "title", "place")
 
     return run
@@ -260,12 +263,18 @@ def wikitext_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Current pages written as a page dump, read again and parsed to field records."""
+    """Current pages written as a page dump and read again to field records: revisions have ids of
+    their own, texts hold each page's links and categories, pages of every third id have no text,
+    and a malformed page lies between them; the last two are left out."""
     path = scratch_path(spark, "dump")
-    pages = pages_now(spark, d).select("id", "title", F.coalesce("redirect", F.lit("")).alias("redirect"), F.concat(F.lit("See [["), F.coalesce("title", F.lit("")), F.lit("]]\n[[Category:Pages]]")).alias("text"))
-    dumps.write_xml_dump(pages.where("title is not null"), path)
+    some = F.filter(F.transform(F.coalesce("links", F.array().cast("array<string>")), target), lambda x: x.isNotNull() & ~x.rlike(r"[\[\]{}<>\n]"))
+    text = F.concat(F.lit("Page sees "), F.array_join(F.transform(some, lambda x: F.concat(F.lit("[["), x, F.lit("|here]]"))), " and "), F.lit("\n\n== Part ==\n[[Outside]]\n[[Category:Pages|key]]\n[[Category:Id "), F.col("id").cast("string"), F.lit("]]"))
+    pages = pages_now(spark, d).where("title is not null").select("id", (F.col("id") + 1_000_000).alias("revision_id"), "title", F.coalesce("redirect", F.lit("")).alias("redirect"), F.when(F.col("id") % 3 != 0, text).alias("text"))
+    dumps.write_xml_dump(pages, path)
+    broken = "<mediawiki>\n<page>\n<id>seven</id>\n<title>Broken</title>\n<revision><id>1</id><text>x</text></revision>\n</page>\n</mediawiki>"
+    spark.createDataFrame([(broken,)], "value string").coalesce(1).write.mode("append").text(path)
     read = dumps.page_fields(dumps.read_xml_dump(spark, path))
-    return read.select("id", "title", target(F.col("redirect")).alias("redirect"), F.size("links").alias("links"), "abstract_end", F.array_join("categories", ",").alias("categories"))
+    return read.select("id", "title", target(F.col("redirect")).alias("redirect"), F.array_join("links", "\n").alias("links"), "abstract_end", F.array_join("categories", ",").alias("categories"))
 
 
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -332,10 +341,148 @@ def _paged(hits: DataFrame, size: int = 10) -> DataFrame:
     return placed.select("query_id", F.ceil(F.col("place") / size).cast("int").alias("page"), "doc_id", F.col("place").cast("int").alias("place"), "pages")
 
 
+# ---------------------------------------------------------------- the engine, end to end
+
+_built: dict[tuple[str, str], SearchEngine] = {}
+
+
+def engine(spark: SparkSession, d: str) -> SearchEngine:
+    """A catalog of the pages and the texts of all documents, built once per folder and session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        made = SearchEngine(spark, scratch_path(spark, "engine"), scope="full")
+        made.build(pages_now(spark, d).drop("edited_at", "loaded_at"), _texts(spark, d), rank_iterations=2)
+        _built[key] = made
+    return _built[key]
+
+
+def _a_title(e: SearchEngine) -> str:
+    return e.catalog.read("pages").where(F.col("title").rlike("^[A-Za-z ]+$")).agg(F.min("title")).first()[0] or ""
+
+
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    """Whole searches of the example queries and of one title in capitals: title first, ranked
+    documents, dropped terms, redirects followed, texts fetched."""
+    e = engine(spark, d)
+    out = None
+    for i, q in enumerate([*QUERIES, _a_title(e).upper()]):
+        one = e.search(q).select(F.lit(i).cast("long").alias("query_id"), "place", "doc_id", "id", "title", "url", F.length("text").alias("chars"), "redirect_from", "page_exist", F.array_join("dropped_terms", " ").alias("dropped"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def engine_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The same searches as one batch: documents and places only."""
+    e = engine(spark, d)
+    asked = search.query_table(spark, [*QUERIES, _a_title(e).upper()])
+    return e.search_many(asked).select("query_id", "doc_id", "place")
+
+
+def engine_wildcard(spark: SparkSession, d: str) -> DataFrame:
+    """A query with ``*`` given to the search as it is goes to the titles."""
+    return engine(spark, d).search("m*riki", 20).select("doc_id", "place", "page_exist")
+
+
+def engine_complete(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d).complete_query(PREFIXES["complete_prefix"]).select("id", "title", "place")
+
+
+def engine_recommend(spark: SparkSession, d: str) -> DataFrame:
+    """Related pages of the smallest page id divisible by 20 that has categories."""
+    e = engine(spark, d)
+    first = e.catalog.read("category_norms").where("doc_id % 20 = 0").agg(F.min("doc_id")).first()[0]
+    if first is None:
+        return spark.createDataFrame([], "doc_id long, related_id long, cosine double, place int")
+    return e.recommend_sim_doc(first).select(F.lit(first).alias("doc_id"), "related_id", F.round("cosine", 6).alias("cosine"), "place")
+
+
+def catalog_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Zone map of the stored pages: files cover the ids without overlap, and all of them."""
+    zones = engine(spark, d).catalog.zone_map("pages")
+    before = Window.orderBy("first")  # one row per file
+    apart = zones.select("first", "last", (F.coalesce(F.lag("last").over(before), F.lit(-2**62)) < F.col("first")).alias("apart"))
+    return apart.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("apart").alias("apart")).where("first is not null")
+
+
+def catalog_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The stored category index."""
+    return engine(spark, d).catalog.read("category_postings").select("term", "doc_id", F.size("lc").alias("n"), "tf_idf")
+
+
+def load_or_compute(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the stored index, written on first use and read from there on the second."""
+    catalog = dumps.Catalog(spark, scratch_path(spark, "catalog"))
+    made = []
+    compute = lambda: made.append(1) or index.terms(usable(table(spark, d, "postings")), table(spark, d, "postings").select("doc_id").distinct().where("doc_id is not null").count())
+    catalog.load_or_compute("terms", compute)
+    return catalog.load_or_compute("terms", compute).select("term", "df", F.lit(len(made)).alias("computed"))
+
+
+def chunked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written in files of at most 100 rows and read again: no file has more."""
+    path = scratch_path(spark, "chunks")
+    dumps.write_chunks(table(spark, d, "documents").select("doc_id"), path, 100)
+    per_file = spark.read.schema("doc_id long").parquet(path).groupBy(F.col("_metadata.file_name")).agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 100).alias("bounded")).where("rows is not null")
+
+
+def globbed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as lines of ``wiki`` files of several folders beside others that are not read."""
+    path = scratch_path(spark, "corpus")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "url", "title", "text")
+    docs.withColumn("folder", F.col("id") % 3).write.partitionBy("folder").json(f"{path}/AA")
+    return dumps.read_texts(spark, path, "part*.json").select("id", F.length("text").alias("chars"))
+
+
+def stop_words_file(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of terms by a stop list read from a file: those of the built-in list are gone."""
+    path = scratch_path(spark, "stop")
+    spark.createDataFrame([(f" {w}\r",) for w in [*tx.STOP_WORDS, ""]], "value string").coalesce(1).write.text(path)
+    stop = tx.read_stop_words(spark, path)
+    kept = table(spark, d, "postings").select(F.trim(F.lower("term")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return kept.where(~F.col("term").isin(stop))
+
+
+def title_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of all pages in folders by first letter, read again from the folder of ``L``."""
+    path = scratch_path(spark, "shards")
+    dumps.write_title_shards(dumps.title_map(table(spark, d, "pages")), path)
+    return spark.read.schema("title string, id long, shard string").parquet(path).where("shard = 'L'").select("title", "id")
+
+
+def articles_by_title(spark: SparkSession, d: str) -> DataFrame:
+    mapped = dumps.title_map(table(spark, d, "pages"))
+    found = lookup.find_articles_by_title(table(spark, d, "titles").select("title"), mapped, _texts(spark, d), pages_now(spark, d))
+    return found.select("asked", "id", "title", "has_text")
+
+
+def links_by_title(spark: SparkSession, d: str) -> DataFrame:
+    found = lookup.links_of_titles(table(spark, d, "titles").select("title"), dumps.title_map(table(spark, d, "pages")), table(spark, d, "edges"))
+    return found.select("title", "id", F.array_join(F.col("links").cast("array<string>"), ",").alias("links"))
+
+
+def zh_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the Chinese categories of current pages, cut by the stored index's category words,
+    case kept."""
+    words = table(spark, d, "category_postings").select(F.trim("term").alias("w")).where(tx.has_han(F.col("w")))
+    own = F.transform(F.filter(F.coalesce("categories", F.array().cast("array<string>")), tx.has_han), F.trim)
+    cut_ = tx.with_tokens_zh(pages_now(spark, d).where("id is not null"), "id", own, words, lower=False)
+    return cut_.where(F.size("t") > 0).select("id", F.array_join("t", " ").alias("tokens"))
+
+
+def completion_with_history(spark: SparkSession, d: str) -> DataFrame:
+    """Completions of ``list of`` with earlier queries that begin so, as a page lists them."""
+    hints = engine(spark, d).complete_query(PREFIXES["complete_prefix"])
+    history = spark.createDataFrame([("List of old queries",), ("list of 3",), ("weekly market",), ("",)], "query string")
+    return suggest.shown_hints(suggest.with_history(hints, history, PREFIXES["complete_prefix"])).select("title")
+
+
 REGISTRY = {f.__name__: f for f in (
     tokenize_en, abstract_slice, postings_build, doc_freq_idf, tfidf_weights, doc_norms, vocab_stats, stopword_case, query_terms, or_candidates, phrase_score, vsm_topk, combined_search,
     exact_title, title_promotion, suggestion_ranks, combined_search_converged, suggestion_ranks_converged, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
-    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page, result_pages)}
+    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page, result_pages,
+    engine_search, engine_search_many, engine_wildcard, engine_complete, engine_recommend, catalog_zones, catalog_categories, load_or_compute, chunked_files, globbed_texts, stop_words_file,
+    title_shards, articles_by_title, links_by_title, zh_categories, completion_with_history)}
 REGISTRY |= {"wildcard_star": _wildcard("m*riki"), "wildcard_qmark": _wildcard("?alley"), "pagerank_ref_5": _pagerank("reference"), "pagerank_std_5": _pagerank("standard")}
 REGISTRY |= {name: _complete(q) for name, q in PREFIXES.items()}
 REGISTRY |= {f"pagerank_{short}_converged": _pagerank(mode, None, CONVERGED_DECIMALS) for short, mode in (("ref", "reference"), ("std", "standard"))}

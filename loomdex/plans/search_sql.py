@@ -133,10 +133,11 @@ scored AS (SELECT query_id, f.doc_id, vsm + 10000 * coalesce(k.rank, 0) + phrase
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS place FROM scored QUALIFY place <= 6""",
     "exact_title": f"WITH {_CUR} SELECT a.id AS query_id, min(b.id) AS id FROM cur a JOIN cur b ON lower(b.title) = lower(upper(a.title)) WHERE lower(upper(a.title)) = lower(a.title) GROUP BY 1",
     "title_promotion": f"""
-WITH {_HITS},
+WITH {_HITS}, {_CUR},
 top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS place FROM hits QUALIFY place <= 6),
-first AS (SELECT query_id, max(doc_id) AS id FROM hits GROUP BY 1),
-both_ AS (SELECT query_id, id AS doc_id, 0 AS place FROM first UNION ALL SELECT t.query_id, t.doc_id, t.place FROM top t JOIN first f ON f.query_id = t.query_id WHERE t.doc_id <> f.id)
+asked AS (SELECT query_id, lower(upper(arg_max(title, doc_id))) AS q FROM hits JOIN cur ON cur.id = hits.doc_id WHERE title IS NOT NULL GROUP BY 1),
+first AS (SELECT query_id, min(cur.id) AS id FROM asked JOIN cur ON lower(title) = q GROUP BY 1),
+both_ AS (SELECT query_id, id AS doc_id, 0 AS place FROM first UNION ALL SELECT t.query_id, t.doc_id, t.place FROM top t LEFT JOIN first f ON f.query_id = t.query_id WHERE f.id IS NULL OR t.doc_id <> f.id)
 SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, doc_id) AS INTEGER) AS place FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY both_.place, doc_id) <= 6""",
     "suggestion_ranks": f"WITH RECURSIVE {_HINTS} SELECT id, round(raw, 10) AS rank FROM hints",
     "redirect_resolve": f"WITH RECURSIVE {_RESOLVED} SELECT id, resolved_id FROM resolved",
@@ -177,9 +178,11 @@ SELECT doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(
   CASE WHEN len(lead) > 0 THEN CAST(len(string_split(paras, chr(10))) AS INTEGER) ELSE 0 END AS abstract_end,
   array_to_string(list_transform(list_filter(l, lambda x: starts_with(x, '[[Category')), lambda x: regexp_split_to_array(x, ':|\]\]|\|')[2]), chr(10)) AS categories
 FROM l7""",
-    "xml_round_trip": f"""
-WITH {_CUR} SELECT id, title, t AS redirect, CASE WHEN coalesce(redirect, '') = '' THEN 1 ELSE 0 END AS links, CASE WHEN coalesce(redirect, '') = '' THEN 2 ELSE 0 END AS abstract_end,
-  CASE WHEN coalesce(redirect, '') = '' THEN 'Pages' ELSE '' END AS categories FROM cur WHERE title IS NOT NULL AND NOT regexp_matches(title, 'Wikipedia:|MediaWiki:|Help:')""",
+    "xml_round_trip": rf"""
+WITH {_CUR},
+shown AS (SELECT *, array_to_string(list_filter(list_transform(coalesce(links, []), lambda x: {_TARGET.format(x='x')}), lambda x: x IS NOT NULL AND NOT regexp_matches(x, '[\[\]{{}}<>\n]')), chr(10)) AS seen, coalesce(redirect, '') = '' AS plain FROM cur)
+SELECT id, title, t AS redirect, CASE WHEN plain THEN seen ELSE '' END AS links, CASE WHEN plain THEN 2 ELSE 0 END AS abstract_end, CASE WHEN plain THEN 'Pages,Id ' || id ELSE '' END AS categories
+FROM shown WHERE title IS NOT NULL AND id % 3 <> 0 AND NOT regexp_matches(title, 'Wikipedia:|MediaWiki:|Help:')""",
     "json_round_trip": "SELECT doc_id AS id, url, title, CAST(length(text) AS INTEGER) AS chars FROM documents",
     "posting_fetch": r"""
 SELECT term, doc_id, CAST(max(n) AS INTEGER) AS n FROM (SELECT nullif(lower(regexp_replace(term, '^\s+|\s+$', '', 'g')), '') AS term, doc_id, len(lc) AS n FROM postings)
@@ -197,4 +200,50 @@ SELECT doc_id, CAST(place AS INTEGER) AS place, pages FROM top WHERE place BETWE
     "wildcard_star": _wildcard("m*riki"),
     "wildcard_qmark": _wildcard("?alley"),
 }
+# whole searches: the index is that of the texts of pages, documents are pages
+_PAGE_DOCS = "FROM (SELECT x.id AS doc_id, x.r.text AS text FROM texts x JOIN cur c ON c.id = x.id))"
+_A_TITLE = "(SELECT coalesce(upper(min(title)), '') FROM cur WHERE regexp_full_match(title, '[A-Za-z ]+'))"
+_ENGINE = f"""{_rank_steps(2, 'rank')}, {_TEXTS}, {_FOUND}""".replace("FROM documents WHERE text IS NOT NULL)", _PAGE_DOCS).replace(_QUERIES, f"(SELECT * FROM {_QUERIES} UNION ALL SELECT {len(QUERIES)}, {_A_TITLE})") + f""",
+asked AS (SELECT * FROM {_QUERIES} UNION ALL SELECT {len(QUERIES)}, {_A_TITLE}),
+ranked AS (SELECT query_id, f.doc_id, round(vsm + 10000 * coalesce(k.rank, 0) + phrase, 9) AS score FROM found f LEFT JOIN r2 k ON k.doc_id = f.doc_id),
+top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM ranked QUALIFY place <= 6),
+first AS (SELECT query_id, min(c.id) AS id FROM asked a JOIN cur c ON lower(c.title) = lower(a.query) GROUP BY 1),
+both_ AS (SELECT query_id, id AS doc_id, 0 AS p FROM first UNION ALL SELECT t.query_id, t.doc_id, t.place FROM top t LEFT JOIN first f ON f.query_id = t.query_id WHERE f.id IS NULL OR f.id <> t.doc_id),
+placed AS (SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p, doc_id) AS INTEGER) AS place FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, doc_id) <= 6)"""
+_MAPPED = """m AS (SELECT title, id FROM pages WHERE title IS NOT NULL AND id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY title ORDER BY edited_at DESC NULLS LAST, loaded_at DESC NULLS LAST, id DESC) = 1)"""
+
+SQL |= {
+    "engine_search": f"""
+WITH RECURSIVE {_ENGINE},
+lost AS (SELECT query_id, string_agg(term, ' ' ORDER BY place) AS dropped FROM analysed WHERE NOT kept GROUP BY 1)
+SELECT p.query_id, p.place, p.doc_id, r.resolved_id AS id, CASE WHEN r.resolved_id IS NULL THEN '' ELSE coalesce(x.r.title, e.title) END AS title,
+  CASE WHEN r.resolved_id IS NULL THEN '' ELSE coalesce(x.r.url, 'https://en.wikipedia.org/wiki?curid=' || r.resolved_id) END AS url,
+  CAST(length(coalesce({_STRIP.format(x='x.r.text')}, '')) AS INTEGER) AS chars, CASE WHEN c.t IS NOT NULL THEN c.title ELSE '' END AS redirect_from, r.resolved_id IS NOT NULL AS page_exist, coalesce(l.dropped, '') AS dropped
+FROM placed p JOIN cur c ON c.id = p.doc_id JOIN resolved r ON r.id = c.id LEFT JOIN cur e ON e.id = r.resolved_id LEFT JOIN texts x ON x.id = r.resolved_id LEFT JOIN lost l ON l.query_id = p.query_id""",
+    "engine_search_many": f"WITH RECURSIVE {_ENGINE} SELECT query_id, doc_id, place FROM placed",
+    "engine_wildcard": f"WITH RECURSIVE {_RESOLVED}, w AS ({_wildcard('m*riki').split(_CUR, 1)[1]}) SELECT w.id AS doc_id, w.place, r.resolved_id IS NOT NULL AS page_exist FROM w JOIN resolved r ON r.id = w.id",
+    "engine_complete": _complete(PREFIXES["complete_prefix"]),
+    "completion_with_history": f"""
+WITH h AS ({_complete(PREFIXES["complete_prefix"])}), all_ AS (SELECT title FROM h UNION SELECT * FROM (VALUES ('List of old queries'), ('list of 3')) v(title))
+SELECT title FROM all_ WHERE title <> '' AND NOT regexp_matches(title, '[0-9]')""",
+    "catalog_zones": "SELECT min(id) AS first, max(id) AS last, true AS apart FROM pages WHERE id IS NOT NULL HAVING count(*) > 0",
+    "load_or_compute": r"""
+WITH p AS (SELECT DISTINCT nullif(lower(regexp_replace(term, '^\s+|\s+$', '', 'g')), '') AS term, doc_id FROM postings WHERE doc_id IS NOT NULL AND len(lc) > 0)
+SELECT term, count(*) AS df, 1 AS computed FROM p WHERE term IS NOT NULL GROUP BY 1""",
+    "chunked_files": "SELECT CAST(count(*) AS BIGINT) AS rows, true AS bounded FROM documents HAVING count(*) > 0",
+    "globbed_texts": "SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS chars FROM documents",
+    "stop_words_file": f"SELECT term, count(*) AS n FROM (SELECT trim(lower(term)) AS term FROM postings) WHERE term <> '' AND NOT list_contains({_STOP}, term) GROUP BY 1",
+    "title_shards": f"WITH {_MAPPED} SELECT title, id FROM m WHERE upper(left(title, 1)) = 'L'",
+    "articles_by_title": f"""
+WITH {_CUR}, {_TEXTS}, {_MAPPED}
+SELECT m.title AS asked, m.id, coalesce(x.r.title, c.title) AS title, x.id IS NOT NULL AS has_text FROM (SELECT DISTINCT title FROM titles WHERE title IS NOT NULL) w JOIN m ON m.title = w.title LEFT JOIN texts x ON x.id = m.id LEFT JOIN cur c ON c.id = m.id
+WHERE x.id IS NOT NULL OR c.title IS NOT NULL""",
+    "links_by_title": f"""
+WITH {_MAPPED}, l AS (SELECT src, array_to_string(list_sort(list_distinct(list(dst))), ',') AS links FROM edges WHERE dst IS NOT NULL AND src IS NOT NULL GROUP BY 1)
+SELECT m.title, m.id, l.links FROM (SELECT DISTINCT title FROM titles WHERE title IS NOT NULL) w JOIN m ON m.title = w.title JOIN l ON l.src = m.id""",
+}
+SQL["catalog_categories"] = SQL["category_index"]
+_FIRST_WANTED = "(SELECT min(doc_id) FROM cn WHERE doc_id % 20 = 0)"
+SQL["engine_recommend"] = SQL["recommend_related"].replace("WHERE doc_id % 20 = 0", f"WHERE doc_id = {_FIRST_WANTED}")
 SQL |= {name: _complete(q) for name, q in PREFIXES.items()}

@@ -98,9 +98,12 @@ def test_ledger_matches_brute_force(spark, seed, months):
     assert got == brute_orphans(refs, spans)
 
 
-def test_ledger_with_a_hot_changing_key(spark, monkeypatch):
+@pytest.mark.parametrize("many", [2, 500])
+def test_ledger_with_a_hot_changing_key(spark, monkeypatch, many):
     from functools import partial
 
+    monkeypatch.setattr(orphans, "MANY_CHANGES", many)
+
     monkeypatch.setattr(orphans, "running_sum", partial(running.running_sum, heavy_rows=20, ranges=8))
     refs = [("a", i, "t", "hot", START + i * DAY // 10) for i in range(500)]
     spans = [("t", "hot", START + k * 10 * DAY, START + (k * 10 + 5) * DAY) for k in range(1, 5)]

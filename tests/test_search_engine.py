@@ -1,6 +1,7 @@
 """The micro-corpus with numbers worked out by hand from the formulas."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,67 @@ def test_every_category_word_cuts_chinese_texts(spark, tmp_path):
     words.unionByName(spark.createDataFrame([("鿀鿁",), ("龠龡",)], "term string")).write.parquet(f"{tmp_path}/category_postings.parquet")
     spark.createDataFrame([(1, "龠龡")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert search_queries.zh_tokens(spark, str(tmp_path)).first().tokens == 1
+
+
+def test_last_file_wins_in_the_engine(spark, tmp_path):
+    engine = SearchEngine(spark, str(tmp_path), "en", STOP)
+    pages = spark.createDataFrame([*[(*p, "f1") for p in PAGES], (4, "Red Widget", "", [], 0, ["blue bolts"], "f2")], f"{PAGE}, file string")
+    texts = spark.createDataFrame([(*TEXTS[0], "f1"), (1, "u9", "Alpha Ring", "Alpha Ring\n\nblue wheel", "f2"), *[(*t, "f1") for t in TEXTS[1:]], (*TEXTS[1], "f1")], f"{TEXT}, file string")
+    engine.build(pages, texts, rank_iterations=2)
+    found = engine.search("wheel", 3).collect()
+    assert [(r.id, r.url, r.text) for r in found] == [(1, "u9", "blue wheel")] and engine.search("holds", 5).count() == 1
+    places = [r.place for r in engine.search("blue", 5).collect()]
+    assert places == sorted(set(places)) and engine.catalog.fetch("pages", [4]).first().categories == ["blue bolts"]
+    assert engine.catalog.fetch("postings", ["blue"]).where("doc_id = 1").first().lc == [0]
+
+
+def test_running_sum_parts_ties_of_the_first_column(spark):
+    from loomdex.operators import running
+
+    df = spark.createDataFrame([("hot", 5, i, 1) for i in range(4_000)] + [("b", 1, 1, 1)], "g string, at long, i long, v long")
+    got = running.running_sum(df, ["g"], ["at", "i"], {"upto": "v"}, heavy_rows=100, ranges=8)
+    assert {r.i: r.upto for r in got.where("g = 'hot'").collect()} == {i: i + 1 for i in range(4_000)}
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in shown  # each range is summed apart
+
+
+def test_lexicons_of_any_size_cut_alike(spark):
+    import random
+
+    rng = random.Random(1)
+    signs = "古石桥在山路上有村里的人和渡口"
+    lexicon = {"".join(rng.choices(signs, k=rng.randrange(1, 5))) for _ in range(60)}
+    rows = [(i, "".join(rng.choices(signs + "ab1。", k=rng.randrange(0, 60)))) for i in range(80)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit("clash"))
+    words = spark.createDataFrame([(w,) for w in lexicon], "w string")
+    cut_by = lambda most: {r.doc_id: r.t for r in tx.with_tokens_zh(docs, "doc_id", F.array("text"), words, most=most).collect()}
+    joined = cut_by(0)
+    assert joined == cut_by(10**6)
+    known, stop = {w for w in lexicon if len(w) > 1}, set(tx.STOP_WORDS_ZH)
+    for i, text in rows:  # an independent cutter
+        bare, want = re.sub("[^a-zA-Z0-9一-龥]", "", text or ""), []
+        while bare:
+            run = re.match("[a-zA-Z0-9]+", bare)
+            word = run[0] if run else next((bare[:k] for k in range(4, 1, -1) if bare[:k] in known), bare[0])
+            want += [] if word in stop else [word]
+            bare = bare[len(word) :]
+        assert joined[i] == want, text
+
+
+def test_too_long_stop_lists_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "stop").write_text("a\nb\nc\n")
+    monkeypatch.setattr(tx, "MOST_STOP_WORDS", 2)
+    with pytest.raises(ValueError):
+        tx.read_stop_words(spark, str(tmp_path / "stop"))
+
+
+def test_highlight_spans_of_all_documents(spark):
+    from conftest import DATA
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").collect()}
+    want = {}
+    for i, t in texts.items():
+        spans = [f"{m.start()}-{m.end()}" for p in (r"\bstone\ bridge\b", r"\bmarket\b") for m in re.finditer(p, t, re.I)]
+        if spans:
+            want[i] = (len(spans), ",".join(spans))
+    assert {r.doc_id: (r.spans, r.ranges) for r in search_queries.highlight_spans(spark, DATA).collect()} == want and want

@@ -123,19 +123,38 @@ def test_title_shards(spark):
     assert [tuple(r) for r in df.select(dumps.title_shard(F.col("t")), dumps.title_shard(F.col("t"), "zh")).collect()] == [("A", "5"), ("other", "5"), ("X", "other")]
 
 
-def test_streams(spark, tmp_path):
-    docs = tmp_path / "in"
-    spark.createDataFrame([(1, "red ring red"), (2, None)], "doc_id long, text string").write.parquet(str(docs))
-    stream = spark.readStream.schema("doc_id long, text string").parquet(str(docs))
-    feeds.append_postings(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert {(r.term, r.doc_id, tuple(r.lc)) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("red", 1, (0, 2)), ("ring", 1, (1,))}
-
+def test_stream_of_postings_is_safe_to_restart(spark, tmp_path):
+    docs, out = tmp_path / "in", str(tmp_path / "out")
+    send = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").write.mode("append").parquet(str(docs))
+    run = lambda checkpoint: feeds.append_postings(spark.readStream.schema("doc_id long, text string").parquet(str(docs)), out, str(tmp_path / checkpoint)).awaitTermination(120)
+    held = lambda: {(r.term, r.doc_id, tuple(r.lc)) for r in feeds.read_postings(spark, out).collect()}
+    send([(1, "red ring red"), (2, None), (3, "gear")])
+    run("cp")
+    assert held() == {("red", 1, (0, 2)), ("ring", 1, (1,)), ("gear", 3, (0,))}
+    send([(1, "blue ring"), (3, "12")])  # both sent again, one without any token
+    run("cp")
+    assert held() == {("blue", 1, (0,)), ("ring", 1, (1,))}
+    run("lost")  # a lost checkpoint: all is sent again as batch 0
+    assert {h[:2] for h in held()} >= {("blue", 1), ("ring", 1)}
+
+
+def test_stream_of_the_ledger_survives_a_restart(spark, tmp_path):
     schema = "kind string, field string, src_id long, space string, key string, at long, begins long, ends long"
-    events = tmp_path / "events"
-    spark.createDataFrame([("reference", "a", 1, "t", "k", 5, None, None), ("span", None, None, "t", "k", None, 9, None), ("reference", "a", 2, "t", "q", 5, None, None)], schema).write.parquet(str(events))
-    ledger = OrphanLedger(spark)
-    feeds.advance_ledger(spark.readStream.schema(schema).parquet(str(events)), ledger, str(tmp_path / "cp2")).awaitTermination(120)
-    assert {(r.key, r.reason) for r in ledger.report().collect()} == {("k", "late"), ("q", "missing")}
+    events, state = tmp_path / "events", str(tmp_path / "state")
+    send = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(events))
+    run = lambda cp: feeds.advance_ledger(spark.readStream.schema(schema).parquet(str(events)), state, str(tmp_path / cp)).awaitTermination(120)
+    shown = lambda: {(r.key, r.reason, r.open) for r in OrphanLedger.load(spark, state)[0].report().collect()}
+    assert OrphanLedger.load(spark, state)[1] == -1
+    send([("reference", "a", 1, "t", "k", 5, None, None), ("reference", "a", 2, "t", "q", 5, None, None)])
+    run("cp")
+    assert shown() == {("k", "missing", True), ("q", "missing", True)}
+    send([("span", None, None, "t", "k", None, 9, None)])
+    run("cp")  # a new query object: nothing is left in the driver's memory
+    assert shown() == {("k", "late", False), ("q", "missing", True)} and OrphanLedger.load(spark, state)[1] == 1
+    run("lost")  # the stream begins anew: stored batches are not taken in again
+    ledger, last = OrphanLedger.load(spark, state)
+    assert shown() == {("k", "late", False), ("q", "missing", True)} and last == 1
+    assert {(r.as_of, r.reason, r.open, r.n) for r in ledger.snapshots.collect()} == {(5, "waiting", True, 2), (9, "late", False, 1), (9, "waiting", True, 1)}
 
 
 @pytest.mark.parametrize("column", ["title", "redirect"])
