@@ -11,7 +11,7 @@ piece by piece), and the mix is range-sorted by position. A source is repeated a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.read import term
@@ -27,11 +27,13 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k", **kw) -> DataF
     return cut(docs.select("doc_id", term(F.col("source")).alias("source"), n.alias("n_tokens")), "tokens")
 
 
-def schedules(targets: DataFrame, tokens: DataFrame, tilt: dict[str, float] | None = None, knots: int = 5, total_tokens: int | None = None) -> DataFrame:
+def schedules(targets: DataFrame, tokens: DataFrame, tilt: dict[str, float] | None = None, knots: int = 5, total_tokens: int | None = None, lean: float = 0.0) -> DataFrame:
     """``(source, target_share, max_passes, own_tokens, demand, w, upto)`` per listed source.
 
     ``w`` has the weights at the knots, ``upto`` the demand in tokens up to each knot. ``tilt``
-    (-1..1 by source) lets a weight rise or fall over time: share * (1 + tilt * (2t - 1)). Rows
+    (-1..1 by source) lets a weight rise or fall over time: share * (1 + tilt * (2t - 1)); sources
+    it does not name take theirs from ``lean`` (0..1): by the order of their shares from -lean, the
+    largest, early in the mix, to lean, the smallest, late. Rows
     of ``targets`` without source or share are left out; of several rows of a source the greatest
     share and number of passes count. A source without documents has 0 tokens.
     """
@@ -40,18 +42,22 @@ def schedules(targets: DataFrame, tokens: DataFrame, tilt: dict[str, float] | No
     own = tokens.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("own"))
     known = cut(listed.join(own, "source", "left").select("source", "target_share", "max_passes", F.coalesce("own", F.lit(0)).alias("own_tokens")), "sources")
     total = total_tokens if total_tokens is not None else known.agg(F.sum("own_tokens")).first()[0] or 0
-    lean = F.lit(0.0)
+    if not 0 <= lean <= 1:
+        raise ValueError("lean lies between 0 and 1")
+    by_share = Window.orderBy(F.desc("target_share"), "source")  # one row per listed source
+    known = known.withColumn("_lean", F.lit(float(lean)) * (2 * F.percent_rank().over(by_share) - 1)) if lean else known.withColumn("_lean", F.lit(0.0))
+    leaning = F.col("_lean")
     for source, t in (tilt or {}).items():
         if not -1 <= t <= 1:
             raise ValueError("tilt lies between -1 and 1")
-        lean = F.when(F.col("source") == source, F.lit(float(t))).otherwise(lean)
+        leaning = F.when(F.col("source") == source, F.lit(float(t))).otherwise(leaning)
     at = [k / (knots - 1) for k in range(knots)]
-    weights = F.array(*[F.col("target_share") * (1 + lean * (2 * t - 1)) for t in at])
+    weights = F.array(*[F.col("target_share") * (1 + leaning * (2 * t - 1)) for t in at])
     demand = F.col("target_share") * F.lit(float(total))
     step = 1 / (knots - 1)
     # trapezoids are exact for straight pieces
     area = lambda k: sum(((F.col("w")[i] + F.col("w")[i + 1]) / 2 * step for i in range(k)), F.lit(0.0))
-    with_w = known.withColumns({"demand": demand, "w": weights})
+    with_w = known.withColumns({"demand": demand, "w": weights}).drop("_lean")
     whole = F.when(area(knots - 1) > 0, F.col("demand") / area(knots - 1)).otherwise(0.0)
     return with_w.withColumn("upto", F.array(*[area(k) * whole for k in range(knots)])).withColumn("w", F.transform("w", lambda x: x * whole))
 

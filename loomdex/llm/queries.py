@@ -74,13 +74,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(_documents(spark, d, "text")).select("doc_id", "ids")
 
 
-#: The curriculum of the mix: lists and mirrors early, abstracts and the glossary late.
-TILT = {"wiki_lists": -0.8, "mirror_site": -0.8, "scan_archive": -0.4, "abstracts": 0.4, "glossary": 0.48}
+#: The curriculum of the mix: sources of large shares lean to its beginning, small ones to its end.
+LEAN = 0.8
 
 
 def _mix_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tokens = mixing.token_table(_documents(spark, d, "source", "text"))
-    return tokens, mixing.schedules(table(spark, d, "source_targets"), tokens, TILT)
+    return tokens, mixing.schedules(table(spark, d, "source_targets"), tokens, lean=LEAN)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -206,3 +206,12 @@ def test_heavy_terms_are_sketched_and_light_ones_shuffled_once(spark):
     both = marked.unionByName(marked.withColumn("tbl", F.lit("q")))
     plan = frequency._light(both)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(tbl" in plan
+
+
+def test_sources_lean_by_their_shares(spark):
+    tokens = spark.createDataFrame([(i, s, 10) for i, s in enumerate("aabbcc")], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)], "source string, target_share double, max_passes int")
+    slope = {r.source: (r.w[-1] - r.w[0]) / (r.w[-1] + r.w[0]) for r in mixing.schedules(targets, tokens, {"b": 0.3}, lean=0.5).collect()}
+    assert slope == {"a": pytest.approx(-0.5), "b": pytest.approx(0.3), "c": pytest.approx(0.5)}
+    with pytest.raises(ValueError):
+        mixing.schedules(targets, tokens, lean=2.0)
