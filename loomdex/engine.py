@@ -143,12 +143,12 @@ class SearchEngine:
             found = [title, *[d for d in found if d != title]][:k]
         shown = self._shown([(d, i + 1, dropped) for i, d in enumerate(found)], "doc_id long, place int, dropped_terms array<string>")
         patterns = [query, *dict.fromkeys(words)]
-        return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [p for p in patterns if p])).orderBy("place")
+        return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [p for p in patterns if p])).coalesce(1).sortWithinPartitions("place")  # k rows
 
     def wildcard_search(self, query: str, k: int = 6) -> DataFrame:
         hits = search.wildcard_titles(self.catalog.read("title_keys"), query, k).orderBy("place").collect()
         shown = self._shown([(r.id, r.place) for r in hits], "doc_id long, place int")
-        return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [search.wildcard_pattern(query.lower())], literal=False)).orderBy("place")
+        return shown.withColumn("bold_range", lookup.highlight(F.col("text"), [search.wildcard_pattern(query.lower())], literal=False)).coalesce(1).sortWithinPartitions("place")
 
     def title_search(self, query: str) -> DataFrame:
         hit = self.catalog.fetch("title_keys", [query.lower()])
