@@ -85,7 +85,7 @@ def no_self_redirect(title: Column, redirect: Column) -> Column:
 def plain_text(text: Column) -> Column:
     """Running text of one paragraph: references, templates and tags go, links show their last
     part, quote marks go, and what is left of emptied brackets and doubled blanks is tidied."""
-    shown = F.regexp_replace(text, r"<ref[^>]*/>|<ref.*?</ref>|\{\{[^{}]*\}\}|</?[A-Za-z][^<>]*>|'{2,}", "")
+    shown = F.regexp_replace(text, r"(?d)<ref[^>]*/>|<ref.*?</ref>|\{\{[^{}]*\}\}|</?[A-Za-z][^<>]*>|'{2,}", "")
     shown = F.regexp_replace(shown, r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
     shown = F.regexp_replace(shown, r"\([\s,;]*\)", "")
     return F.trim(F.regexp_replace(F.regexp_replace(shown, r"([(,])\s*,+", "$1"), r" {2,}", " "))

@@ -262,6 +262,12 @@ def wikitext_fields(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("doc_id", F.array_join("links", "\n").alias("links"), "abstract_end", F.array_join("categories", "\n").alias("categories"))
 
 
+def plain_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Running text of every document read as paragraphs of wikitext."""
+    shown = corpus(spark, d).select("doc_id", wikitext.plain_text(F.col("text")).alias("x"))
+    return shown.select("doc_id", F.length("x").alias("chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
 def xml_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Current pages written as a page dump and read again to field records: revisions have ids of
     their own, texts hold each page's links and categories, pages of every third id have no text,
@@ -480,7 +486,7 @@ def completion_with_history(spark: SparkSession, d: str) -> DataFrame:
 REGISTRY = {f.__name__: f for f in (
     tokenize_en, abstract_slice, postings_build, doc_freq_idf, tfidf_weights, doc_norms, vocab_stats, stopword_case, query_terms, or_candidates, phrase_score, vsm_topk, combined_search,
     exact_title, title_promotion, suggestion_ranks, combined_search_converged, suggestion_ranks_converged, redirect_resolve, link_edges, out_degree, category_index, recommend_related, find_doc, find_article, title_lookup, links_of, index_repair,
-    highlight_spans, wikitext_fields, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page, result_pages,
+    highlight_spans, wikitext_fields, plain_paragraphs, xml_round_trip, json_round_trip, posting_fetch, namespace_filter, zh_tokens, simplify, simplify_full, snippets, result_page, result_pages,
     engine_search, engine_search_many, engine_wildcard, engine_complete, engine_recommend, catalog_zones, catalog_categories, load_or_compute, chunked_files, globbed_texts, stop_words_file,
     title_shards, articles_by_title, links_by_title, zh_categories, completion_with_history)}
 REGISTRY |= {"wildcard_star": _wildcard("m*riki"), "wildcard_qmark": _wildcard("?alley"), "pagerank_ref_5": _pagerank("reference"), "pagerank_std_5": _pagerank("standard")}

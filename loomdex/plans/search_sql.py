@@ -1,6 +1,6 @@
 """DuckDB statements equivalent to the queries of :mod:`.search_queries`."""
 
-from ..functions.text import MAX_EN, PUNCTUATION, STOP_WORDS
+from ..functions.text import MAX_EN, PUNCTUATION, STOP_WORDS, simplified
 from .problem_sql import _TARGET
 from .search_queries import PREFIXES, QUERIES, T2S
 
@@ -110,6 +110,12 @@ l5 AS (SELECT *, {_FIRST.format(a='lead', c=r"regexp_matches(x, '^(?:\p{L}|'''''
 l6 AS (SELECT *, list_filter(CASE WHEN o > 0 THEN lead[o:] ELSE [] END, lambda x: NOT regexp_full_match(x, '<!--.*?-->') AND NOT regexp_full_match(x, '\{{\{{.*?\}}\}}')) AS m FROM l5),
 l7 AS (SELECT *, array_to_string(list_transform(m, lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z{{\[(]') THEN chr(10) || x ELSE x END), '') AS paras FROM l6)"""
 
+def _simplify(pairs: dict[str, str]) -> str:
+    return f"""
+WITH s AS (SELECT doc_id, regexp_replace(translate(text, {_quote(''.join(pairs))}, {_quote(''.join(pairs.values()))}), '[\\n\\t]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(length(s) AS INTEGER) AS chars, md5(s) AS digest FROM s"""
+
+
 SQL = {
     "tokenize_en": f"WITH {_DOCS} SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS distinct_tokens, md5(array_to_string(t, ' ')) AS digest FROM docs",
     "abstract_slice": f"""
@@ -190,13 +196,20 @@ WHERE term IN ('the', 'located', 'village', 'nothing') AND doc_id IS NOT NULL AN
     "namespace_filter": f"""
 WITH {_CUR} SELECT id, CASE WHEN regexp_matches(upper(left(title, 1)), '^[A-Z]$') THEN upper(left(title, 1)) ELSE 'other' END AS shard, CASE WHEN length(title) <= 20 THEN CAST(length(title) AS VARCHAR) ELSE 'other' END AS shard_zh
 FROM cur WHERE title IS NOT NULL AND NOT regexp_matches(title, 'Wikipedia:|MediaWiki:|Help:') AND title IS DISTINCT FROM t""",
-    "simplify": f"""
-WITH s AS (SELECT doc_id, regexp_replace(translate(text, {_quote(''.join(T2S))}, {_quote(''.join(T2S.values()))}), '[\\n\\t]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(length(s) AS INTEGER) AS chars, md5(s) AS digest FROM s""",
+    "simplify": _simplify(T2S),
+    "simplify_full": _simplify(simplified()),
     "snippets": f"SELECT doc_id, md5(substr({_STRIP.format(x='text')}, 1, 200)) AS digest FROM documents WHERE text IS NOT NULL",
     "result_page": f"""
 WITH {_HITS}, top AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) AS place, count(*) OVER () // 10 + 1 AS pages FROM hits WHERE query_id = 1)
 SELECT doc_id, CAST(place AS INTEGER) AS place, pages FROM top WHERE place BETWEEN 11 AND 20""",
+    "result_pages": f"""
+WITH {_HITS}, placed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS place, count(*) OVER (PARTITION BY query_id) // 10 + 1 AS pages FROM hits)
+SELECT query_id, CAST(ceil(place / 10.0) AS INTEGER) AS page, doc_id, CAST(place AS INTEGER) AS place, pages FROM placed""",
+    "plain_paragraphs": r"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '<ref[^>]*/>|<ref.*?</ref>|\{\{[^{}]*\}\}|</?[A-Za-z][^<>]*>|''{2,}', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]', '\1', 'g'), '\([\s,;]*\)', '', 'g') AS x FROM a),
+c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '([(,])\s*,+', '\1', 'g'), ' {2,}', ' ', 'g')) AS x FROM b)
+SELECT doc_id, CAST(length(x) AS INTEGER) AS chars, md5(x) AS digest FROM c""",
     "wildcard_star": _wildcard("m*riki"),
     "wildcard_qmark": _wildcard("?alley"),
 }

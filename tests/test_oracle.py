@@ -17,9 +17,9 @@ def test_query(spark, duck, name):
 
 def test_what_has_no_sql_is_tested_by_itself():
     """Queries without SQL have a brute-force test of their own; p6_pairs and p6_pages, the
-    converged ones, highlight_spans, zh_tokens, zh_categories, simplify_full and result_pages."""
+    converged ones, highlight_spans, zh_tokens and zh_categories."""
     bare = set(core.queries()) - set(core.oracle_sql())
-    assert bare == {"p6_pages", "p6_pairs", "highlight_spans", "zh_tokens", "zh_categories", "simplify_full", "result_pages"} | {n for n in bare if n.endswith("_converged")}
+    assert bare == {"p6_pages", "p6_pairs", "highlight_spans", "zh_tokens", "zh_categories"} | {n for n in bare if n.endswith("_converged")}
 
 
 def test_chinese_tokens_of_all_documents_and_categories(spark):
