@@ -37,8 +37,9 @@ SPELLINGS = {
     "zh": ["zh", "zho", "chi", "cmn", "chinese", "中文", "汉语", "漢語", "普通话"],
 }
 
-#: Bound of the sample the models are fitted on.
-DOCS_PER_LANGUAGE = 300
+#: Bounds of the sample the models are fitted on: documents of each label, and characters of a
+#: document, so that the driver holds 150 MB at most. All documents are classified, and whole.
+DOCS_PER_LANGUAGE, SAMPLE_CHARS = 300, 100_000
 ORDER, DISCOUNT, ALPHABET = 4, 0.75, 30_000
 #: Words longer than this are scored in pieces; so many word scores are kept per worker.
 PIECE, CACHED_WORDS = 12, 500_000
@@ -342,7 +343,8 @@ def fit(samples: dict[str, list[str]]) -> Identifier:
 
 def sample_texts(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> dict[str, list[str]]:
     """At most ``per_language`` texts of each label, those of smallest hash of the id. Only ids
-    are ordered; the texts are fetched for the chosen ids alone."""
+    are ordered; the texts are fetched for the chosen ids alone, but for those longer than
+    ``SAMPLE_CHARS``, which are no part of the sample."""
     labelled = docs.select("doc_id", canonical_label(F.col("lang")).alias("label")).where("label is not null and doc_id is not null")
     order = F.xxhash64("doc_id")
     chosen = None
@@ -350,7 +352,7 @@ def sample_texts(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> dict
         top = labelled.where(F.col("label") == lang).orderBy(order, "doc_id").limit(per_language)
         chosen = top if chosen is None else chosen.unionByName(top)
     ids = {r.doc_id: r.label for r in chosen.collect()}  # at most 5 x per_language rows
-    wanted = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text")
+    wanted = docs.where(F.col("doc_id").isin(list(ids)) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
     out: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
     for r in sorted(wanted.collect()):
         out[ids[r.doc_id]].append(r.text)
