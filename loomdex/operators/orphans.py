@@ -23,7 +23,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, fits_broadcast, scratch_path
+from ..session import BROADCAST_ROWS, cut, scratch_path
 from .running import running_sum
 
 KEY = ["space", "key"]
@@ -54,8 +54,15 @@ def span_changes(spans: DataFrame) -> DataFrame:
     return s.select(*KEY, F.explode(changes).alias("c")).select(*KEY, "c.*")
 
 
-def _side(df: DataFrame):
-    return F.broadcast(df) if fits_broadcast(df) else df
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows, counted before, to be broadcast if it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def many_changes(changes: DataFrame) -> tuple[DataFrame, int]:
+    """Keys with more than ``MANY_CHANGES`` changes, and their number."""
+    many = cut(changes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY_CHANGES).select(*KEY), "many")
+    return many, many.count()
 
 
 class OrphanLedger:
@@ -107,25 +114,26 @@ class OrphanLedger:
 
     # ------------------------------------------------------------ one batch
 
-    def advance(self, refs: DataFrame, changes: DataFrame, as_of: int) -> None:
-        """Take in the references and parent changes of one period that ends at ``as_of``."""
-        many = cut(changes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MANY_CHANGES).select(*KEY, F.lit(True).alias("_many")), "many")
-        some_many = not many.isEmpty()
-        listed = changes.join(_side(many), KEY, "left") if some_many else changes.withColumn("_many", F.lit(None).cast("boolean"))
+    def advance(self, refs: DataFrame, changes: DataFrame, as_of: int, many: tuple[DataFrame, int] | None = None) -> None:
+        """Take in the references and parent changes of one period that ends at ``as_of``. ``many``
+        may give :func:`many_changes` of these or more changes, where it is known."""
+        keys, some_many = many_changes(changes) if many is None else many
+        listed = changes.join(_side(keys.withColumn("_many", F.lit(True)), some_many), KEY, "left") if some_many else changes.withColumn("_many", F.lit(None).cast("boolean"))
         change = F.when(F.col("_many").isNull(), F.struct("at", *COUNTS))  # nulls are not collected
         moved = cut(listed.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in COUNTS], F.first("_many").alias("many"), F.collect_list(change).alias("steps")), "moved")
 
-        found = self._probe(refs.where("key is not null and at is not null"), moved, changes, some_many)
+        rows, steps = moved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("steps")), F.lit(0))).first()
+        found = self._probe(refs.where("key is not null and at is not null"), moved, max(rows, steps), changes, some_many)
         found = cut(found.distinct(), "found")
 
         # arrivals of this batch resolve what waits, old and new
         waiting = self.waiting.unionByName(found.where("not deleted").drop("deleted"))
-        arrived = _side(moved.where("begun > 0").select(*KEY))
+        arrived = moved.where("begun > 0").select(*KEY)
         orphan = F.struct(*[f.split(" ")[0] for f in self.ORPHAN.split(", ")])
-        marked = cut(waiting.join(arrived.withColumn("_here", F.lit(True)), KEY, "left").select(orphan.alias("o"), F.col("_here").isNotNull().alias("late")), "waiting")
+        marked = cut(waiting.join(_side(arrived.withColumn("_here", F.lit(True)), rows), KEY, "left").select(orphan.alias("o"), F.col("_here").isNotNull().alias("late")), "waiting")
         self.waiting = marked.where("not late").select("o.*")
         self.settled += [found.where("deleted").drop("deleted").withColumn("reason", F.lit("deleted")), marked.where("late").select("o.*", F.lit("late").alias("reason"))]
-        self._append(moved.select(*KEY, *COUNTS), moved.count())
+        self._append(moved.select(*KEY, *COUNTS), rows)
         self.news = {"deltas": moved.select(*KEY, *COUNTS), "waiting": self.waiting, "settled": self.settled[-2].unionByName(self.settled[-1])}
         counts = self.orphans(True).groupBy("field", month_of(F.col("at")).alias("month"), "reason", "open").agg(F.count(F.lit(1)).alias("n"))
         latest = counts.select(F.lit(as_of).cast("long").alias("as_of"), "*")
@@ -161,7 +169,7 @@ class OrphanLedger:
         ledger.waiting = spark.read.schema(cls.ORPHAN).parquet(f"{root}/waiting/batch={last}")
         return ledger, last
 
-    def _probe(self, refs: DataFrame, moved: DataFrame, changes: DataFrame, some_many: bool) -> DataFrame:
+    def _probe(self, refs: DataFrame, moved: DataFrame, rows: int, changes: DataFrame, some_many: int) -> DataFrame:
         """``(field, src_id, space, key, at, deleted)`` of the references whose parent was not there
         at their time: the index before this batch and the batch's changes up to that time."""
         at_first = [F.lit(0).cast("long").alias(c) for c in ("b0", "o0", "e0")]
@@ -172,9 +180,9 @@ class OrphanLedger:
             before = self.base.select(*KEY, *[F.col(c).alias(f"{c[0]}0") for c in COUNTS])
             state = state.join(before, KEY, "left").select("field", "src_id", *KEY, "at", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("b0", "o0", "e0")])
         for delta in self.deltas:
-            since = _side(delta.select(*KEY, *[F.col(c).alias(f"_{c}") for c in COUNTS]))
+            since = _side(delta.select(*KEY, *[F.col(c).alias(f"_{c}") for c in COUNTS]), self.sizes[1])
             state = state.join(since, KEY, "left").select("field", "src_id", *KEY, "at", *[(F.col(f"{c[0]}0") + F.coalesce(f"_{c}", F.lit(0))).alias(f"{c[0]}0") for c in COUNTS])
-        probed = state.join(_side(moved.select(*KEY, "many", "steps")), KEY, "left")
+        probed = state.join(_side(moved.select(*KEY, "many", "steps"), rows), KEY, "left")
         upto = lambda c: F.aggregate(F.filter("steps", lambda x: x["at"] <= F.col("at")), F.lit(0).cast("long"), lambda acc, x: acc + x[c])
         # most keys do not change, or have no more than one change that was always true
         lasting = (F.size("steps") == 1) & (F.element_at("steps", 1)["at"] == ALWAYS)
@@ -183,7 +191,7 @@ class OrphanLedger:
         short = probed.where("many is null").where(here <= 0).select("field", "src_id", *KEY, "at", (ended > 0).alias("deleted"))
         if not some_many:
             return short
-        placed = self._place(probed.where("many").drop("many", "steps"), changes.join(_side(moved.where("many").select(*KEY)), KEY, "left_semi"))
+        placed = self._place(probed.where("many").drop("many", "steps"), changes.join(_side(moved.where("many").select(*KEY), some_many), KEY, "left_semi"))
         return short.unionByName(placed.where("o0 <= 0").select("field", "src_id", *KEY, "at", (F.col("e0") > 0).alias("deleted")))
 
     @staticmethod
@@ -245,9 +253,10 @@ def run_ledger(refs: DataFrame, spans: DataFrame, months: int = 24, times: DataF
         period = period + F.when(F.col("at") >= end, 1).otherwise(0)
     if len(end_of) > 1:  # read and taken apart once, not once per period
         refs = _by_period(refs.where("key is not null and at is not null"), period, "refs")
+    many = many_changes(changes)
     for k, end in enumerate(end_of):
         within = refs.where(F.col("_period") == k).drop("_period") if len(end_of) > 1 else refs
-        ledger.advance(within, changes.where(period == k), end)
+        ledger.advance(within, changes.where(period == k), end, many)
     return ledger
 
 
