@@ -26,10 +26,12 @@ class SearchEngine:
     links, abstract_end, categories)`` and texts ``(id, url, title, text)``; each method gives a
     DataFrame and reads no more than its columns and keys need."""
 
-    def __init__(self, spark: SparkSession, root: str, language: str = "en", stop_words: Iterable[str] | None = None, lexicon: Iterable[str] = (), scope: str = "abstract"):
+    def __init__(self, spark: SparkSession, root: str, language: str = "en", stop_words: Iterable[str] | None = None, lexicon: Iterable[str] = (), scope: str = "abstract", segmenter: Callable[[str], list[str]] | None = None):
         if language not in ("en", "zh") or scope not in ("abstract", "full"):
             raise ValueError("language is 'en' or 'zh', scope 'abstract' or 'full'")
         self.spark, self.language, self.scope, self.lexicon = spark, language, scope, list(lexicon)
+        #: Cuts Chinese text instead of the lexicon; without either an installed one does.
+        self.segmenter = segmenter or (tx.installed_segmenter() if language == "zh" and not self.lexicon else None)
         self.catalog = Catalog(spark, f"{root.rstrip('/')}/{language}")
         self.stop = list(stop_words) if stop_words is not None else (tx.STOP_WORDS if language == "en" else tx.STOP_WORDS_ZH)
 
@@ -37,7 +39,7 @@ class SearchEngine:
 
     def _word_tokens(self, docs: DataFrame):
         lines = tx.lines(F.col("text")) if self.scope == "full" else tx.abstract_slice(F.col("text"), F.col("abstract_end"))
-        return tx.tokens_en(lines, self.stop) if self.language == "en" else tx.tokens_zh(docs, lines, self.lexicon, self.stop)
+        return tx.tokens_en(lines, self.stop) if self.language == "en" else tx.tokens_zh(docs, lines, self.lexicon, self.stop, segmenter=self.segmenter)
 
     @timed
     def build(self, pages: DataFrame, texts: DataFrame, rank_iterations: int | None = None, rank_mode: str = "reference", text_order: Column | None = None, page_order: Column | None = None) -> None:
@@ -77,7 +79,7 @@ class SearchEngine:
             tokens = tx.tokens_category(F.col("categories"), self.stop)
             if self.language == "zh":
                 own = F.transform(F.filter(F.coalesce("categories", F.array().cast("array<string>")), tx.has_han), F.trim)
-                tokens = tx.tokens_zh(pages, own, self.lexicon, self.stop, lower=False)
+                tokens = tx.tokens_zh(pages, own, self.lexicon, self.stop, lower=False, segmenter=self.segmenter)
             labelled = cut(pages.select("id", tokens.alias("t")).where(F.size("t") > 0), "labelled")
             weighted, _, norms = index.build(labelled, F.col("t"), "id", labelled.count())
             write("category_postings", weighted.join(norms, "doc_id"))
@@ -107,7 +109,7 @@ class SearchEngine:
         doc_id, place, dropped_terms``."""
         words = None
         if self.language == "zh":
-            words = tx.tokens_zh(queries, F.array("query"), self.lexicon, ())
+            words = tx.tokens_zh(queries, F.array("query"), self.lexicon, (), segmenter=self.segmenter)
         analysed = cut(search.analyse(queries, self.catalog.read("terms"), self.stop, words), "analysed")
         found = search.candidates(search.query_vectors(analysed), self.catalog.read("postings").drop("norm", "rank"))
         top = search.top_k(search.score(found, self.catalog.read("norms"), self.catalog.read("ranks")), k)
@@ -117,6 +119,8 @@ class SearchEngine:
     def _words(self, query: str) -> list[str]:
         if self.language == "zh":
             known = frozenset(self.lexicon)
+            if self.segmenter:
+                return [w.lower() for w in self.segmenter(query) if w.strip()]
             return [w.lower() for w in tx.segment_longest(query, known, max(map(len, known), default=1)) if w.strip()]
         return query.lower().split(" ")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -88,11 +88,26 @@ def simplified() -> dict[str, str]:
     return dict(line.split(" ") for line in lines if not line.startswith("#"))
 
 
-def to_simplified(text: Column, mapping: dict[str, str] | None = None) -> Column:
+# Words in which a character of two readings stays as it is (elsewhere 著 becomes 着
+# and 乾 becomes 干).
+KEPT_WORDS = "著名 著作 著者 著稱 著称 著述 著錄 著录 著書 著书 名著 原著 編著 编著 顯著 显著 土著 巨著 專著 专著 論著 论著 遺著 遗著 合著 譯著 译著 卓著 乾隆 乾坤 乾陵 乾卦".split()
+#: Signs that stand for those characters while the others are converted.
+KEPT_SIGNS = {"著": "\uf8f0", "乾": "\uf8f1"}
+
+
+def to_simplified(text: Column, mapping: dict[str, str] | None = None, kept: Iterable[str] | None = None) -> Column:
     """Traditional to simplified characters by a character map, :func:`simplified` unless the
-    caller gives one; line breaks and tabs go. Conversion by phrases is not attempted."""
-    pairs = sorted((a, b) for a, b in (simplified() if mapping is None else mapping).items() if len(a) == len(b) == 1)
-    return F.regexp_replace(F.translate(text, "".join(a for a, _ in pairs), "".join(b for _, b in pairs)), "[\n\t]", "")
+    caller gives one, but for the words ``kept`` (``KEPT_WORDS`` with the full map, none with
+    another); line breaks and tabs go. Words that differ as a whole are not replaced."""
+    pairs = {a: b for a, b in (simplified() if mapping is None else mapping).items() if len(a) == len(b) == 1}
+    for word in (KEPT_WORDS if mapping is None else ()) if kept is None else kept:
+        marked = word
+        for sign, stand_in in KEPT_SIGNS.items():
+            marked = marked.replace(sign, stand_in)
+        text = F.replace(text, F.lit(word), F.lit(marked))
+    pairs |= {stand_in: sign for sign, stand_in in KEPT_SIGNS.items()} if mapping is None or kept else {}
+    ordered = sorted(pairs.items())
+    return F.regexp_replace(F.translate(text, "".join(a for a, _ in ordered), "".join(b for _, b in ordered)), "[\n\t]", "")
 
 
 def segment_longest(text: str, lexicon: frozenset[str], longest: int) -> list[str]:
@@ -116,19 +131,34 @@ def _kept_zh(words: list[str], dropped: frozenset[str], lower: bool) -> list[str
     return [w.lower() if lower else w for w in words if w not in dropped and len(w) <= MAX_ZH]
 
 
-def tokens_zh(df: DataFrame, line_array: Column, lexicon: Iterable[str], stop: Iterable[str] = STOP_WORDS_ZH, lower: bool = True) -> Column:
+def installed_segmenter() -> Callable[[str], list[str]] | None:
+    """The cutter of an installed segmenting library, if there is one."""
+    import importlib.util
+
+    return _cut_by_library if importlib.util.find_spec("jieba") else None
+
+
+def _cut_by_library(text: str) -> list[str]:
+    import jieba  # loaded where it runs
+
+    return jieba.lcut(text)
+
+
+def tokens_zh(df: DataFrame, line_array: Column, lexicon: Iterable[str], stop: Iterable[str] = STOP_WORDS_ZH, lower: bool = True, segmenter: Callable[[str], list[str]] | None = None) -> Column:
     """Chinese tokens of lines: joined without a gap, only letters, digits and Chinese characters,
     cut by a dictionary, stop words and words over 15 characters dropped, lower-cased unless told
-    otherwise. The lexicon is broadcast; :func:`with_tokens_zh` takes one of any size."""
+    otherwise. The lexicon is broadcast; :func:`with_tokens_zh` takes one of any size. A
+    ``segmenter`` cuts instead of the dictionary; without either an installed one is taken."""
     words = frozenset(w for w in lexicon if 1 < len(w) <= MAX_ZH)
     longest = max(map(len, words), default=1)
+    segmenter = segmenter or (None if words else installed_segmenter())
     shared = df.sparkSession.sparkContext.broadcast((words, longest, frozenset(stop)))
 
     @F.pandas_udf("array<string>")
     def cut_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, size, dropped = shared.value
         for texts in batches:
-            yield pd.Series([None if t is None else _kept_zh(segment_longest(t, known, size), dropped, lower) for t in texts], dtype=object)
+            yield pd.Series([None if t is None else _kept_zh(segmenter(t) if segmenter else segment_longest(t, known, size), dropped, lower) for t in texts], dtype=object)
 
     return cut_words(han_only(F.array_join(line_array, "")))
 

@@ -1,6 +1,6 @@
 """DuckDB statements equivalent to the queries of :mod:`.search_queries`."""
 
-from ..functions.text import MAX_EN, PUNCTUATION, STOP_WORDS, simplified
+from ..functions.text import KEPT_SIGNS, KEPT_WORDS, MAX_EN, PUNCTUATION, STOP_WORDS, simplified
 from .problem_sql import _TARGET
 from .search_queries import PREFIXES, QUERIES, T2S
 
@@ -110,9 +110,13 @@ l5 AS (SELECT *, {_FIRST.format(a='lead', c=r"regexp_matches(x, '^(?:\p{L}|'''''
 l6 AS (SELECT *, list_filter(CASE WHEN o > 0 THEN lead[o:] ELSE [] END, lambda x: NOT regexp_full_match(x, '<!--.*?-->') AND NOT regexp_full_match(x, '\{{\{{.*?\}}\}}')) AS m FROM l5),
 l7 AS (SELECT *, array_to_string(list_transform(m, lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z{{\[(]') THEN chr(10) || x ELSE x END), '') AS paras FROM l6)"""
 
-def _simplify(pairs: dict[str, str]) -> str:
+def _simplify(pairs: dict[str, str], kept: list[str] = ()) -> str:
+    text = "text"
+    for word in kept:
+        text = f"replace({text}, {_quote(word)}, {_quote(''.join(KEPT_SIGNS.get(c, c) for c in word))})"
+    pairs = pairs | ({v: k for k, v in KEPT_SIGNS.items()} if kept else {})
     return f"""
-WITH s AS (SELECT doc_id, regexp_replace(translate(text, {_quote(''.join(pairs))}, {_quote(''.join(pairs.values()))}), '[\\n\\t]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
+WITH s AS (SELECT doc_id, regexp_replace(translate({text}, {_quote(''.join(pairs))}, {_quote(''.join(pairs.values()))}), '[\\n\\t]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(length(s) AS INTEGER) AS chars, md5(s) AS digest FROM s"""
 
 
@@ -197,7 +201,7 @@ WHERE term IN ('the', 'located', 'village', 'nothing') AND doc_id IS NOT NULL AN
 WITH {_CUR} SELECT id, CASE WHEN regexp_matches(upper(left(title, 1)), '^[A-Z]$') THEN upper(left(title, 1)) ELSE 'other' END AS shard, CASE WHEN length(title) <= 20 THEN CAST(length(title) AS VARCHAR) ELSE 'other' END AS shard_zh
 FROM cur WHERE title IS NOT NULL AND NOT regexp_matches(title, 'Wikipedia:|MediaWiki:|Help:') AND title IS DISTINCT FROM t""",
     "simplify": _simplify(T2S),
-    "simplify_full": _simplify(simplified()),
+    "simplify_full": _simplify(simplified(), KEPT_WORDS),
     "snippets": f"SELECT doc_id, md5(substr({_STRIP.format(x='text')}, 1, 200)) AS digest FROM documents WHERE text IS NOT NULL",
     "result_page": f"""
 WITH {_HITS}, top AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 6) DESC, doc_id) AS place, count(*) OVER () // 10 + 1 AS pages FROM hits WHERE query_id = 1)

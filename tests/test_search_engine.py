@@ -330,3 +330,18 @@ def test_highlight_spans_of_all_documents(spark):
         if spans:
             want[i] = (len(spans), ",".join(spans))
     assert {r.doc_id: (r.spans, r.ranges) for r in search_queries.highlight_spans(spark, DATA).collect()} == want and want
+
+
+def test_characters_of_two_readings_by_word(spark):
+    df = spark.createDataFrame([("著名學者隨著乾隆的專著沿著乾的河",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.to_simplified(F.col("t"))).collect()] == ["著名学者随着乾隆的专著沿着干的河", None]
+    assert df.select(tx.to_simplified(F.col("t"), {"著": "着"}, ["著名"])).first()[0] == "著名學者隨着乾隆的專着沿着乾的河"
+
+
+def test_a_segmenter_cuts_instead_of_the_lexicon(spark, tmp_path):
+    pages = [(1, "木灯塔", "", [], 1, ["古代桥梁"]), (2, "铸铜厂", "", [], 1, ["古代工厂"])]
+    texts = [(1, "", "木灯塔", "木灯塔\n\n木灯塔属于政府"), (2, "", "铸铜厂", "铸铜厂\n\n铸铜厂的南部")]
+    engine = SearchEngine(spark, str(tmp_path), "zh", segmenter=lambda t: [t[i : i + 2] for i in range(0, len(t), 2)])
+    engine.build(spark.createDataFrame(pages, PAGE), spark.createDataFrame(texts, TEXT), rank_iterations=1)
+    assert {r.term for r in engine.catalog.read("terms").collect()} == {"木灯", "塔属", "于政", "府", "铸铜", "厂的", "南部"}
+    assert [r.id for r in engine.search("木灯").collect()] == [1]
