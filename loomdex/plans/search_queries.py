@@ -198,7 +198,8 @@ def _pagerank(mode: str, iterations: int | None = 5, decimals: int = 10):
 
 
 def _category_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokens = pages_now(spark, d).select(F.col("id").alias("doc_id"), tx.tokens_category(F.col("categories")).alias("t"))
+    now = current_pages(table(spark, d, "pages").select("id", "title", "redirect", "categories", "edited_at", "loaded_at"))
+    tokens = now.select(F.col("id").alias("doc_id"), tx.tokens_category(F.col("categories")).alias("t"))
     kept = cut(tokens.where(F.size("t") > 0), "category-tokens")
     return index.build(kept, F.col("t"), documents=kept.count())
 

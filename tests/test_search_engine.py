@@ -112,6 +112,39 @@ def test_recommend(spark, built):
         (4, 1, pytest.approx(0.316186, abs=1e-5)), (4, 3, pytest.approx(0.288643, abs=1e-5))]
 
 
+def nearest_by_brute_force(docs, wanted, k, stop=()):
+    """Of ``{doc: {term: weight}}``: ``{(doc, related, place): cosine}`` by comparing all pairs."""
+    out = {}
+    for a in wanted:
+        own = {t: v for t, v in docs[a].items() if t not in stop}
+        found = []
+        for b, other in docs.items():
+            if b != a and own.keys() & other.keys():
+                length = sum(v * v for v in own.values()) ** 0.5 * sum(v * v for v in other.values()) ** 0.5
+                cosine = sum(own[t] * other[t] for t in own.keys() & other.keys()) / length if length else 0.0
+                found.append((-round(cosine, 9), b, cosine))
+        out |= {(a, b, i + 1): cosine for i, (_, b, cosine) in enumerate(sorted(found)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("block", [recommend.BLOCK, 2_000])
+def test_recommend_takes_many_classes_in_one_pass(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(recommend._nearest_classes, "__defaults__", (block,))
+    r = random.Random(5)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(400)]
+    docs = {i: {t: round(r.uniform(0.2, 0.5), 4) for t in r.sample(common, 2)} | {t: round(r.uniform(1, 3), 4) for t in r.sample(rare, r.randint(0, 3))} for i in range(5_000)}
+    docs |= {i + 5_000: docs[i] for i in range(20)} | {9_000 + i: {"zero": 0.0, "only": 1.5} for i in range(8)} | {9_100: {"zero": 0.0}, 9_101: {"of": 1.0}, 9_102: {"alone": 2.0}}
+    weighted = spark.createDataFrame([(d, t, v) for d, ts in docs.items() for t, v in ts.items()], "doc_id long, term string, tf_idf double").repartition(4)
+    found = recommend.related(spark.createDataFrame([(i,) for i in docs], "doc_id long"), weighted, index.norms(weighted), 5, ["of"])
+    if block == recommend.BLOCK:  # the classes are few: each wanted class meets them once
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = {(x.doc_id, x.related_id, x.place): x.cosine for x in found.collect()}
+    some = [*range(0, 5_000, 50), *range(5_000, 5_020, 4), *range(9_000, 9_008), 9_100, 9_101, 9_102]
+    assert {x: c for x, c in rows.items() if x[0] in some} == pytest.approx(nearest_by_brute_force(docs, some, 5, ["of"]), abs=1e-9)
+
+
 def test_completion(spark):
     titles = spark.createDataFrame([(i, t, 0.1 * i) for i, t in enumerate(["Alpha Ring", "Blue Bolt", "Green Gear", "Red Widget", "Gear Green", "Lost Page"])], "id long, title string, rank double")
     said = lambda q, n=6: [r.title for r in suggest.complete(titles, q, n).orderBy("place").collect()]
